@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import expr
+
 # Stage offsets added to the base seed.
 STAGE_OFFSETS = {
     "profiles": 0,
@@ -39,8 +41,11 @@ def as_column(value) -> Column:
 def uniform(seed, key, salt="") -> Column:
     """Uniform draw in [0, 1) from the first 52 bits of md5(seed|salt|key).
 
-    ``salt`` may be text or a Column (for example a replicate number).
+    ``key`` is a column name or Column, ``salt`` text or a Column (for example a replicate
+    number), ``seed`` a number or a Column.
     """
+    if isinstance(key, str) and not isinstance(salt, Column) and not isinstance(seed, Column):
+        return F.expr(expr.uniform(expr.lit(str(seed)), expr.lit(str(salt)), expr.col(key)))
     parts = [
         seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)),
         salt.cast("string") if isinstance(salt, Column) else F.lit(str(salt)),

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import expr as x
 from .hashing import as_column
 
 # Characters that count as white space at the ends of a sentence.
@@ -18,28 +19,25 @@ WHITESPACE = (
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+|\n"
 
 
-def strip(x) -> Column:
+def strip(value) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.btrim(as_column(x), F.lit(WHITESPACE))
+    return F.btrim(as_column(value), F.lit(WHITESPACE))
 
 
-def sentences(text) -> Column:
-    """Lower-cased, trimmed, non-empty sentences in order, as an array."""
-    parts = F.split(F.lower(F.coalesce(as_column(text), F.lit(""))), SENTENCE_BREAK)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+def sentences_sql(text: str) -> str:
+    """SQL text of ``sentences`` for a SQL expression."""
+    parts = f"split(lower(coalesce({text}, '')), {x.lit(SENTENCE_BREAK)})"
+    return f"filter(transform({parts}, t -> btrim(t, {x.lit(WHITESPACE)})), t -> t <> '')"
 
 
-def any_of(patterns: Sequence[str]) -> str:
-    """One alternation of several patterns."""
-    return "|".join(f"(?:{p})" for p in patterns)
+def sentences(text: str) -> Column:
+    """Lower-cased, trimmed, non-empty sentences in order, as an array."""
+    return F.expr(sentences_sql(x.col(text)))
 
 
-def matches_any(text, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    """True if any pattern is found in the text."""
-    if not patterns:
-        return F.lit(False)
-    flags = "(?iu)" if ignore_case else ""
-    return as_column(text).rlike(flags + any_of(patterns))
+def matches_any(text: str, patterns: Sequence[str], ignore_case: bool = True) -> Column:
+    """True if any pattern is found in a lower-cased text column."""
+    return F.expr(x.found(x.col(text), patterns, ignore_case))
 
 
 def content_hash(columns: Mapping[str, Column] | Sequence[str]) -> Column:
@@ -96,9 +94,9 @@ def active_labels(flags: Mapping[str, Column], empty: str, separator: str = "; "
 TRUE_TEXTS = ("1", "true", "sim", "yes")
 
 
-def truthy(x) -> Column:
+def truthy(value) -> Column:
     """Boolean of a text, number or boolean column; NULL is false."""
-    text = F.lower(F.trim(as_column(x).cast("string")))
+    text = F.lower(F.trim(as_column(value).cast("string")))
     return F.coalesce(text.isin(*TRUE_TEXTS), F.lit(False))
 
 

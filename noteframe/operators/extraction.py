@@ -1,79 +1,75 @@
 """Rule-based extraction of qualified markers from text.
 
-Extraction is local to a row: sentences are split once, sentences that match no pattern
-at all are dropped, every pattern is tested once per remaining sentence, and the first
-matching sentences are picked per marker. There is no explode and no shuffle, so the cost
-grows with the text only, and a hot key or source cannot overload a task.
+Extraction is local to a row: sentences are split once, sentences without any hit are
+dropped, every pattern is tested once per remaining sentence, and the first matching
+sentences are picked per marker. There is no explode and no shuffle, so the cost grows
+with the text only, and a hot key or source cannot overload a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
-from ..functions.text import any_of, matches_any, sentences, strip
+from ..functions import expr as x
+from ..functions.text import WHITESPACE, sentences_sql
 from .contracts import require_columns
-from .markers import Cue, Ontology
+from .markers import Ontology
 
 
-def temporality(sentence: Column, ontology: Ontology) -> Column:
+def temporality_sql(sentence: str, ontology: Ontology) -> str:
     """Remote cues are tested before current cues."""
-    return (
-        F.when(matches_any(sentence, ontology.remote_cues, False), F.lit(ontology.remote))
-        .when(matches_any(sentence, ontology.current_cues, False), F.lit(ontology.current))
-        .otherwise(F.lit(ontology.unspecified))
+    return x.case(
+        [
+            (x.found(sentence, ontology.remote_cues, False), x.lit(ontology.remote)),
+            (x.found(sentence, ontology.current_cues, False), x.lit(ontology.current)),
+        ],
+        x.lit(ontology.unspecified),
     )
 
 
-def certainty(sentence: Column, ontology: Ontology) -> Column:
-    return F.when(matches_any(sentence, ontology.uncertain_cues, False), F.lit(ontology.uncertain)).otherwise(
-        F.lit(ontology.affirmed)
+def certainty_sql(sentence: str, ontology: Ontology) -> str:
+    return x.case(
+        [(x.found(sentence, ontology.uncertain_cues, False), x.lit(ontology.uncertain))], x.lit(ontology.affirmed)
     )
 
 
-def experiencer(sentence: Column, ontology: Ontology) -> Column:
-    return F.when(
-        matches_any(sentence, ontology.third_party_cues, False), F.lit(ontology.other_experiencer)
-    ).otherwise(F.lit(ontology.self_experiencer))
+def experiencer_sql(sentence: str, ontology: Ontology) -> str:
+    return x.case(
+        [(x.found(sentence, ontology.third_party_cues, False), x.lit(ontology.other_experiencer))],
+        x.lit(ontology.self_experiencer),
+    )
 
 
-def severity(marker: Column, sentence: Column, present: Column, ontology: Ontology) -> Column:
+def severity_sql(marker: str, sentence: str, present: str, ontology: Ontology) -> str:
     """struct(label, code): the marker's own cues first, then the general ones, then the default."""
 
-    def record(cue: Cue) -> Column:
-        return F.struct(F.lit(cue.label).alias("label"), F.lit(cue.code).alias("code"))
+    def record(label: str, code: int) -> str:
+        return x.struct([("label", x.lit(label)), ("code", str(code))])
 
-    ladder = F.when(present == 0, record(Cue("", ontology.absent, 0)))
+    steps = [(f"{present} = 0", record(ontology.absent, 0))]
     for spec in ontology.markers:
         for cue in spec.severity:
-            ladder = ladder.when((marker == spec.name) & sentence.rlike(cue.pattern), record(cue))
+            hit = x.found(sentence, [cue.pattern], False)
+            steps.append((f"{marker} = {x.lit(spec.name)} AND {hit}", record(cue.label, cue.code)))
     for cue in ontology.severity_cues:
-        ladder = ladder.when(sentence.rlike(cue.pattern), record(cue))
-    return ladder.otherwise(record(ontology.default_severity))
-
-
-def joined_evidence(evidence: Column, remote: Column) -> Column:
-    """Chosen sentence, plus the remote sentence if it is another one."""
-    return F.concat_ws(" | ", F.when(evidence != "", evidence), F.when(remote != evidence, remote))
+        steps.append((x.found(sentence, [cue.pattern], False), record(cue.label, cue.code)))
+    default = ontology.default_severity
+    return x.case(steps, record(default.label, default.code))
 
 
-def _candidates(text: str, ontology: Ontology, document_prefilter: bool) -> Column:
+def _candidates(text: str, ontology: Ontology, document_prefilter: bool) -> str:
     """Sentences with a hit: struct(s, raw[], neg[], remote), one flag per marker."""
-    patterns = [p for m in ontology.markers for p in (*m.positive, *m.negative)]
-    hits = F.filter(sentences(text), lambda s: matches_any(s, patterns))
-    flagged = F.transform(
-        hits,
-        lambda s: F.struct(
-            s.alias("s"),
-            F.array(*[matches_any(s, m.positive) for m in ontology.markers]).alias("raw"),
-            F.array(*[matches_any(s, m.negative) for m in ontology.markers]).alias("neg"),
-            matches_any(s, ontology.remote_cues, False).alias("remote"),
-        ),
+    patterns = list(dict.fromkeys(p for m in ontology.markers for p in (*m.positive, *m.negative)))
+    raw = ", ".join(x.found("s", m.positive, True) for m in ontology.markers)
+    neg = ", ".join(x.found("s", m.negative, True) for m in ontology.markers)
+    flags = x.struct(
+        [("s", "s"), ("raw", f"array({raw})"), ("neg", f"array({neg})"), ("remote", x.found("s", ontology.remote_cues, False))]
     )
+    flagged = f"transform(filter({sentences_sql(text)}, s -> {x.found('s', patterns, True)}), s -> {flags})"
     if not document_prefilter:
         return flagged
-    return F.when(F.lower(F.col(text)).rlike("(?iu)" + any_of(patterns)), flagged)
+    return f"CASE WHEN {x.found(f'lower({text})', patterns, True)} THEN {flagged} END"
 
 
 def extract_markers(
@@ -96,85 +92,103 @@ def extract_markers(
     without any hit; use it when hits are rare and no pattern is anchored (``^``, ``$``).
     """
     require_columns(df, [key, text], "extraction input")
-    staged = df.select(key, text).select(key, _candidates(text, ontology, document_prefilter).alias("_c"))
-
-    def first(test) -> Column:
-        return F.get(F.filter("_c", test), F.lit(0))["s"]
-
-    def pick(i: int, name: str) -> Column:
-        def positive(c):
-            return F.get(c["raw"], F.lit(i)) & ~F.get(c["neg"], F.lit(i))
-
-        return F.struct(
-            F.lit(name).alias("marker"),
-            first(lambda c: positive(c) & ~c["remote"]).alias("current"),
-            first(lambda c: F.get(c["neg"], F.lit(i)) & ~c["remote"]).alias("denied"),
-            first(lambda c: positive(c) & c["remote"]).alias("past"),
-        )
-
-    picked = staged.select(key, F.array(*[pick(i, n) for i, n in enumerate(ontology.names)]).alias("_p"))
-
-    def decided(p: Column) -> Column:
-        current, denied, past = p["current"], p["denied"], p["past"]
-        evidence = F.coalesce(current, denied, past, F.lit(""))
-        found = current.isNotNull() | (denied.isNull() & past.isNotNull())
-        present = found.cast("int")
-        if flip_rate > 0:
-            flipped = uniform(seed, F.col(key), p["marker"]) < flip_rate
-            present = F.when(flipped, 1 - present).otherwise(present)
-        negated = (current.isNull() & denied.isNotNull() & (present == 0)).cast("int")
-        time = (
-            F.when(
-                current.isNotNull() | denied.isNotNull(),
-                F.when(
-                    matches_any(evidence, ontology.current_cues, False), F.lit(ontology.current)
-                ).otherwise(F.lit(ontology.unspecified)),
+    k = x.col(key)
+    staged = df.select(key, text).selectExpr(k, f"{_candidates(x.col(text), ontology, document_prefilter)} AS _c")
+
+    def first(test: str) -> str:
+        return f"get(filter(_c, c -> {test}), 0).s"
+
+    picks = []
+    for i, name in enumerate(ontology.names):
+        positive = f"get(c.raw, {i}) AND NOT get(c.neg, {i})"
+        picks.append(
+            x.struct(
+                [
+                    ("marker", x.lit(name)),
+                    ("cur", first(f"{positive} AND NOT c.remote")),
+                    ("den", first(f"get(c.neg, {i}) AND NOT c.remote")),
+                    ("past", first(f"{positive} AND c.remote")),
+                ]
             )
-            .when(past.isNotNull(), F.lit(ontology.remote))
-            .otherwise(F.lit(ontology.unspecified))
-        )
-        return F.struct(
-            p["marker"].alias("marker"),
-            present.alias("present"),
-            negated.alias("negated"),
-            past.isNotNull().cast("int").alias("remote_present"),
-            time.alias("temporality"),
-            severity(p["marker"], evidence, present, ontology).alias("sev"),
-            certainty(evidence, ontology).alias("certainty"),
-            experiencer(evidence, ontology).alias("experiencer"),
-            strip(joined_evidence(evidence, past)).alias("evidence"),
         )
-
-    def flat(m: Column) -> Column:
-        return F.struct(
-            *[m[f].alias(f) for f in ("marker", "present", "negated", "remote_present", "temporality")],
-            m["sev"]["label"].alias("severity"),
-            m["sev"]["code"].alias("severity_code"),
-            *[m[f].alias(f) for f in ("certainty", "experiencer", "evidence")],
-        )
-
-    return picked.select(
-        key,
-        F.lit(extractor_id).alias("extractor_id"),
-        F.lit(ontology.version).alias("ontology_version"),
-        F.lit("success").alias("extraction_status"),
-        F.lit(0).alias("retry_count"),
-        F.transform(F.transform("_p", decided), flat).alias("markers"),
+    flip = f"{x.uniform(x.lit(str(seed)), 'p.marker', k)} < {x.lit(float(flip_rate))}" if flip_rate > 0 else "false"
+    # The chosen sentence and the (possibly flipped) presence are bound before they are used.
+    bound = x.struct(
+        [
+            ("marker", "p.marker"),
+            ("cur", "p.cur"),
+            ("den", "p.den"),
+            ("past", "p.past"),
+            ("ev", "coalesce(p.cur, p.den, p.past, '')"),
+            (
+                "present",
+                f"int((p.cur IS NOT NULL OR (p.den IS NULL AND p.past IS NOT NULL)) <> ({flip}))",
+            ),
+        ]
+    )
+    time = x.case(
+        [
+            (
+                "m.cur IS NOT NULL OR m.den IS NOT NULL",
+                x.case(
+                    [(x.found("m.ev", ontology.current_cues, False), x.lit(ontology.current))],
+                    x.lit(ontology.unspecified),
+                ),
+            ),
+            ("m.past IS NOT NULL", x.lit(ontology.remote)),
+        ],
+        x.lit(ontology.unspecified),
+    )
+    evidence = "concat_ws(' | ', nullif(m.ev, ''), CASE WHEN m.past <> m.ev THEN m.past END)"
+    decided = x.struct(
+        [
+            ("marker", "m.marker"),
+            ("present", "m.present"),
+            ("negated", "int(m.cur IS NULL AND m.den IS NOT NULL AND m.present = 0)"),
+            ("remote_present", "int(m.past IS NOT NULL)"),
+            ("temporality", time),
+            ("sev", severity_sql("m.marker", "m.ev", "m.present", ontology)),
+            ("certainty", certainty_sql("m.ev", ontology)),
+            ("experiencer", experiencer_sql("m.ev", ontology)),
+            ("evidence", f"btrim({evidence}, {x.lit(WHITESPACE)})"),
+        ]
+    )
+    flat = x.struct(
+        [(f, f"m.{f}") for f in ("marker", "present", "negated", "remote_present", "temporality")]
+        + [("severity", "m.sev.label"), ("severity_code", "m.sev.code")]
+        + [(f, f"m.{f}") for f in ("certainty", "experiencer", "evidence")]
+    )
+    chosen = f"transform(array({', '.join(picks)}), p -> {bound})"
+    return staged.selectExpr(
+        k,
+        f"{x.lit(extractor_id)} AS extractor_id",
+        f"{x.lit(ontology.version)} AS ontology_version",
+        "'success' AS extraction_status",
+        "0 AS retry_count",
+        f"transform(transform({chosen}, m -> {decided}), m -> {flat}) AS markers",
     )
 
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per key and sentence, with its position."""
-    return df.select(key, F.posexplode(sentences(text)).alias("position", "sentence"))
+    # The outer form keeps the planner from inferring (and evaluating) a size filter first.
+    split = df.select(key, F.expr(f"posexplode_outer({sentences_sql(x.col(text))}) AS (position, sentence)"))
+    return split.where("position IS NOT NULL")
 
 
 def qualified_sentences(df: DataFrame, sentence: str, ontology: Ontology) -> DataFrame:
     """Add the sentence-level cues (time, certainty, experiencer)."""
-    s = F.col(sentence)
+    s = x.col(sentence)
     return df.withColumns(
         {
-            "temporality": temporality(s, ontology),
-            "certainty": certainty(s, ontology),
-            "experiencer": experiencer(s, ontology),
+            "temporality": F.expr(temporality_sql(s, ontology)),
+            "certainty": F.expr(certainty_sql(s, ontology)),
+            "experiencer": F.expr(experiencer_sql(s, ontology)),
         }
     )
+
+
+def joined_evidence(df: DataFrame, evidence: str, remote: str, out: str) -> DataFrame:
+    """Chosen sentence, plus the remote sentence if it is another one, joined by `` | ``."""
+    e, r = x.col(evidence), x.col(remote)
+    return df.withColumn(out, F.expr(f"concat_ws(' | ', nullif({e}, ''), CASE WHEN {r} <> {e} THEN {r} END)"))

@@ -270,7 +270,7 @@ def stability(runs: DataFrame, key: str, run: str, fields: Sequence[str] = FEATU
             *[z["a"][f].eqNullSafe(z["b"][f]).cast("int").alias(f) for f in fields],
         ),
     )
-    pairs = left.join(right, key).where("run_a < run_b").select("run_a", "run_b", F.inline(same))
+    pairs = left.join(right, key).where("run_a < run_b").select("run_a", "run_b", F.inline_outer(same))
     sums = pairs.groupBy("run_a", "run_b", "marker").agg(
         F.count("*").alias("n"), *[F.sum(f).alias(f) for f in fields]
     )
@@ -300,7 +300,7 @@ def annotator_agreement(
     )
     cells = F.flatten(F.transform(F.arrays_zip("a", "b"), lambda z: F.array(*[cell(z, f) for f in fields])))
     group = ["marker", "dimension"]
-    counts = a.join(b, key).select(F.inline(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count"))
+    counts = a.join(b, key).select(F.inline_outer(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count"))
     both = counts.where("left is not null and right is not null")
     observed = counts.groupBy(*group).agg(
         F.sum(F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), F.col("count")).otherwise(0)).alias("n"),

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions import expr as x
 from .contracts import require_symmetric
 from .joins import join_one_to_one
 from .markers import FEATURE_FIELDS, Ontology, marker_columns
@@ -59,10 +59,14 @@ def analytic_sets(
         if c != key and c not in spec.dropped and not c.startswith(spec.source_prefix)
     ]
     base = [key, *spec.targets, *attributes, *spec.scores]
+
+    def renamed(columns: Sequence[str]) -> list[str]:
+        return [f"{x.col(a)} AS {x.col(b)}" for a, b in zip(columns, canonical)]
+
     sets = {
         "base": merged.select(*base),
-        "source": merged.select(*base, *[F.col(a).alias(b) for a, b in zip(source, canonical)]),
-        "extracted": merged.select(*base, *[F.col(a).alias(b) for a, b in zip(found, canonical)]),
+        "source": merged.selectExpr(*map(x.col, base), *renamed(source)),
+        "extracted": merged.selectExpr(*map(x.col, base), *renamed(found)),
     }
     return {
         name: with_missing_values(df, key, missing_rate, seed, [key, *spec.targets], spec.text_columns)

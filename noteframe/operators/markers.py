@@ -13,10 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import as_column
-from ..functions.scalar import number_or
-from ..functions.text import marker_status, strip, without_code_fences
-from .contracts import guard, require_columns
+from ..functions import expr as x
+from ..functions.text import WHITESPACE, marker_status, without_code_fences
+from .contracts import guard
 from .joins import join_one_to_one
 
 # Field names of the marker record.
@@ -120,70 +119,64 @@ def marker_columns(prefix: str, ontology: Ontology, fields: Sequence[str] = FIEL
     return [marker_column(prefix, m, f) for m in ontology.names for f in fields]
 
 
-def _typed(name: str, value: Column) -> Column:
-    return value.cast("int" if name in INTEGER_FIELDS else "string").alias(name)
+def _struct(marker: str, values: Mapping[str, str]) -> str:
+    """SQL struct of a marker record from SQL expressions per field."""
+    return x.struct(
+        [("marker", marker)]
+        + [(f, f"int({values[f]})" if f in INTEGER_FIELDS else f"string({values[f]})") for f in FIELDS]
+    )
 
 
-def default_marker(ontology: Ontology, name: Column | str) -> Column:
-    """Marker struct with every field at its default."""
-    label = name if isinstance(name, Column) else F.lit(name)
-    return F.struct(label.alias("marker"), *[_typed(f, F.lit(ontology.defaults[f])) for f in FIELDS])
+def default_markers(ontology: Ontology) -> str:
+    """SQL array of all markers with every field at its default."""
+    defaults = {f: x.lit(ontology.defaults[f]) for f in FIELDS}
+    return "array(" + ", ".join(_struct(x.lit(n), defaults) for n in ontology.names) + ")"
 
 
-def default_markers(ontology: Ontology) -> Column:
-    return F.array(*[default_marker(ontology, n) for n in ontology.names])
+def _flag(raw: str) -> str:
+    """0/1 of a raw text value: everything but empty, zero and false counts as set."""
+    return f"int(NOT lower(trim({raw})) IN ('', '0', '0.0', 'false', 'null', 'nan'))"
 
 
-def _flag(raw: Column) -> Column:
-    """0/1 of a raw text value: everything but empty, zero and false counts as set."""
-    low = F.lower(F.trim(raw))
-    return F.when(low.isNull() | low.isin("", "0", "0.0", "false", "null", "nan"), 0).otherwise(1)
-
-
-def normalized_marker(spec: MarkerSpec, raw: Mapping[str, Column], ontology: Ontology) -> tuple[Column, Column]:
-    """(marker struct, array of violations) from raw text fields; missing fields take defaults."""
-    values = {f: F.coalesce(raw[f].cast("string"), F.lit(str(ontology.defaults[f]))) for f in FIELDS if f in raw}
-    for f in FIELDS:
-        values.setdefault(f, F.lit(str(ontology.defaults[f])))
-    flags = {f: _flag(values[f]) for f in BINARY_FIELDS}
-    code = F.floor(values["severity_code"].try_cast("double")).cast("int")
-    struct = F.struct(
-        F.lit(spec.name).alias("marker"),
-        *[
-            _typed(
-                f,
-                flags[f]
-                if f in flags
-                else code
-                if f == "severity_code"
-                else strip(values[f])
-                if f == "evidence"
-                else values[f],
-            )
-            for f in FIELDS
-        ],
-    )
+def normalized_marker(spec: MarkerSpec, raw: Mapping[str, str], ontology: Ontology) -> tuple[str, str]:
+    """(marker struct, array of violations) as SQL; ``raw`` maps fields to SQL expressions.
+
+    Missing and NULL fields take their default.
+    """
+    values = {
+        f: f"coalesce(string({raw[f]}), {x.lit(str(ontology.defaults[f]))})" if f in raw else x.lit(str(ontology.defaults[f]))
+        for f in FIELDS
+    }
+    fields = dict(values)
+    for f in BINARY_FIELDS:
+        fields[f] = _flag(values[f])
+    fields["severity_code"] = f"floor(try_cast({values['severity_code']} AS DOUBLE))"
+    fields["evidence"] = f"btrim({values['evidence']}, {x.lit(WHITESPACE)})"
     closed = ontology.closed_values
-    problems = F.array_compact(
-        F.array(
-            F.when((flags["present"] == 1) & (flags["negated"] == 1), F.lit("present_and_negated")),
-            *[F.when(~values[f].isin(*closed[f]), F.lit(f)) for f in CATEGORY_FIELDS],
-            F.when(code.isNull() | ~code.isin(0, 1, 2, 3), F.lit("severity_code")),
-        )
+    code = f"int({fields['severity_code']})"
+    problems = [
+        f"CASE WHEN {fields['present']} = 1 AND {fields['negated']} = 1 THEN {x.lit(spec.name + '.present_and_negated')} END"
+    ]
+    problems += [
+        f"CASE WHEN NOT {x.one_of(values[f], closed[f])} THEN {x.lit(f'{spec.name}.{f}')} END" for f in CATEGORY_FIELDS
+    ]
+    problems.append(
+        f"CASE WHEN {code} IS NULL OR NOT {x.one_of(code, (0, 1, 2, 3))} THEN {x.lit(spec.name + '.severity_code')} END"
     )
-    return struct, problems
+    return _struct(x.lit(spec.name), fields), f"array_compact(array({', '.join(problems)}))"
 
 
-def scalar_marker(spec: MarkerSpec, value: Column, ontology: Ontology) -> tuple[Column, Column]:
+def scalar_marker(spec: MarkerSpec, value: str, ontology: Ontology) -> tuple[str, str]:
     """Old scalar form 0..3: presence, and a severity code if the marker is graded."""
-    number = value.try_cast("int")
-    present = F.when(number > 0, 1).otherwise(0)
+    number = f"try_cast({value} AS INT)"
+    present = f"int(coalesce({number} > 0, false))"
     code = number if spec.graded else present
-    label = F.get(F.array(*[F.lit(s) for s in ontology.scalar_severity]), code)
-    fields = {**{f: F.lit(ontology.defaults[f]) for f in FIELDS}, "present": present, "severity": label, "severity_code": code}
-    struct = F.struct(F.lit(spec.name).alias("marker"), *[_typed(f, fields[f]) for f in FIELDS])
-    problems = F.array_compact(F.array(F.when(number.isNull() | label.isNull(), F.lit("scalar"))))
-    return struct, problems
+    labels = ", ".join(x.lit(s) for s in ontology.scalar_severity)
+    label = f"get(array({labels}), {code})"
+    fields = {f: x.lit(ontology.defaults[f]) for f in FIELDS}
+    fields |= {"present": present, "severity": label, "severity_code": code}
+    wrong = f"CASE WHEN {number} IS NULL OR {label} IS NULL THEN {x.lit(spec.name + '.scalar')} END"
+    return _struct(x.lit(spec.name), fields), f"array_compact(array({wrong}))"
 
 
 def normalize_markers(
@@ -193,30 +186,33 @@ def normalize_markers(
 
     ``violations`` holds ``marker.problem`` texts; an empty array means the row is valid.
     """
-    parsed = F.struct(
-        *[
-            F.struct(
-                F.col(raw)[s.name].alias("text"),
-                F.from_json(F.col(raw)[s.name], "map<string,string>").alias("fields"),
-            ).alias(s.name)
-            for s in ontology.markers
+    r = x.col(raw)
+    parsed = x.struct(
+        [
+            (
+                spec.name,
+                x.struct(
+                    [
+                        ("text", f"{r}[{x.lit(spec.name)}]"),
+                        ("fields", f"from_json({r}[{x.lit(spec.name)}], 'map<string,string>')"),
+                    ]
+                ),
+            )
+            for spec in ontology.markers
         ]
     )
-    staged = df.withColumn("_raw", parsed)
+    staged = df.withColumn("_raw", F.expr(parsed))
     structs, wrong = [], []
     for spec in ontology.markers:
-        text, fields = F.col("_raw")[spec.name]["text"], F.col("_raw")[spec.name]["fields"]
-        is_object = text.isNull() | F.ltrim(text).startswith("{")
-        full, full_problems = normalized_marker(spec, {f: fields[f] for f in FIELDS}, ontology)
+        text, fields = f"_raw.{x.col(spec.name)}.text", f"_raw.{x.col(spec.name)}.fields"
+        is_object = f"({text} IS NULL OR startswith(ltrim({text}), '{{'))"
+        full, full_problems = normalized_marker(spec, {f: f"{fields}[{x.lit(f)}]" for f in FIELDS}, ontology)
         scalar, scalar_problems = scalar_marker(spec, text, ontology)
-        structs.append(F.when(is_object, full).otherwise(scalar))
-        wrong.append(
-            F.transform(
-                F.when(is_object, full_problems).otherwise(scalar_problems),
-                lambda p, name=spec.name: F.concat(F.lit(name + "."), p),
-            )
-        )
-    return staged.withColumns({out: F.array(*structs), problems: F.flatten(F.array(*wrong))}).drop("_raw")
+        structs.append(f"CASE WHEN {is_object} THEN {full} ELSE {scalar} END")
+        wrong.append(f"CASE WHEN {is_object} THEN {full_problems} ELSE {scalar_problems} END")
+    return staged.withColumns(
+        {out: F.expr(f"array({', '.join(structs)})"), problems: F.expr(f"flatten(array({', '.join(wrong)}))")}
+    ).drop("_raw")
 
 
 def strict(df: DataFrame, problems: str = "violations") -> DataFrame:
@@ -240,22 +236,21 @@ def parse_replies(
     The reply may be wrapped in code fences; it must be an object with an object
     ``markers`` whose entries obey the marker contract.
     """
-    body = without_code_fences(F.col(reply))
     staged = df.select(
         key,
-        F.from_json(body, "struct<markers:map<string,string>>")["markers"].alias("_map"),
+        F.from_json(without_code_fences(F.col(reply)), "struct<markers:map<string,string>>")["markers"].alias("_map"),
         F.sha2(F.coalesce(F.col(reply), F.lit("")), 256).alias("reply_hash"),
         (F.col(retries) if retries else F.lit(0)).cast("int").alias("retry_count"),
     )
     normal = normalize_markers(staged, "_map", ontology)
-    ok = F.col("_map").isNotNull() & (F.size("violations") == 0)
-    return normal.select(
-        key,
-        *[F.lit(v).alias(n) for n, v in constants.items()],
-        F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("extraction_status"),
+    ok = "(_map IS NOT NULL AND size(violations) = 0)"
+    return normal.selectExpr(
+        x.col(key),
+        *[f"{x.lit(v)} AS {x.col(n)}" for n, v in constants.items()],
+        f"CASE WHEN {ok} THEN 'success' ELSE 'failed' END AS extraction_status",
         "retry_count",
-        F.when(ok, F.col("reply_hash")).otherwise(F.lit("")).alias("reply_hash"),
-        F.when(ok, F.col("markers")).otherwise(default_markers(ontology)).alias("markers"),
+        f"CASE WHEN {ok} THEN reply_hash ELSE '' END AS reply_hash",
+        f"CASE WHEN {ok} THEN markers ELSE {default_markers(ontology)} END AS markers",
     )
 
 
@@ -264,18 +259,15 @@ def markers_from_wide(
 ) -> DataFrame:
     """Wide columns -> nested form; NULL fields and absent columns take their default."""
     structs, wrong = [], []
+    have = set(df.columns)
     for spec in ontology.markers:
-        raw = {
-            f: F.col(marker_column(prefix, spec.name, f))
-            for f in FIELDS
-            if marker_column(prefix, spec.name, f) in df.columns
-        }
-        struct, bad = normalized_marker(spec, raw, ontology)
+        names = {f: marker_column(prefix, spec.name, f) for f in FIELDS}
+        struct, bad = normalized_marker(spec, {f: x.col(n) for f, n in names.items() if n in have}, ontology)
         structs.append(struct)
-        wrong.append(F.transform(bad, lambda p, name=spec.name: F.concat(F.lit(name + "."), p)))
-    columns = {out: F.array(*structs)}
+        wrong.append(bad)
+    columns = {out: F.expr(f"array({', '.join(structs)})")}
     if problems:
-        columns[problems] = F.flatten(F.array(*wrong))
+        columns[problems] = F.expr(f"flatten(array({', '.join(wrong)}))")
     return df.withColumns(columns)
 
 
@@ -283,61 +275,70 @@ def markers_wide(
     df: DataFrame, prefix: str, ontology: Ontology, fields: Sequence[str] = FIELDS, markers: str = "markers"
 ) -> DataFrame:
     """Nested form -> one column per marker and field, in fixed order."""
-    others = [c for c in df.columns if c != markers]
+    others = [x.col(c) for c in df.columns if c != markers]
     wide = [
-        F.get(markers, F.lit(i))[f].alias(marker_column(prefix, name, f))
+        f"get({x.col(markers)}, {i}).{f} AS {x.col(marker_column(prefix, name, f))}"
         for i, name in enumerate(ontology.names)
         for f in fields
     ]
-    return df.select(*others, *wide)
+    return df.selectExpr(*others, *wide)
 
 
 def markers_long(df: DataFrame, markers: str = "markers") -> DataFrame:
-    """Nested form -> one row per key and marker."""
+    """Nested form -> one row per key and marker.
+
+    The nested form always holds every marker; the outer form of ``inline`` only keeps the
+    planner from inferring a size filter, which would evaluate the array twice.
+    """
     others = [c for c in df.columns if c != markers]
-    return df.select(*others, F.inline(markers))
+    return df.select(*others, F.inline_outer(markers))
+
+
+def active_sql(
+    columns: Sequence[str], prefix: str, marker: str, ontology: Ontology, require_current: bool = False
+) -> str:
+    """SQL of ``marker_is_active``."""
+
+    def value(f: str) -> str:
+        name, default = marker_column(prefix, marker, f), x.lit(ontology.defaults[f])
+        return f"coalesce({x.col(name)}, {default})" if name in columns else default
+
+    def number(f: str) -> str:
+        name = marker_column(prefix, marker, f)
+        return f"int({x.number(x.col(name))})" if name in columns else "0"
+
+    tests = [
+        f"{number('present')} = 1",
+        f"{number('negated')} = 0",
+        f"{value('certainty')} = {x.lit(ontology.affirmed)}",
+        f"{value('experiencer')} = {x.lit(ontology.self_experiencer)}",
+    ]
+    if require_current:
+        tests.append(f"{value('temporality')} = {x.lit(ontology.current)}")
+    return x.all_true(tests)
 
 
 def marker_is_active(
     columns: Sequence[str], prefix: str, marker: str, ontology: Ontology, require_current: bool = False
 ) -> Column:
     """Present, not denied, affirmed, of the subject itself and (if asked) current."""
-    present, negated, certainty, experiencer, temporality = (
-        marker_column(prefix, marker, f)
-        for f in ("present", "negated", "certainty", "experiencer", "temporality")
-    )
-
-    def value(name: str, default) -> Column:
-        return F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
-
-    def number(name: str) -> Column:
-        return number_or(F.col(name), 0.0, "int") if name in columns else F.lit(0)
-
-    active = (
-        (number(present) == 1)
-        & (number(negated) == 0)
-        & (value(certainty, ontology.affirmed) == ontology.affirmed)
-        & (value(experiencer, ontology.self_experiencer) == ontology.self_experiencer)
-    )
-    if require_current:
-        active = active & (value(temporality, ontology.unspecified) == ontology.current)
-    return active
+    return F.expr(active_sql(columns, prefix, marker, ontology, require_current))
 
 
 def reference_table(df: DataFrame, key: str, prefix: str, ontology: Ontology) -> DataFrame:
     """Source markers in the extractor's schema; presence may fall back to ``<prefix><marker>`` > 0."""
-    out = []
+    have, out = set(df.columns), [x.col(key)]
     for name in ontology.names:
         for f in FIELDS:
             source = marker_column(prefix, name, f)
-            if source in df.columns:
-                value = F.col(source)
-            elif f == "present" and f"{prefix}{name}" in df.columns:
-                value = (number_or(F.col(f"{prefix}{name}")) > 0).cast("int")
+            if source in have:
+                value = x.col(source)
+            elif f == "present" and f"{prefix}{name}" in have:
+                value = f"int({x.number(x.col(prefix + name))} > 0)"
             else:
-                value = F.lit(ontology.defaults[f])
-            out.append(value.alias(source))
-    return df.select(key, *out)
+                value = x.lit(ontology.defaults[f])
+            out.append(f"{value} AS {x.col(source)}")
+    return df.selectExpr(*out)
 
 
 def paired_markers(
@@ -351,15 +352,14 @@ def paired_markers(
     left = reference.select(key, F.col("markers").alias("_ref"))
     right = predicted.select(key, *keep, F.col("markers").alias("_pred"))
     joined = join_one_to_one(left, right, key, "inner", check)
-    pairs = F.transform(
-        F.arrays_zip("_ref", "_pred"),
-        lambda z: F.struct(
-            z["_ref"]["marker"].alias("marker"),
-            *[z["_ref"][f].alias(f"ref_{f}") for f in FIELDS],
-            *[z["_pred"][f].alias(f"pred_{f}") for f in FIELDS],
-        ),
+    record = x.struct(
+        [("marker", "z._ref.marker")]
+        + [(f"ref_{f}", f"z._ref.{f}") for f in FIELDS]
+        + [(f"pred_{f}", f"z._pred.{f}") for f in FIELDS]
+    )
+    return joined.select(
+        key, *keep, F.inline_outer(F.expr(f"transform(arrays_zip(_ref, _pred), z -> {record})"))
     )
-    return joined.select(key, *keep, F.inline(pairs))
 
 
 def marker_comparison(pairs: DataFrame, key: str, labels: Sequence[str], yes: str = "yes", no: str = "no") -> DataFrame:

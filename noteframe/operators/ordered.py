@@ -21,32 +21,32 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def order_bucket(df: DataFrame, order: Column, buckets: int) -> Column:
-    """Bucket number 0..buckets-1, monotone in ``order``, of nearly equal row counts.
+def cut_points(df: DataFrame, order: Column, buckets: int) -> Column:
+    """Array of ``buckets - 1`` cut points of ``order``, as a scalar subquery.
 
-    The cut points are quantiles of ``OVERSAMPLE * buckets`` keys with the smallest hash:
-    a bounded, deterministic sample, so every branch of a plan (and every retried task)
-    sees the same cut points. ``order`` must be (nearly) distinct per row; aggregate
+    The cut points are quantiles of the ``OVERSAMPLE * buckets`` keys with the smallest
+    hash: a bounded, deterministic sample, so every branch of a plan (and every retried
+    task) sees the same cut points. ``order`` must be (nearly) distinct per row; aggregate
     repeated keys first.
     """
     sampled = (
         df.select(order.alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets * OVERSAMPLE)
     )
-    keys = F.sort_array(F.collect_list("k"))
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)),
-        lambda i: F.get(keys, F.floor(i * F.size(keys) / buckets).cast("int")),
+    cuts = (
+        f"transform(sequence(1, {buckets - 1}), i -> get(ks, int(floor(i * size(ks) / {buckets}))))"
     )
-    cut_points = sampled.agg(cuts.alias("cuts")).scalar()
-    step, steps = 1, []
+    return sampled.agg(F.sort_array(F.collect_list("k")).alias("ks")).select(F.expr(cuts)).scalar()
+
+
+def order_bucket(order: str, cuts: str, buckets: int) -> Column:
+    """Bucket 0..buckets-1 of ``order``: how many cut points lie below it (binary search)."""
+    steps, step = [], 1
     while step < buckets:
-        steps.insert(0, step)
+        steps.insert(0, str(step))
         step *= 2
-    # Binary search: how many cut points lie below the key.
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, s: low + F.when(F.get(cut_points, low + s - 1) < order, s).otherwise(F.lit(0)),
+    return F.expr(
+        f"aggregate(array({', '.join(steps)}), 0, (low, s) -> "
+        f"low + CASE WHEN get({cuts}, low + s - 1) < {order} THEN s ELSE 0 END)"
     )
 
 
@@ -65,10 +65,15 @@ def running_totals(
     """
     buckets = buckets or default_buckets(df)
     group = [F.col(c) for c in by]
-    full_order = F.struct(*group, order.alias("_order"))
     base = df.withColumn("_order", order)
-    chosen = bucket if bucket is not None else order_bucket(df, full_order, buckets)
-    base = base.withColumn("_cell", F.struct(F.struct(*group, F.lit(0).alias("_g")).alias("g"), chosen.cast("int").alias("b")))
+    if bucket is None:
+        full = F.struct(*group, F.col("_order"))
+        base = base.withColumns({"_full": full, "_cuts": cut_points(base, full, buckets)})
+        base = base.withColumn("_bucket", order_bucket("_full", "_cuts", buckets)).drop("_full", "_cuts")
+    else:
+        base = base.withColumn("_bucket", bucket.cast("int"))
+    cell = F.struct(F.struct(*group, F.lit(0).alias("_g")).alias("g"), F.col("_bucket").alias("b"))
+    base = base.withColumn("_cell", cell).drop("_bucket")
 
     inside = W.partitionBy("_cell").orderBy("_order").rowsBetween(W.unboundedPreceding, W.currentRow)
     local = base.withColumns({f"_in_{n}": F.sum(c).over(inside) for n, c in totals.items()})

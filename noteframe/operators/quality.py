@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import as_column, uniform
+from ..functions import expr as x
+from ..functions.hashing import as_column
 from ..functions.scalar import round_half_even, row_total
 from .contracts import guard
 from .joins import duplicate_keys
 
 
-def in_range(x, low: float, high: float) -> Column:
+def in_range(value, low: float, high: float) -> Column:
     """NULL fails, as an absent value is not between two bounds."""
-    x = as_column(x)
-    return F.coalesce(x.between(low, high), F.lit(False))
+    return F.coalesce(as_column(value).between(low, high), F.lit(False))
 
 
 def all_in_range(items: Sequence[str], low: float, high: float) -> Column:
@@ -117,14 +117,16 @@ def with_missing_values(
     if rate <= 0:
         return df
     kept = {key, *protected}
-    blanked = {}
+    out = []
     for field in df.schema.fields:
+        name = x.col(field.name)
         is_text = isinstance(field.dataType, T.StringType)
         if field.name in kept or (is_text and field.name not in text_columns):
+            out.append(name)
             continue
-        draw = uniform(seed, key, field.name)
-        blanked[field.name] = F.when(draw >= rate, F.col(field.name))
-    return df.withColumns(blanked)
+        draw = x.uniform(x.lit(str(seed)), x.lit(field.name), x.col(key))
+        out.append(f"CASE WHEN {draw} >= {x.lit(float(rate))} THEN {name} END AS {name}")
+    return df.selectExpr(*out)
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:

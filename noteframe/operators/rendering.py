@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
-from ..functions.scalar import code_label
-from ..functions.text import content_hash, hashed_id, mapped
+from ..functions import expr as x
+from ..functions.text import content_hash, hashed_id
 from .contracts import forbidden_schema_paths, refuse_label_columns, require_columns
 from .markers import Ontology
 
@@ -41,48 +40,43 @@ class NoteSpec:
     id_prefix: str = ""
 
 
-def score_phrase(spec: NoteSpec) -> Column:
+def score_phrase(spec: NoteSpec) -> str:
     """First rung of the ladder that any score reaches."""
-    phrase = None
-    for step, text in zip(spec.score_steps, spec.score_phrases):
-        tests = [F.col(c) >= limit for c, limit in zip(spec.scores, step) if limit is not None]
-        reached = tests[0]
-        for t in tests[1:]:
-            reached = reached | t
-        phrase = F.when(reached, F.lit(text)) if phrase is None else phrase.when(reached, F.lit(text))
-    return phrase.otherwise(F.lit(spec.score_phrases[-1]))
-
-
-def marker_sentences(m: Column, name: str, spec: NoteSpec, ontology: Ontology) -> Column:
-    """Sentences of one expressed marker struct."""
+    steps = [
+        (x.any_true(f"{x.col(c)} >= {limit}" for c, limit in zip(spec.scores, step) if limit is not None), x.lit(text))
+        for step, text in zip(spec.score_steps, spec.score_phrases)
+    ]
+    return x.case(steps, x.lit(spec.score_phrases[-1]))
+
+
+def marker_sentences(m: str, name: str, spec: NoteSpec, ontology: Ontology) -> str:
+    """Sentences of one expressed marker struct (SQL expression ``m``)."""
+    self_subject, other_subject = (x.lit(s) for s in spec.subjects)
     if name == spec.graded:
-        described = F.coalesce(code_label(m["severity_code"], spec.graded_phrases), F.lit(spec.graded_unknown))
-        kept = F.lit(spec.graded_phrases[0])
-        return F.concat(
-            F.lit(spec.subjects[0] + " "), F.when(m["negated"] == 1, kept).otherwise(described), F.lit(".")
-        )
+        phrases = ", ".join(x.lit(p) for p in spec.graded_phrases)
+        described = f"coalesce(get(array({phrases}), {m}.severity_code), {x.lit(spec.graded_unknown)})"
+        kept = x.case([(f"{m}.negated = 1", x.lit(spec.graded_phrases[0]))], described)
+        return f"concat({self_subject}, ' ', {kept}, '.')"
     if name == spec.support:
-        return F.when(m["present"] == 1, F.lit(spec.support_phrases[0])).otherwise(F.lit(spec.support_phrases[1]))
-    term = F.lit(spec.terms[name])
-    subject = F.when(m["experiencer"] == ontology.other_experiencer, F.lit(spec.subjects[1])).otherwise(
-        F.lit(spec.subjects[0])
-    )
-    had, denies, has = spec.verbs
-    tense = F.nullif(mapped(m["temporality"], spec.tenses), F.lit(""))
-    remote = None
-    if name != spec.always_past:
-        remote = F.when(
-            m["remote_present"] == 1,
-            F.concat(F.concat_ws(" ", subject, F.lit(had), term, F.lit(spec.past)), F.lit(".")),
-        )
-    hedge = F.when(m["certainty"] == ontology.uncertain, F.lit(spec.hedge.strip()))
+        low, available = (x.lit(p) for p in spec.support_phrases)
+        return x.case([(f"{m}.present = 1", low)], available)
+    term = x.lit(spec.terms[name])
+    subject = x.case([(f"{m}.experiencer = {x.lit(ontology.other_experiencer)}", other_subject)], self_subject)
+    had, denies, has = (x.lit(v) for v in spec.verbs)
     # An empty tense leaves a space before the full stop.
-    end = F.when(tense.isNull(), F.lit(" .")).otherwise(F.concat(F.lit(" "), tense, F.lit(".")))
-    now = F.when(m["negated"] == 1, F.concat_ws(" ", subject, F.lit(denies), term)).otherwise(
-        F.concat_ws(" ", subject, hedge, F.lit(has), term)
+    end = x.case(
+        [(f"{m}.temporality = {x.lit(k)}", x.lit(f" {v}.")) for k, v in spec.tenses.items()], x.lit(" .")
+    )
+    hedge = f"CASE WHEN {m}.certainty = {x.lit(ontology.uncertain)} THEN {x.lit(spec.hedge.strip())} END"
+    now = x.case(
+        [(f"{m}.negated = 1", f"concat_ws(' ', {subject}, {denies}, {term})")],
+        f"concat_ws(' ', {subject}, {hedge}, {has}, {term})",
     )
-    stated = F.concat(now, end)
-    return stated if remote is None else F.concat_ws(" ", remote, stated)
+    stated = f"concat({now}, {end})"
+    if name == spec.always_past:
+        return stated
+    remote = f"concat({subject}, ' ', {had}, ' ', {term}, ' ', {x.lit(spec.past)}, '.')"
+    return f"concat_ws(' ', CASE WHEN {m}.remote_present = 1 THEN {remote} END, {stated})"
 
 
 def render_notes(
@@ -111,12 +105,15 @@ def render_notes(
         raise ValueError(f"forbidden keys in the input of a text stage: {leaked}")
     parts = [score_phrase(spec)]
     for i, name in enumerate(ontology.names):
-        m = F.get(markers, F.lit(i))
-        mentioned = (m["present"] == 1) | (m["negated"] == 1) | (m["remote_present"] == 1)
+        m = f"get({x.col(markers)}, {i})"
+        tests = [f"({m}.present = 1 OR {m}.negated = 1 OR {m}.remote_present = 1)"]
         if omission_rate > 0:
-            mentioned = mentioned & (uniform(seed, key, f"omit/{name}") >= omission_rate)
-        parts.append(F.when(mentioned, marker_sentences(m, name, spec, ontology)))
-    opening = code_label(F.floor(uniform(seed, key, "opening") * len(spec.openings)), spec.openings)
+            draw = x.uniform(x.lit(str(seed)), x.lit(f"omit/{name}"), x.col(key))
+            tests.append(f"{draw} >= {x.lit(float(omission_rate))}")
+        parts.append(f"CASE WHEN {x.all_true(tests)} THEN {marker_sentences(m, name, spec, ontology)} END")
+    openings = ", ".join(x.lit(o) for o in spec.openings)
+    draw = x.uniform(x.lit(str(seed)), x.lit("opening"), x.col(key))
+    opening = f"concat(get(array({openings}), int(floor({draw} * {len(spec.openings)}))), ':')"
     inputs = {
         key: F.col(key),
         **{c: F.col(c) for c in (*spec.scores, *audited)},
@@ -126,7 +123,7 @@ def render_notes(
     }
     told = df.select(
         key,
-        F.concat_ws(" ", F.concat(opening, F.lit(":")), *parts).alias("subjective"),
+        F.expr(f"concat_ws(' ', {opening}, {', '.join(parts)})").alias("subjective"),
         F.lit(spec.assessment).alias("assessment"),
         content_hash(inputs).alias("input_hash"),
     )

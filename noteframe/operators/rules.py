@@ -1,56 +1,55 @@
 """Ordinal rule matrix: urgent rules, weighted evidence counts and cut-offs.
 
-A term is a function ``Features -> boolean Column``. Thresholds are looked up by name, as
-numbers or as columns, so a scenario sweep can carry its own cut-offs in the rows.
+A term is a function ``Features -> boolean SQL``. Thresholds are looked up by name: numbers,
+or names of columns, so a scenario sweep can carry its own cut-offs in the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expr as x
 from ..functions.hashing import normal
-from ..functions.scalar import label_code, number_or, number_or_missing
 from .contracts import require_columns
 from .joins import join_one_to_one
-from .markers import Ontology, marker_column, marker_is_active
+from .markers import Ontology, active_sql, marker_column
 
 
 @dataclass(frozen=True)
 class Features:
-    """What a rule term may read: columns, markers under one prefix, named thresholds."""
+    """What a rule term may read, as SQL: columns, markers under one prefix, named thresholds."""
 
-    df: DataFrame
+    columns: frozenset
     prefix: str
     ontology: Ontology | None
     thresholds: Mapping[str, object]
 
-    def number(self, name: str) -> Column:
-        return number_or(F.col(name))
+    def number(self, name: str) -> str:
+        return x.number(x.col(name))
 
-    def threshold(self, name: str) -> Column:
+    def threshold(self, name: str) -> str:
         value = self.thresholds[name]
-        return value if isinstance(value, Column) else F.lit(float(value))
+        return x.col(value) if isinstance(value, str) else x.lit(float(value))
 
-    def active(self, marker: str) -> Column:
-        return marker_is_active(self.df.columns, self.prefix, marker, self.ontology, require_current=True)
+    def active(self, marker: str) -> str:
+        return active_sql(self.columns, self.prefix, marker, self.ontology, require_current=True)
 
-    def graded(self, marker: str) -> Column:
+    def graded(self, marker: str) -> str:
         """Severity code of a marker while it is active and current, else 0."""
-        code = number_or_missing(self.df, marker_column(self.prefix, marker, "severity_code")).cast("int")
-        return F.when(self.active(marker), code).otherwise(0)
+        name = marker_column(self.prefix, marker, "severity_code")
+        code = f"int({x.number(x.col(name))})" if name in self.columns else "0"
+        return f"(CASE WHEN {self.active(marker)} THEN {code} ELSE 0 END)"
 
 
-Term = Callable[[Features], Column]
+Term = Callable[[Features], str]
 
 
 def at_least(column: str, threshold: str) -> Term:
-    return lambda f: f.number(column) >= f.threshold(threshold)
+    return lambda f: f"({f.number(column)} >= {f.threshold(threshold)})"
 
 
 def active(marker: str) -> Term:
@@ -58,11 +57,11 @@ def active(marker: str) -> Term:
 
 
 def graded_at_least(marker: str, level: int) -> Term:
-    return lambda f: f.graded(marker) >= level
+    return lambda f: f"({f.graded(marker)} >= {level})"
 
 
 def all_of(*terms: Term) -> Term:
-    return lambda f: reduce(and_, [t(f) for t in terms])
+    return lambda f: x.all_true(t(f) for t in terms)
 
 
 @dataclass(frozen=True)
@@ -92,8 +91,8 @@ RULE_OUTPUTS = (
 )
 
 
-def _count(terms: Sequence[Term], features: Features) -> Column:
-    return reduce(add, [F.coalesce(t(features), F.lit(False)).cast("int") for t in terms])
+def _count(terms: Sequence[Term], features: Features) -> str:
+    return "(" + " + ".join(f"int(coalesce({t(features)}, false))" for t in terms) + ")"
 
 
 def apply_rule_matrix(
@@ -110,31 +109,35 @@ def apply_rule_matrix(
     Score noise needs an explicit seed and a key (the draw is a hash of both).
     """
     require_columns(df, matrix.inputs, "rule matrix")
-    features = Features(df, prefix, ontology, matrix.thresholds)
-    urgent = reduce(or_, [F.coalesce(t(features), F.lit(False)) for t in matrix.urgent])
+    f = Features(frozenset(df.columns), prefix, ontology, matrix.thresholds)
+    urgent = x.any_true(f"coalesce({t(f)}, false)" for t in matrix.urgent)
     counted = df.withColumns(
         {
-            "urgent_rule_triggered": urgent.cast("int"),
-            "priority_high_evidence": _count(matrix.high, features),
-            "priority_moderate_evidence": _count(matrix.moderate, features),
+            "urgent_rule_triggered": F.expr(f"int({urgent})"),
+            "priority_high_evidence": F.expr(_count(matrix.high, f)),
+            "priority_moderate_evidence": F.expr(_count(matrix.moderate, f)),
         }
     )
-    score = features.threshold("high_evidence_weight") * F.col("priority_high_evidence") + features.threshold(
-        "moderate_evidence_weight"
-    ) * F.col("priority_moderate_evidence")
+    score = F.expr(
+        f"{f.threshold('high_evidence_weight')} * priority_high_evidence"
+        f" + {f.threshold('moderate_evidence_weight')} * priority_moderate_evidence"
+    )
     if matrix.noise:
         if seed is None or key is None:
             raise ValueError("score noise needs an explicit seed and key")
         score = score + F.lit(float(matrix.noise)) * normal(seed, key, "label")
-    low, moderate, high, top = matrix.labels
-    label = (
-        F.when(F.col("urgent_rule_triggered") == 1, F.lit(top))
-        .when(F.col("priority_score") >= features.threshold("high_priority_cutoff"), F.lit(high))
-        .when(F.col("priority_score") >= features.threshold("moderate_priority_cutoff"), F.lit(moderate))
-        .otherwise(F.lit(low))
+    scored = counted.withColumn("priority_score", score)
+    code = x.case(
+        [
+            ("urgent_rule_triggered = 1", "3"),
+            (f"priority_score >= {f.threshold('high_priority_cutoff')}", "2"),
+            (f"priority_score >= {f.threshold('moderate_priority_cutoff')}", "1"),
+        ],
+        "0",
     )
-    scored = counted.withColumn("priority_score", score).withColumn("priority_label", label)
-    return scored.withColumn("priority_code", label_code("priority_label", matrix.labels))
+    coded = scored.withColumn("priority_code", F.expr(code))
+    names = ", ".join(x.lit(v) for v in matrix.labels)
+    return coded.withColumn("priority_label", F.expr(f"get(array({names}), priority_code)"))
 
 
 def assign_reference(

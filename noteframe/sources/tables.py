@@ -16,13 +16,22 @@ def stage_path(root: str, run_id: str, stage: str, name: str = "") -> str:
     return "/".join(p for p in (root.rstrip("/"), f"run_id={run_id}", f"stage={stage}", name) if p)
 
 
+_LOCAL_WORK_DIR: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local folder only where none is configured (tests)."""
+    """Shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests) may go without it and gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="noteframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL_WORK_DIR:
+        _LOCAL_WORK_DIR.append(tempfile.mkdtemp(prefix="noteframe-"))
+    return _LOCAL_WORK_DIR[0]
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
