@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 BASE_SEED = 20260324
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """One input table; its schema is read once per path, so later reads start no job."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:

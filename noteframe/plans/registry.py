@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clinical
+from . import classes, clinical, documents, files, tables
 
-MODULES = (clinical,)
+MODULES = (tables, clinical, documents, classes, files)
 
 
 def queries() -> dict:
