@@ -207,7 +207,7 @@ def calibration_fit(df: DataFrame, y: str, probabilities: Sequence[str], high_fr
     seen = data.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
     if seen["low"] is None or seen["low"] == seen["high"]:
         return spark.createDataFrame([(None, None)], schema)
-    fit = LogisticRegression(regParam=0.0, standardization=False, maxIter=200, tol=1e-10)
+    fit = LogisticRegression(regParam=0.0, standardization=False, maxIter=100, tol=1e-7)
     model = fit.fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(data))
     return spark.createDataFrame([(float(model.intercept), float(model.coefficients[0]))], schema)
 

@@ -85,18 +85,6 @@ def forbidden_map_keys(column: str, extra: Iterable[str] = ()) -> Column:
     return F.filter(F.map_keys(column), lambda k: F.lower(F.trim(k)).isin(*forbidden))
 
 
-def _walk(value, forbidden: set[str], path: str, found: list[str]) -> None:
-    if isinstance(value, dict):
-        for key, child in value.items():
-            child_path = f"{path}.{key}" if path else key
-            if key.strip().lower() in forbidden:
-                found.append(child_path)
-            _walk(child, forbidden, child_path, found)
-    elif isinstance(value, list):
-        for i, child in enumerate(value):
-            _walk(child, forbidden, f"{path}[{i}]", found)
-
-
 def forbidden_json_paths(json_text, extra: Iterable[str] = ()) -> Column:
     """Paths ``a.b[0].c`` of forbidden keys at any depth of a JSON text column.
 
@@ -107,15 +95,26 @@ def forbidden_json_paths(json_text, extra: Iterable[str] = ()) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def paths(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            found: list[str] = []
+        def walk(value, path: str) -> list[str]:
+            found = []
+            if isinstance(value, dict):
+                for key, child in value.items():
+                    below = f"{path}.{key}" if path else key
+                    if key.strip().lower() in forbidden:
+                        found.append(below)
+                    found += walk(child, below)
+            elif isinstance(value, list):
+                for i, child in enumerate(value):
+                    found += walk(child, f"{path}[{i}]")
+            return found
+
+        def one(text) -> list[str]:
             try:
-                _walk(json.loads(text) if text is not None else None, forbidden, "", found)
+                return walk(json.loads(text), "") if text is not None else []
             except ValueError:
-                found = []
-            out.append(found)
-        return pd.Series(out)
+                return []
+
+        return texts.map(one)
 
     return paths(F.col(json_text) if isinstance(json_text, str) else json_text)
 

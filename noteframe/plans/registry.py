@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classes, clinical, documents, files, tables
+from . import classes, clinical, documents, files, models, tables
 
-MODULES = (tables, clinical, documents, classes, files)
+MODULES = (tables, clinical, documents, classes, files, models)
 
 
 def queries() -> dict:
