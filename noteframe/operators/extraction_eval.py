@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import expr as x
 from ..functions.hashing import poisson_weight, uniform
 from ..functions.scalar import number_or
 from .markers import BINARY_FIELDS, CATEGORY_FIELDS, FEATURE_FIELDS, Ontology
@@ -150,32 +150,55 @@ def marker_metrics(cube: DataFrame, by: Sequence[str] = ("extractor",)) -> DataF
     """
     group = [*by, "marker", "dimension"]
     cells = confusion_long(cube, by, missing="", coerce=True)
-    # Absent categories count as the default label of the closed list on both sides.
-    ref, pred, n = F.col("reference"), F.col("predicted"), F.col("count")
-    sums = cells.groupBy(*group).agg(
-        F.sum("count").alias("n"),
-        F.sum(F.when((ref == "1") & (pred == "1"), n).otherwise(0)).alias("tp"),
-        F.sum(F.when(pred == "1", n).otherwise(0)).alias("found"),
-        F.sum(F.when(ref == "1", n).otherwise(0)).alias("actual"),
-        F.sum(F.when(ref == pred, n).otherwise(0)).alias("same"),
-        F.sum(F.abs(ref.try_cast("double") - pred.try_cast("double")) * n).alias("gap"),
+    # One row per group: the labels are closed lists, so a group holds a few dozen cells at
+    # most, and every figure is a fold over that array (no join, no second pass).
+    packed = cells.groupBy(*group).agg(
+        F.collect_list(F.struct("reference", "predicted", F.col("count").alias("n"))).alias("c")
     )
-    codes = cells.where("dimension = 'severity_code'")
-    labels = cells.where("dimension <> 'severity_code'")
-    kappas = plain_kappa(labels, group, "reference", "predicted", "count").unionByName(
-        quadratic_kappa(codes, group, "reference", "predicted", "count", need_two=True)
+
+    def total(test: str, term: str = "z.n", start: str = "0L") -> str:
+        return f"aggregate(filter(c, z -> {test}), {start}, (s, z) -> s + {term})"
+
+    labelled = packed.withColumn(
+        "l",
+        F.expr("array_sort(array_distinct(concat(transform(c, z -> z.reference), transform(c, z -> z.predicted))))"),
+    )
+    sums = labelled.selectExpr(
+        *group,
+        f"{total('true')} AS n",
+        total("z.reference = '1' AND z.predicted = '1'") + " AS tp",
+        total("z.predicted = '1'") + " AS found",
+        total("z.reference = '1'") + " AS actual",
+        total("z.reference = z.predicted") + " AS same",
+        total("true", "coalesce(abs(try_cast(z.reference AS DOUBLE) - try_cast(z.predicted AS DOUBLE)), 0D) * z.n", "0D")
+        + " AS gap",
+        total("true", "pow(array_position(l, z.reference) - array_position(l, z.predicted), 2) * z.n", "0D") + " AS o",
+        f"transform(l, v -> double({total('z.reference = v')})) AS r",
+        f"transform(l, v -> double({total('z.predicted = v')})) AS p",
     )
-    binary = F.col("dimension").isin(*BINARY_FIELDS)
-    tp, found, actual = F.col("tp"), F.col("found"), F.col("actual")
-    return sums.join(kappas, group, "left").select(
+
+    def moment(side: str, power: int) -> str:
+        return f"aggregate(transform({side}, (v, i) -> v * pow(i, {power})), 0D, (s, v) -> s + v)"
+
+    chance = "aggregate(zip_with(r, p, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+    plain = f"1D - (1D - same / n) / (1D - {chance} / (double(n) * n))"
+    expected = f"({moment('r', 2)} + {moment('p', 2)} - 2D * {moment('r', 1)} * {moment('p', 1)} / n)"
+    varied = "size(filter(r, v -> v > 0)) >= 2"
+    binary = x.one_of("dimension", BINARY_FIELDS)
+    coded = "dimension = 'severity_code'"
+
+    def share(part: str, whole: str, only: str) -> str:
+        return f"CASE WHEN {only} THEN CASE WHEN {whole} <> 0 THEN double({part}) / ({whole}) ELSE 0D END END"
+
+    return sums.selectExpr(
         *group,
         "n",
-        F.when(binary, ratio(tp, found)).alias("precision"),
-        F.when(binary, ratio(tp, actual)).alias("recall"),
-        F.when(binary, f1(tp, found, actual)).alias("f1"),
-        ratio(F.col("same"), F.col("n"), None).alias("accuracy"),
-        "kappa",
-        F.when(F.col("dimension") == "severity_code", ratio(F.col("gap"), F.col("n"), None)).alias("mae"),
+        share("tp", "found", binary) + " AS precision",
+        share("tp", "actual", binary) + " AS recall",
+        share("2 * tp", "found + actual", binary) + " AS f1",
+        "double(same) / n AS accuracy",
+        f"CASE WHEN {varied} THEN CASE WHEN {coded} THEN 1D - o / nullif({expected}, 0D) ELSE {plain} END END AS kappa",
+        f"CASE WHEN {coded} THEN gap / n END AS mae",
     )
 
 

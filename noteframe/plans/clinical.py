@@ -1098,7 +1098,7 @@ ev AS (SELECT scenario, patient_id, high, moderate, ((a0 = 1 AND a1 = 1) OR a2 =
   + 0.35 * ((phq9_total >= {t['phq_moderate']})::INT + (gad7_total >= {t['gad_moderate']})::INT + (idate_estado_total >= {t['stai_moderate']})::INT + (fs >= 1)::INT + a7 + a8) AS score
   FROM sw_a JOIN ms USING (scenario, patient_id))
 SELECT scenario, CASE WHEN urg THEN 'urgente' WHEN score >= high THEN 'alta' WHEN score >= moderate THEN 'moderada' ELSE 'baixa' END AS priority_label,
-  count(*)::BIGINT AS n, round(sum(score), 4) AS score_sum FROM ev GROUP BY ALL"""
+  count(*)::BIGINT AS n, round(sum(score)::DOUBLE, 4) AS score_sum FROM ev GROUP BY ALL"""
 
 
 @query(_sweep_sql())
