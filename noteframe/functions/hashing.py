@@ -71,10 +71,38 @@ def poisson_cut_points(n: int = 12) -> list[float]:
     return points
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count for a uniform draw: how often a row enters a replicate."""
-    points = poisson_cut_points()
-    weight = F.when(draw < points[0], 0)
-    for k, point in enumerate(points[1:], start=1):
-        weight = weight.when(draw < point, k)
-    return weight.otherwise(len(points))
+DRAWS_PER_HASH = 4
+
+
+def poisson_thresholds() -> list[str]:
+    """Cumulative Poisson(1) probabilities as 8 hex digits (32 bits)."""
+    return [format(min(int(p * 2**32), 2**32 - 1), "08x") for p in poisson_cut_points()]
+
+
+def poisson_case(digits: str) -> str:
+    """SQL: Poisson(1) count for 8 hex digits of a hash, by text comparison."""
+    points = poisson_thresholds()
+    steps = [(f"{digits} < {expr.lit(p)}", str(k)) for k, p in enumerate(points)]
+    return expr.case(steps, str(len(points)))
+
+
+def poisson_draws(seed: int, key: str, repetitions: int) -> Column:
+    """Array of (repetition, w) with w > 0: in which replicates a key enters, and how often.
+
+    One hash serves four replicates (32 bits each): replicate r reads digits 8 * (r % 4)
+    onwards of md5(seed|r div 4|key).
+    """
+    blocks = -(-repetitions // DRAWS_PER_HASH)
+    text = f"md5(concat_ws('|', {expr.lit(str(seed))}, string(b), string({expr.col(key)})))"
+    weights = ", ".join(
+        expr.struct(
+            [
+                ("repetition", f"int(h.b * {DRAWS_PER_HASH} + {j})"),
+                ("w", poisson_case(f"substring(h.m, {8 * j + 1}, 8)")),
+            ]
+        )
+        for j in range(DRAWS_PER_HASH)
+    )
+    hashes = f"transform(sequence(0, {blocks - 1}), b -> named_struct('b', b, 'm', {text}))"
+    every = f"flatten(transform({hashes}, h -> array({weights})))"
+    return F.expr(f"filter({every}, d -> d.w > 0 AND d.repetition < {repetitions})")

@@ -17,7 +17,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import poisson_weight, uniform
+from ..functions import expr as x
+from ..functions.hashing import poisson_draws, uniform
 from ..functions.scalar import clip, logit, row_total
 from .extraction_eval import f1, intervals_of_long, quadratic_kappa, ratio
 from .ordered import positions_by_draw, running_totals
@@ -90,22 +91,50 @@ def label_metrics(
     counts: DataFrame, n_classes: int, named_recalls: dict[str, int], by: Sequence[str] = ()
 ) -> DataFrame:
     """(by, metric, value): macro F1, quadratic kappa, ordinal MAE, recalls of named classes."""
-    classes = per_class(counts, n_classes, by)
-    recalls = [
-        F.max(F.when(F.col("class_code") == code, F.col("recall"))).alias(name)
-        for name, code in named_recalls.items()
-    ]
-    first = classes.groupBy(*by).agg(F.avg("f1").alias("f1_macro"), *recalls)
-    gap = counts.groupBy(*by).agg(
-        ratio(F.sum(F.abs(F.col("y") - F.col("yhat")) * F.col("n")), F.sum("n"), None).alias("ordinal_mae")
+    # At most K x K cells per group: every figure is a fold over one small array.
+    packed = counts.groupBy(*by).agg(F.collect_list(F.struct("y", "yhat", "n")).alias("c"))
+
+    def total(test: str, term: str = "z.n") -> str:
+        return f"aggregate(filter(c, z -> {test}), 0D, (s, z) -> s + {term})"
+
+    classes = ", ".join(
+        x.struct(
+            [
+                ("tp", total(f"z.y = {k} AND z.yhat = {k}")),
+                ("found", total(f"z.yhat = {k}")),
+                ("support", total(f"z.y = {k}")),
+            ]
+        )
+        for k in range(n_classes)
     )
-    kappa = quadratic_kappa(counts, by, "y", "yhat", "n").withColumnRenamed("kappa", "weighted_kappa")
-    return (
-        _long(first, by, ["f1_macro", *named_recalls])
-        .unionByName(_long(gap, by, ["ordinal_mae"]))
-        .unionByName(_long(kappa, by, ["weighted_kappa"]))
+    labels = "array_sort(array_distinct(concat(transform(c, z -> z.y), transform(c, z -> z.yhat))))"
+    sums = packed.selectExpr(*by, "c", f"array({classes}) AS k", f"{labels} AS l").selectExpr(
+        *by,
+        "k",
+        total("true") + " AS n",
+        total("true", "abs(z.y - z.yhat) * z.n") + " AS gap",
+        total("true", "pow(array_position(l, z.y) - array_position(l, z.yhat), 2) * z.n") + " AS o",
+        f"transform(l, v -> {total('z.y = v')}) AS r",
+        f"transform(l, v -> {total('z.yhat = v')}) AS p",
     )
 
+    def moment(side: str, power: int) -> str:
+        return f"aggregate(transform({side}, (v, i) -> v * pow(i, {power})), 0D, (s, v) -> s + v)"
+
+    def share(part: str, whole: str) -> str:
+        return f"CASE WHEN {whole} <> 0 THEN {part} / ({whole}) ELSE 0D END"
+
+    f1s = f"transform(k, z -> {share('2 * z.tp', 'z.found + z.support')})"
+    expected = f"({moment('r', 2)} + {moment('p', 2)} - 2D * {moment('r', 1)} * {moment('p', 1)} / n)"
+    values = {
+        "f1_macro": f"aggregate({f1s}, 0D, (s, v) -> s + v) / {n_classes}",
+        **{name: share(f"get(k, {code}).tp", f"get(k, {code}).support") for name, code in named_recalls.items()},
+        "ordinal_mae": "gap / nullif(n, 0D)",
+        "weighted_kappa": f"1D - o / nullif({expected}, 0D)",
+    }
+    rows = ", ".join(x.struct([("metric", x.lit(name)), ("value", v)]) for name, v in values.items())
+    return sums.select(*by, F.inline(F.expr(f"array({rows})")))
+
 
 def score_table(
     df: DataFrame, y: str, probabilities: Sequence[str], by: Sequence[str] = (), weight: str | None = None
@@ -294,8 +323,8 @@ def poisson_replicates(df: DataFrame, key: str, repetitions: int, seed: int) ->
 
     Weights are hashes of (seed, replicate, key). Class sizes are kept on average.
     """
-    drawn = df.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    return drawn.withColumn("w", poisson_weight(uniform(seed, key, F.col("repetition")))).where("w > 0")
+    drawn = df.select("*", F.inline_outer(poisson_draws(seed, key, repetitions)))
+    return drawn.where("w IS NOT NULL")
 
 
 def stratified_draws(df: DataFrame, key: str, y: str, repetitions: int, seed: int) -> DataFrame:

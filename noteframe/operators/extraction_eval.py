@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
-from ..functions.hashing import poisson_weight, uniform
+from ..functions.hashing import poisson_draws
 from ..functions.scalar import number_or
 from .markers import BINARY_FIELDS, CATEGORY_FIELDS, FEATURE_FIELDS, Ontology
 
@@ -351,9 +351,8 @@ def extraction_bootstrap(
         found = F.get(F.col("pred"), F.lit(i))["present"] == 1
         marks += [(f"tp{i}", truth & found), (f"fp{i}", ~truth & found), (f"fn{i}", truth & ~found)]
     slim = pairs.select(*by, key, *[c.cast("int").alias(n) for n, c in marks])
-    # Keys with the same outcome pattern and replicate share one row after partial aggregation.
-    drawn = slim.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    weighted = drawn.withColumn("w", poisson_weight(uniform(seed, key, F.col("repetition"))))
+    names = [n for n, _ in marks]
+    weighted = slim.select(*by, *names, F.inline_outer(poisson_draws(seed, key, repetitions))).where("w IS NOT NULL")
     sums = weighted.groupBy(*by, "repetition").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n, _ in marks])
     return _f1_of_counts(sums, [*by, "repetition"], len(ontology.names))
 

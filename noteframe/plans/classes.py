@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
 from . import sql
-from .clinical import poisson_case
+from .clinical import poisson_case, poisson_digits
 from .common import rounded, table
 
 QUERIES: dict = {}
@@ -175,7 +175,7 @@ def class_weights(spark, folder):
 
 
 _SEED = 6006
-_U = sql.draw(_SEED, "repetition::VARCHAR", "id")
+_U = poisson_digits(_SEED, "id")
 _WEIGHTED = f"""wt AS (SELECT * FROM (SELECT *, {poisson_case('u')} AS w FROM (
   SELECT pred.*, repetition, {_U} AS u FROM pred CROSS JOIN (SELECT unnest(range({REPETITIONS}))::INT AS repetition))) WHERE w > 0)"""
 _REP_ROWS = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
-from ..functions.hashing import stage_seed, uniform
+from ..functions.hashing import poisson_thresholds, stage_seed, uniform
 from ..functions.scalar import min_max, round_half_even
 from ..operators import extraction_eval as xe
 from ..operators.contracts import allowed_only, blank_form, visible_and_audit
@@ -621,11 +621,14 @@ def annotator_agreement(spark, folder):
 _BOOT_SEED = stage_seed(BASE_SEED, "bootstrap")
 
 
-def poisson_case(u: str) -> str:
-    from ..functions.hashing import poisson_cut_points
+def poisson_digits(seed: int, key: str, repetition: str = "repetition") -> str:
+    """SQL of the eight hash digits that decide a key's weight in a replicate."""
+    return f"substr(md5('{seed}|'||({repetition} // 4)||'|'||{key}), 1 + 8 * ({repetition} % 4), 8)"
 
-    points = poisson_cut_points()
-    return "CASE " + " ".join(f"WHEN {u} < {p!r} THEN {k}" for k, p in enumerate(points)) + f" ELSE {len(points)} END"
+
+def poisson_case(digits: str) -> str:
+    points = poisson_thresholds()
+    return "CASE " + " ".join(f"WHEN {digits} < '{p}' THEN {k}" for k, p in enumerate(points)) + f" ELSE {len(points)} END"
 
 
 _BOOT = f"""boot AS (
@@ -633,7 +636,7 @@ _BOOT = f"""boot AS (
     sum(w * ref_present * (1 - pred_present))::DOUBLE AS fn
   FROM (SELECT *, {poisson_case('u')} AS w FROM (
     SELECT p.marker, ref_present, pred_present, r.repetition,
-      {sql.draw(_BOOT_SEED, 'r.repetition::VARCHAR', 'patient_id::VARCHAR')} AS u
+      {poisson_digits(_BOOT_SEED, 'patient_id::VARCHAR', 'r.repetition')} AS u
     FROM pairs p CROSS JOIN (SELECT unnest(range({REPETITIONS})) AS repetition) r WHERE extractor = 'flipped'))
   GROUP BY repetition, marker),
 samples AS (SELECT repetition, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1,

@@ -21,6 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out evenly.
+
+    Text work is bound by CPU, so one small file should not run in one task. A table of
+    many files already has enough partitions and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Round doubles at the last step, so that summation order does not show."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
@@ -44,7 +58,10 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_acctbal").alias("bal"),
         F.col("c_mktsegment").alias("seg"),
     )
-    # Both sides hold a customer once: the primary key, and the output of a groupBy.
+    # Both sides hold a customer once: the primary key, and the output of a groupBy. The
+    # partition count is fixed here, so CPU-bound text work that follows keeps its tasks; the
+    # join needs this shuffle anyway and later joins on the key reuse it.
+    customers = customers.repartition(shuffle_partitions(spark), "patient_id")
     joined = customers.join(orders, "patient_id", "left")
     return joined.fillna(0, ["n_orders", "n_open", "n_urgent"]).fillna(0.0, ["total"])
 
