@@ -143,10 +143,9 @@ def renamed_prefix(df: DataFrame, old: str, new: str) -> DataFrame:
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """The row of one key; an unknown key fails the query."""
     row = df.where(F.col(key) == F.lit(value)).limit(1)
-    n = row.agg(F.count("*")).scalar()
-    found = df.sparkSession.range(1).select(n.alias("n"))
-    checked = guard(found, F.col("n") > 0, F.lit(f"key not found: {value}"))
-    return row.where(checked.exists())
+    # An aggregate always has one row, so the check also runs when nothing was found.
+    one = row.agg(F.count("*").alias("n"), F.first(F.struct(*df.columns)).alias("r"))
+    return guard(one, F.col("n") > 0, F.lit(f"key not found: {value}")).select("r.*")
 
 
 def visible_and_audit(
