@@ -50,7 +50,10 @@ def fit_and_predict(train: DataFrame, valid: DataFrame, candidate, task: Task):
     """(predictions of valid, preprocessing, fitted model); everything fitted on train only."""
     numeric, categorical = feature_types(train, (task.key, task.y, *task.excluded))
     prepared = fit_preprocessor(train, numeric, categorical)
-    fitted = copy(candidate).fit(prepared.transform(train), task.y, task.n_classes)
+    # Every fit passes over its rows many times: keep the assembled vectors for that long.
+    ready = prepared.transform(train).select("features", task.y).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = copy(candidate).fit(ready, task.y, task.n_classes)
+    ready.unpersist()
     return fitted.predict(prepared.transform(valid), task.n_classes), prepared, fitted
 
 
@@ -146,6 +149,8 @@ def model_summary(rows: DataFrame, registry: dict[str, list], task: Task, datase
                 json.dumps(final.params, sort_keys=True),
             )
         )
+    dev.unpersist()
+    test.unpersist()
     schema = "dataset string, model string, development_f1_macro double, final_test_f1_macro double, final_best_params string"
     return rows.sparkSession.createDataFrame(out, schema)
 

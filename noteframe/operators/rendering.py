@@ -31,13 +31,13 @@ class NoteSpec:
     subjects: tuple[str, str]
     tenses: Mapping[str, str]
     hedge: str
-    verbs: tuple[str, str, str] = ("apresentou", "nega", "apresenta")
-    past: str = "no passado"
-    openings: Sequence[str] = ()
-    assessment: str = ""
-    generator_id: str = ""
-    prompt_version: str = ""
-    id_prefix: str = ""
+    verbs: tuple[str, str, str]
+    past: str
+    openings: Sequence[str]
+    assessment: str
+    generator_id: str
+    prompt_version: str
+    id_prefix: str
 
 
 def score_phrase(spec: NoteSpec) -> str:
@@ -140,4 +140,5 @@ def render_notes(
 
 
 def soap_note(subjective: Column, assessment: Column) -> Column:
+    """Two sections; the headers are fixed values of the note format."""
     return F.concat(F.lit("S - "), subjective, F.lit("\nA - "), assessment)

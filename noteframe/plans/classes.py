@@ -9,7 +9,7 @@ from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
 from . import sql
 from .clinical import poisson_case, poisson_digits
-from .common import rounded, table
+from .common import rounded, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,9 +30,15 @@ def query(oracle: str | None = None):
     return register
 
 
-def predictions(spark, folder) -> DataFrame:
-    """One prediction per line item: class of the quantity, four probabilities, argmax."""
-    lines = table(spark, folder, "lineitem").select(
+def predictions(spark, folder, even: bool = False) -> DataFrame:
+    """One prediction per line item: class of the quantity, four probabilities, argmax.
+
+    ``even`` deals a small file out over the cores, for work that is bound by CPU.
+    """
+    source = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"
+    )
+    lines = (spread(source) if even else source).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         F.expr("int(least(3, floor((l_quantity - 1) / 12.5D)))").alias("y"),
         F.expr("l_quantity + l_linenumber * 3 + int(rint(l_discount * 100))").alias("s"),
@@ -193,7 +199,7 @@ rl AS (UNPIVOT (SELECT * FROM rm JOIN ro USING (repetition)) ON f1_macro, recall
 )
 def metric_intervals(spark, folder):
     """Bootstrap intervals of the label metrics over hashed Poisson weights."""
-    out = ce.bootstrap_intervals(predictions(spark, folder), "id", "y", "yhat", K, RECALLS, REPETITIONS, _SEED)
+    out = ce.bootstrap_intervals(predictions(spark, folder, True), "id", "y", "yhat", K, RECALLS, REPETITIONS, _SEED)
     return rounded(out, ["ci_2_5", "ci_97_5"])
 
 
@@ -208,7 +214,7 @@ SELECT repetition, y, yhat, sum(w)::BIGINT AS n FROM dr JOIN nb USING (y, no) GR
 )
 def stratified_draws(spark, folder):
     """Exact resampling inside classes: every replicate keeps the class sizes."""
-    drawn = ce.stratified_draws(predictions(spark, folder), "id", "y", _DRAWS, 77)
+    drawn = ce.stratified_draws(predictions(spark, folder, True), "id", "y", _DRAWS, 77)
     return ce.label_counts(drawn, "y", "yhat", ["repetition"], "w")
 
 
@@ -216,6 +222,6 @@ def stratified_draws(spark, folder):
 def probability_intervals(spark, folder):
     """Intervals of the full metric set over replicates; the label part has a SQL twin above."""
     out = ce.bootstrap_intervals(
-        predictions(spark, folder), "id", "y", "yhat", K, RECALLS, 5, _SEED, PROBS, PRECISIONS
+        predictions(spark, folder, True), "id", "y", "yhat", K, RECALLS, 5, _SEED, PROBS, PRECISIONS
     )
     return rounded(out, ["ci_2_5", "ci_97_5"], 4)

@@ -64,6 +64,8 @@ NOTE = NoteSpec(
     subjects=c.SUBJECTS,
     tenses=c.TENSES,
     hedge=c.HEDGE,
+    verbs=c.VERBS,
+    past=c.PAST,
     openings=c.OPENINGS,
     assessment=c.ASSESSMENT,
     generator_id=c.TEMPLATE_ID,

@@ -295,6 +295,8 @@ TERMS = {
 SUBJECTS = ("Paciente", "Um familiar")
 TENSES = {"atual": "atualmente", "remoto": "no passado", "nao_especificado": ""}
 HEDGE = "possivelmente "
+VERBS = ("apresentou", "nega", "apresenta")
+PAST = "no passado"
 OPENINGS = ("Usuário", "Pessoa acompanhada", "Paciente fictício")
 ASSESSMENT = (
     "Avaliação: Quadro compatível, no cenário sintético, com necessidade de acompanhamento "
