@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 OVERSAMPLE = 32
 
 
@@ -57,13 +59,20 @@ def running_totals(
     by: Sequence[str] = (),
     buckets: int | None = None,
     bucket: Column | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` along ``order`` inside each ``by`` group.
 
     ``bucket`` overrides the sampled buckets when a monotone, evenly spread bucket of
-    ``order`` is known (for example the leading digits of a uniform draw).
+    ``order`` is known (for example the leading digits of a uniform draw). The input is read
+    up to three times (cut points, bucket totals, rows); ``store`` checkpoints it first, which
+    pays off when it is the end of a long chain.
     """
     buckets = buckets or default_buckets(df)
+    names = df.columns
+    if store:
+        df = stored(df.withColumn("_order", order))
+        order = F.col("_order")
     group = [F.col(c) for c in by]
     base = df.withColumn("_order", order)
     if bucket is None:
@@ -85,7 +94,7 @@ def running_totals(
     )
     out = local.join(earlier, "_cell")
     return out.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in names],
         *[(F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in totals],
     )
 

@@ -40,9 +40,11 @@ def rank_key(label: Column, labels: Sequence[str], high: Column, top: Column, ke
     )
 
 
-def with_positions(df: DataFrame, order: Column, name: str = "position", buckets: int | None = None) -> DataFrame:
+def with_positions(
+    df: DataFrame, order: Column, name: str = "position", buckets: int | None = None, store: bool = False
+) -> DataFrame:
     """1..n over the whole table without a one-partition window."""
-    return positions(df, order, name, buckets=buckets)
+    return positions(df, order, name, buckets=buckets, store=store)
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
@@ -133,11 +135,13 @@ def ranked_table(
     include_reference: bool = False,
     check: Sequence[str] = ("left", "right"),
     buckets: int | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Readable table in inspection order, position first.
 
     Three left joins of pruned tables, an orphan guard, labels and formats; sorting uses the
-    numeric values, never the formatted texts.
+    numeric values, never the formatted texts. ``store`` checkpoints the joined table, so the
+    joins run once although positions read it three times.
     """
     key = spec.key
     require_columns(profiles, [key, *spec.profile], "profiles")
@@ -189,7 +193,7 @@ def ranked_table(
         *[c.alias(n) for n, c in shown.items()],
         rank_key(predicted, spec.labels, high, top, F.col(key)).alias("_rank"),
     )
-    numbered = with_positions(table, F.col("_rank"), t["position"], buckets)
+    numbered = with_positions(table, F.col("_rank"), t["position"], buckets, store)
     return numbered.select(t["position"], *shown).orderBy(t["position"])
 
 

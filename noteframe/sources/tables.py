@@ -34,6 +34,17 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_WORK_DIR[0]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several branches of a plan read (reliable checkpoint).
+
+    Files go to the checkpoint folder of the session, so lost executors cost no recomputation.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating column."""
     floats = (T.FloatType, T.DoubleType)

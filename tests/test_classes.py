@@ -121,6 +121,8 @@ def test_running_totals_with_a_hot_group(spark):
         assert r["t"] == pytest.approx(sum(before))
     order = [r["id"] for r in positions(df, F.struct("v", "id")).orderBy("position").collect()]
     assert order == [i for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0]))]
+    kept = positions(df, F.struct("v", "id"), buckets=3, store=True).orderBy("position")
+    assert kept.columns == ["id", "g", "v", "position"] and [r["id"] for r in kept.collect()] == order
 
 
 def test_stratified_draws_keep_class_sizes(scored):
