@@ -952,6 +952,7 @@ def ranked_classification(spark, folder):
         RANKED,
         include_reference=True,
         check=(),
+        store=True,
     )
 
 
