@@ -4,8 +4,8 @@ A term (a word, or a run of single letters written apart) is mapped to its subse
 three characters, gaps allowed: ``i..d..t`` weighs ``DECAY ** span``. The normalised kernel of
 two terms is the cosine of these maps, so letters put in between or left out cost weight, not
 the match. Landmark terms give the Nyström map, a squared-hinge support vector machine is
-trained on it, and a sentence scores as its most toxic term, a document as its most toxic
-sentence. As the kernel is an explicit inner product, the trained machine folds into one table
+trained on it. A document's score is a logistic curve over the margins of its most toxic terms
+and over how many it has. As the kernel is an explicit inner product, the trained machine folds into one table
 of weights per subsequence; scoring is a lookup and exact, not an approximation of it.
 
 The fit reads a bounded sample of labelled rows (``per_class`` of each label, by hash of the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import kept
 
@@ -126,26 +128,31 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.
 
 @dataclass
 class Model:
-    """Weight per subsequence, bias, and the logistic scale from margins to scores."""
+    """Weight per subsequence, bias, and the logistic weights from evidence to scores."""
 
     table: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    weights: np.ndarray
 
     def margins(self, terms: list[str]) -> np.ndarray:
         out = np.full(len(terms), self.bias)
         row, key, value = subsequences(encoded(terms))
         if len(row):
             out += np.bincount(row, self.table[key] * value, len(terms))
-        return out
+        return np.clip(out, -2, 2)
 
-    def score(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift))))
+    def scores(self, evidence: np.ndarray) -> np.ndarray:
+        x = np.hstack((evidence, np.ones((len(evidence), 1)))) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+#: What a document's score is read from: the margins of its three most toxic terms, how many
+#: terms are toxic, and how many per thousand words.
+EVIDENCE = 5
 
 
 class Scorer:
-    """Margins of texts; each distinct run between white space is computed once per worker.
+    """Evidence of texts; each distinct run between white space is computed once per worker.
 
     The memory of runs is bounded: at ``limit`` it starts anew.
     """
@@ -159,19 +166,21 @@ class Scorer:
             margins = self.model.margins(terms[i : i + 20_000])
             self.seen.update(zip(runs[i : i + 20_000], margins.tolist(), strict=True))
 
-    def margin(self, text: str | None) -> float:
+    def evidence(self, text: str | None) -> list[float]:
         text = text or ""
-        runs = set(text.encode().split())
-        for apart in _SPACED.findall(text):
-            runs.add(re.sub(r"\s", "", apart).encode())
-        if not runs:
-            return self.model.bias
+        words = text.encode().split()
+        words += [re.sub(r"\s", "", x).encode() for x in _SPACED.findall(text)]
+        runs = Counter(words)
         if len(self.seen) > self.limit:
             self.seen.clear()
         seen = self.seen
         if new := [r for r in runs if r not in seen]:
             self.learn(new)
-        return max(map(seen.__getitem__, runs))
+        margins = np.fromiter(map(seen.__getitem__, runs), float, len(runs))
+        times = np.fromiter(runs.values(), float, len(runs))
+        toxic = float((times / (1 + np.exp(-6 * margins))).sum())
+        top = np.sort(np.concatenate((margins, np.full(3, -2.0))))[:-4:-1]
+        return [*top.tolist(), math.log1p(toxic), min(3.0, 100 * toxic / (len(words) + 20))]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -228,8 +237,8 @@ def _tail(n: int, k: int, p: float) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def insult_terms(counts: DataFrame, share: float, most: int) -> list[str]:
-    """Terms that stand in toxic documents more often than chance explains.
+def insult_terms(counts: DataFrame, share: float, most: int) -> list[tuple[str, int, int]]:
+    """(term, toxic, clean) of terms in toxic documents more often than chance explains.
 
     The chance of a term's count, times the number of terms seen as often, must be under one
     half: about half a term is expected to come in by chance.
@@ -238,99 +247,120 @@ def insult_terms(counts: DataFrame, share: float, most: int) -> list[str]:
     sizes = {r["n"]: r["count"] for r in seen.groupBy("n").count().collect()}
     ratio = min(0.9, 3 * share)
     found = []
-    for r in seen.where(F.col("toxic") >= ratio * F.col("n")).orderBy(
-        F.desc("toxic"), "term"
-    ).limit(20 * most).collect():
+    likely = seen.where(F.col("toxic") >= ratio * F.col("n"))
+    for r in likely.orderBy(F.desc("toxic"), "term").limit(20 * most).collect():
         rivals = sum(c for n, c in sizes.items() if n >= r["n"])
         if _tail(min(r["n"], 900), min(r["toxic"], 900), share) * rivals < 0.5:
-            found.append(r["term"])
+            found.append((r["term"], r["toxic"], r["clean"]))
     return found[:most]
 
 
+def near_terms(counts: DataFrame, toxic: list[str], least: float, most: int) -> list[tuple[str, int]]:
+    """(term, clean) of the clean terms that the kernel holds nearest to the toxic ones."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = gram(batch.column(0).to_pylist(), toxic).max(1)
+            kept_rows = pa.array(np.flatnonzero(near >= least))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(kept_rows), batch.column(1).take(kept_rows),
+                 pa.array(near).take(kept_rows)], ["term", "clean", "near"]
+            )
+
+    clean = counts.where("clean > 0").select("term", "clean")
+    near = clean.mapInArrow(nearest, "term string, clean long, near double")
+    order = [F.desc(F.col("near") * F.log1p("clean")), F.col("term")]
+    return [(r["term"], r["clean"]) for r in near.orderBy(*order).limit(most).collect()]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 4000,
     landmarks: int = 300,
-    negatives: int = 40_000,
+    negatives: int = 20_000,
 ) -> Model:
     """Fit on at most ``per_class`` documents of each label.
 
-    The driver receives at most ``landmarks`` toxic terms, ``negatives`` clean ones and one
-    margin per sampled document. Without labels, or with none of a kind, every score is low.
+    The driver receives at most ``landmarks`` toxic terms, twice ``negatives`` clean ones and
+    five numbers per sampled document. Terms weigh as many documents as they stand in; a toxic
+    term that clean documents also have counts on both sides. Without labels, or with none of
+    a kind, every score is low.
     """
     rows = kept(training_rows(docs, labels, per_class))
     counts = kept(term_counts(rows))
-    sizes = rows.groupBy("toxic").count().collect()
-    size = {int(r["toxic"]): r["count"] for r in sizes}
+    size = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = size.get(1, 0) / max(1, sum(size.values()))
+    blank = np.zeros(ALPHABET**3, np.float32)
     toxic = insult_terms(counts, share, landmarks)
-    clean = counts.where("clean > 0 AND toxic <= clean").select("term")
-    clean = [r[0] for r in clean.orderBy(F.xxhash64("term"), "term").limit(negatives).collect()]
-    empty = Model(np.zeros(ALPHABET**3, np.float32), -1.0, 4.0, 0.0)
-    if not toxic or not clean:
-        return empty
-    known = set(toxic)
-    clean = [t for t in clean if t not in known]
-    near = gram(clean, toxic).max(1)
-    hard = [clean[i] for i in np.argsort(-near, kind="stable")[:64]]
-    centres = toxic + hard
+    if not toxic:
+        return Model(blank, -1.0, np.r_[np.zeros(EVIDENCE), -4.0])
+    names = [t for t, _, _ in toxic]
+    known = set(names)
+    hard = [(t, n) for t, n in near_terms(counts, names, 0.3, negatives) if t not in known]
+    plain = counts.where("clean > 0 AND toxic <= clean").orderBy(F.xxhash64("term"), "term")
+    plain = [(r["term"], r["clean"]) for r in plain.limit(negatives).collect()]
+    clean = {t: n for t, n in [*hard, *plain] if t not in known}
+    centres = names + [t for t, _ in hard[:200]]
     mapping = nystroem(centres)
-    terms = toxic + clean
+    shared = [(t, b) for t, _, b in toxic if b]
+    terms = [*names, *clean, *[t for t, _ in shared]]
     x = gram(terms, centres) @ mapping
-    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    cost = np.r_[np.full(len(toxic), 50.0), np.full(len(clean), 5.0)]
+    balance = min(8.0, (1 - share) / share)
+    cost = np.r_[
+        [balance * a for _, a, _ in toxic], [*clean.values()], [b for _, b in shared]
+    ].astype(float)
+    y = np.r_[np.ones(len(names)), -np.ones(len(clean) + len(shared))]
     weights = svm(x, y, cost)
     row, key, value = subsequences(encoded(centres))
     table = np.zeros(ALPHABET**3)
     np.add.at(table, key, value * (mapping @ weights[:-1])[row])
-    model = Model(table.astype(np.float32), float(weights[-1]), 4.0, 0.0)
-    seen = scored(rows.select("toxic", "text"), model, ["toxic"]).select("toxic", "margin").collect()
-    model.slope, model.shift = platt(np.array([r[1] for r in seen]), np.array([r[0] for r in seen]))
+    model = Model(table.astype(np.float32), float(weights[-1]), np.zeros(EVIDENCE + 1))
+    seen = scored(rows, model, ["toxic"]).select("toxic", "evidence").collect()
+    evidence = np.array([r["evidence"] for r in seen])
+    model.weights = logistic(evidence, np.array([r["toxic"] for r in seen], float))
     return model
 
 
-def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of the logistic curve from margins to labels, lightly held to a prior."""
-    a, b = 4.0, 0.0
-    x = np.c_[margin, np.ones(len(margin))]
+def logistic(x: np.ndarray, label: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Weights (the bias last) of a lightly ridged logistic regression, by Newton steps."""
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ (a, b), -30, 30)))
-        pull = np.array([a - 4.0, b])
-        step = np.linalg.solve(
-            x.T @ (x * (p * (1 - p))[:, None]) + 0.05 * np.eye(2), x.T @ (label - p) - 0.05 * pull
-        )
-        step *= min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
-        a, b = a + step[0], b + step[1]
-    return max(float(a), 0.5), float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (label - p) - 0.2 * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.2 * np.eye(len(w)), slope)
+        w = w + step * min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
+    return w
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with the margin and score of every whole text."""
+    """The ``keep`` columns with the evidence and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            margins = [scorer.margin(texts[i].as_py()) for i in range(len(texts))]
-            scores = [shared.value.score(m) for m in margins]
+            evidence = [scorer.evidence(texts[i].as_py()) for i in range(len(texts))]
+            scores = scorer.model.scores(np.array(evidence).reshape(-1, EVIDENCE))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(margins, pa.float64()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "margin", "score"],
+                [*arrays, pa.array(evidence, pa.list_(pa.float64())), pa.array(scores)],
+                [*batch.schema.names[:-1], "evidence", "score"],
             )
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("margin", "double").add("score", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text")).mapInArrow(
-        run, schema
+    columns = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*columns).schema.add("evidence", ArrayType(DoubleType())).add(
+        "score", DoubleType()
     )
+    return docs.select(*columns, F.col("text").alias("text")).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Scores lie in [0, 1]. Null and empty texts score as a sentence without any term. Equal
+    Scores lie in [0, 1]. Null and empty texts score as texts without any toxic term. Equal
     texts have equal scores; rows stay as they are, repeated or with a null doc_id (held_out
     is then null). Labels with null ids or values are ignored, further columns not read.
     """
