@@ -38,85 +38,95 @@ class ChunkTokenizer:
     runs is bounded: at ``limit`` it starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.marks = {m: self._encode([m])[0] for m in (",", ".")}
+        found = {m: self._encode([m])[0] for m in ",."}
+        self.marks = {m: i + 1 for i, m in enumerate(found) if len(found[m]) == 1}
+        self.mark_ids = np.array([0, *[ids[0] for ids in found.values()]], np.uint32)
         self.clear()
 
     def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
-        self.cores: dict[str, np.ndarray] = {}
+        self.cores: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
-
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """As ``_encode`` for runs of letters, many to a call."""
-        out: list[np.ndarray] = []
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _keep(self, names: list[str], ids: list[int], sizes: np.ndarray) -> None:
+        """Append the ids of new cores, all in one array, to ``flat`` and ``ends``."""
+        low, n = int(self.ends[self.n]), len(names)
+        while low + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.n + n + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[low : low + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + n + 1] = low + np.cumsum(sizes)
+        self.cores.update(zip(names, range(self.n, self.n + n), strict=True))
+        self.n += n
+
+    def _keep_each(self, names: list[str]) -> None:
+        found = self._encode(names)
+        self._keep(names, [i for x in found for i in x], np.array([*map(len, found)], np.int64))
+
+    def _keep_words(self, words: list[str]) -> None:
+        """Runs of letters are one pre-token each, so many go through one call."""
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            at = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-            if len(at) == 0 or at.min() < 0 or at[-1] + 1 != len(part):
-                out += self._encode(part)
-                continue
-            cuts = np.searchsorted(at, np.arange(1, len(part)))
-            out += np.split(np.array(found.ids, np.uint32), cuts)
-        return out
+            at = found.word_ids
+            if None in at or not at or at[-1] + 1 != len(part):
+                self._keep_each(part)
+            else:
+                self._keep(part, found.ids, np.bincount(at, minlength=len(part)))
 
     def _learn(self, runs: list[bytes]) -> None:
         split, words, others = [], {}, {}
         for raw in runs:
-            text = raw.lower().decode()
-            core, mark = text, ""
-            if text[-1] in ",." and len(text) > 1 and text[-2].isalpha():
-                core, mark = text[:-1], text[-1]
+            core, mark = raw.lower().decode(), 0
+            if core[-1] in self.marks and len(core) > 1 and core[-2].isalpha():
+                core, mark = core[:-1], self.marks[core[-1]]
             split.append((raw, core, mark))
             if core not in self.cores:
                 (words if core.isalpha() else others)[core] = None
-        self.cores.update(zip(words, self._encode_words([*words]), strict=True))
-        self.cores.update(zip(others, self._encode([*others]), strict=True))
+        self._keep_words([*words])
+        if others:
+            self._keep_each([*others])
         for raw, core, mark in split:
-            ids = self.cores[core]
-            if mark:
-                ids = np.concatenate((ids, self.marks[mark]))
-            low = self.ends[self.n]
-            high = low + len(ids)
-            while high > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            if self.n + 1 >= len(self.ends):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            self.flat[low:high] = ids
-            self.ends[self.n + 1] = high
-            self.seen[raw] = self.n
-            self.n += 1
+            self.seen[raw] = self.cores[core] * 4 + mark
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers; a null text has none."""
         runs = (text or "").encode().split()
         if not runs:
             return np.empty(0, np.uint32)
-        if self.n > self.limit:
+        if len(self.seen) > self.limit:
             self.clear()
         get = self.seen.get
         found = [get(r, -1) for r in runs]
         if -1 in found:
             self._learn(list(dict.fromkeys(r for r, i in zip(runs, found, strict=True) if i < 0)))
             found = [self.seen[r] for r in runs]
-        at = np.array(found)
+        codes = np.array(found)
+        at, mark = codes >> 2, codes & 3
         low = self.ends[at]
         size = self.ends[at + 1] - low
-        total = np.cumsum(size)
-        index = np.repeat(low - (total - size), size) + np.arange(total[-1])
-        return self.flat[index]
+        total = np.cumsum(size + (mark > 0))
+        index = np.repeat(low + size - total, size + (mark > 0)) + np.arange(total[-1])
+        # a mark follows its core: the slot after the core's ids is read from the marks
+        marked = mark > 0
+        index = index + np.repeat(marked.astype(np.int64), size + marked)
+        last = total[marked] - 1
+        index[last] = 0
+        out = self.flat[index]
+        out[last] = self.mark_ids[mark[marked]]
+        return out
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
