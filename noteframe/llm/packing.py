@@ -38,7 +38,7 @@ class ChunkTokenizer:
     runs is bounded: at ``limit`` it starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +51,6 @@ class ChunkTokenizer:
 
     def clear(self) -> None:
         self.seen: dict[bytes, int] = {}
-        self.cores: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.n = 0
@@ -59,27 +58,27 @@ class ChunkTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _keep(self, names: list[str], ids: list[int], sizes: np.ndarray) -> None:
-        """Append the ids of new cores, all in one array, to ``flat`` and ``ends``."""
-        low, n = int(self.ends[self.n]), len(names)
+    def _keep(self, runs: list[bytes], ids: list[int], sizes: np.ndarray) -> None:
+        """Append the ids of new runs, all in one array, to ``flat`` and ``ends``."""
+        low, n = int(self.ends[self.n]), len(runs)
         while low + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while self.n + n + 1 > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         self.flat[low : low + len(ids)] = ids
         self.ends[self.n + 1 : self.n + n + 1] = low + np.cumsum(sizes)
-        self.cores.update(zip(names, range(self.n, self.n + n), strict=True))
+        self.seen.update(zip(runs, range(4 * self.n, 4 * (self.n + n), 4), strict=True))
         self.n += n
 
-    def _keep_each(self, names: list[str]) -> None:
-        found = self._encode(names)
-        self._keep(names, [i for x in found for i in x], np.array([*map(len, found)], np.int64))
+    def _keep_each(self, runs: list[bytes]) -> None:
+        found = self._encode([r.decode() for r in runs])
+        self._keep(runs, [i for x in found for i in x], np.array([*map(len, found)], np.int64))
 
-    def _keep_words(self, words: list[str]) -> None:
+    def _keep_words(self, words: list[bytes]) -> None:
         """Runs of letters are one pre-token each, so many go through one call."""
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
             at = found.word_ids
             if None in at or not at or at[-1] + 1 != len(part):
                 self._keep_each(part)
@@ -87,19 +86,21 @@ class ChunkTokenizer:
                 self._keep(part, found.ids, np.bincount(at, minlength=len(part)))
 
     def _learn(self, runs: list[bytes]) -> None:
+        """A run is known by the number of its lower-case core times 4, plus its mark."""
         split, words, others = [], {}, {}
         for raw in runs:
-            core, mark = raw.lower().decode(), 0
-            if core[-1] in self.marks and len(core) > 1 and core[-2].isalpha():
-                core, mark = core[:-1], self.marks[core[-1]]
+            core, mark = raw.lower(), 0
+            text = core.decode()
+            if text[-1] in self.marks and len(text) > 1 and text[-2].isalpha():
+                core, mark, text = core[:-1], self.marks[text[-1]], text[:-1]
             split.append((raw, core, mark))
-            if core not in self.cores:
-                (words if core.isalpha() else others)[core] = None
+            if core not in self.seen:
+                (words if text.isalpha() else others)[core] = None
         self._keep_words([*words])
         if others:
             self._keep_each([*others])
         for raw, core, mark in split:
-            self.seen[raw] = self.cores[core] * 4 + mark
+            self.seen[raw] = self.seen[core] + mark
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers; a null text has none."""

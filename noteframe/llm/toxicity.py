@@ -84,7 +84,7 @@ def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, key, value / norm[row]
 
 
-def gram(terms: list[str], landmarks: list[str], block: int = 2000) -> np.ndarray:
+def gram(terms: list[str], landmarks: list[str], block: int = 500) -> np.ndarray:
     """Kernel values of terms against landmarks."""
     l_row, l_key, l_value = subsequences(encoded(landmarks))
     known, place = np.unique(l_key, return_inverse=True)
@@ -157,14 +157,14 @@ class Scorer:
     The memory of runs is bounded: at ``limit`` it starts anew.
     """
 
-    def __init__(self, model: Model, limit: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit, self.seen = model, limit, {}
 
     def learn(self, runs: list[bytes]) -> None:
         terms = [letters(r.decode()) for r in runs]
-        for i in range(0, len(runs), 20_000):
-            margins = self.model.margins(terms[i : i + 20_000])
-            self.seen.update(zip(runs[i : i + 20_000], margins.tolist(), strict=True))
+        for i in range(0, len(runs), 4_000):
+            margins = self.model.margins(terms[i : i + 4_000])
+            self.seen.update(zip(runs[i : i + 4_000], margins.tolist(), strict=True))
 
     def evidence(self, text: str | None) -> list[float]:
         text = text or ""
