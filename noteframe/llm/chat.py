@@ -140,8 +140,9 @@ def format_conversations(
             return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                piece = batch.slice(low, 4096)
+            step = max(1, min(4096, batch.num_rows * part_bytes // max(1, batch.nbytes)))
+            for low in range(0, batch.num_rows, step):
+                piece = batch.slice(low, step)
                 ids = piece.column(0).to_pylist()
                 if waiting and ids[0] != of:
                     yield _table(joined(), part, learned)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote, urlparse
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,13 +87,3 @@ def components(links: DataFrame, left: str = "left", right: str = "right") -> Da
 def as_row(df: DataFrame) -> Column:
     """All columns as one struct, so that columns added beside it cannot clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def host_of(url: str | None) -> str:
-    """Host of a URL in lower case; an empty string where there is none."""
-    if not url:
-        return ""
-    try:
-        return unquote(urlparse(re.sub(r"\s+", "", url)).netloc).lower()
-    except ValueError:
-        return ""

@@ -86,16 +86,20 @@ class ChunkTokenizer:
                 self._keep(part, found.ids, np.bincount(at, minlength=len(part)))
 
     def _learn(self, runs: list[bytes]) -> None:
-        """A run is known by the number of its lower-case core times 4, plus its mark."""
+        """A run is known by the number of its core times 4, plus its mark.
+
+        Cores of letters are lower-cased; others may hold a special token and stay as they are.
+        """
         split, words, others = [], {}, {}
         for raw in runs:
-            core, mark = raw.lower(), 0
-            text = core.decode()
+            core, mark, text = raw, 0, raw.decode()
             if text[-1] in self.marks and len(text) > 1 and text[-2].isalpha():
-                core, mark, text = core[:-1], self.marks[text[-1]], text[:-1]
+                core, mark, text = raw[:-1], self.marks[text[-1]], text[:-1]
+            letters = text.isalpha()
+            core = core.lower() if letters else core
             split.append((raw, core, mark))
             if core not in self.seen:
-                (words if text.isalpha() else others)[core] = None
+                (words if letters else others)[core] = None
         self._keep_words([*words])
         if others:
             self._keep_each([*others])

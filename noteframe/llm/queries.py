@@ -92,4 +92,105 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, place % 3 AS class, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE
+         ELSE 1.0::DOUBLE END AS weight FROM s
+), r AS (SELECT *, 3 * size / weight AS ratio FROM w
+), l AS (
+  SELECT *, (sum(size) OVER () - 3 * (sum(size) OVER (ORDER BY ratio, place) - size))::BIGINT
+            / sum(weight) OVER (ORDER BY ratio DESC, place DESC) AS level
+  FROM r
+), m AS (
+  SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1
+), t AS (
+  SELECT source, size AS source_size, class,
+         coalesce(least(weight * (SELECT level FROM m), 3.0::DOUBLE * size), 0) AS target
+  FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.class,
+         floor(t.target + 0.5)::BIGINT AS demand,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING)
+          - d.size)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, greatest(0, least(size, demand - before))
+            + greatest(0, least(size, demand - before - source_size))
+            + greatest(0, least(size, demand - before - 2 * source_size)) AS taken,
+         least(size, demand - before) > 0 AS met,
+         CASE WHEN demand > 0 THEN before / demand END AS share
+  FROM p
+), g AS (
+  SELECT *, CASE WHEN class = 1 THEN 0.0::DOUBLE
+                 WHEN class = 0 THEN if(share < 0.625, 0.0::DOUBLE, 0.625::DOUBLE)
+                 ELSE if(share < 0.375, 0.0::DOUBLE, 0.375::DOUBLE) END AS low,
+         CASE class WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS slope
+  FROM k
+), h AS (
+  SELECT *, if(low > 0, 0.5::DOUBLE, 0.0::DOUBLE) AS t0,
+         CASE WHEN class = 1 OR low > 0 THEN 1.0::DOUBLE WHEN class = 0 THEN 1.5::DOUBLE
+              ELSE 0.5::DOUBLE END AS w0
+  FROM g
+)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+       CASE WHEN met THEN floor((t0 + 2 * (share - low)
+         / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (share - low), 0)))) * 1000000)::BIGINT
+       END AS first_position
+FROM h
+"""
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), f AS (
+  SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'),
+                              chr(10), '\' || chr(10)) || chr(10)
+            || replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<')
+            || '</turn>' || chr(10) AS formatted
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+              ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+              FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row,
+         list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS query_id, a.row AS query_row, b.vec_id AS vec_id,
+         list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row != b.row AND len(a.q) = len(b.q)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id))::INTEGER
+       AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+#: Hashes, trained models, tokenizers and parsed markup are beyond SQL: the other queries are
+#: tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op2_curriculum_mix": MIX_SQL,
+    "op7_chat": CHAT_SQL,
+    "op8_topk": TOPK_SQL,
+}

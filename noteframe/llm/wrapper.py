@@ -34,7 +34,7 @@ INLINE = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
 NO_CONTENT = frozenset(
-    "head nav header footer aside form button select dialog menu fieldset figure-ad".split()
+    "head nav header footer aside form button select dialog menu".split()
 ) | RAW
 MAIN = frozenset(("article", "main"))
 BOILERPLATE = re.compile(
@@ -176,13 +176,13 @@ class Node:
         self.key, self.tag, self.boiler, self.children = key, tag, boiler, children
         self.pages, self.mark, self.letters, self.links = pages, mark, letters, links
 
-    def shape(self) -> tuple:
-        return (self.key, *[c.shape() for c in self.children])
-
-    def add(self, other: Node) -> None:
-        self.pages += other.pages
-        if self.mark != other.mark:
-            self.mark = None
+    def add(self, other: Node, same_page: bool) -> None:
+        if same_page:  # siblings that fold: their texts together are the node's text
+            self.mark = _mark(f"{self.mark} {other.mark}")
+        else:
+            self.pages += other.pages
+            if self.mark != other.mark:
+                self.mark = None
         self.letters += other.letters
         self.links += other.links
 
@@ -236,23 +236,22 @@ def pairs(a: list[Node], b: list[Node], memo: dict) -> list[tuple[int | None, in
     return out[::-1]
 
 
-def merge(a: Node, b: Node, memo: dict | None = None) -> Node:
+def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """Fold ``b`` into ``a``: aligned nodes add up, others are inserted where they stand."""
-    a.add(b)
+    a.add(b, same_page)
     if [c.key for c in a.children] == [c.key for c in b.children]:
         for x, y in zip(a.children, b.children, strict=True):
-            merge(x, y)
+            merge(x, y, same_page)
         return a
-    memo = {} if memo is None else memo
     children = []
-    for i, j in pairs(a.children, b.children, memo):
+    for i, j in pairs(a.children, b.children, {}):
         if i is None:
             children.append(b.children[j])
         elif j is None:
             children.append(a.children[i])
         else:
             children.append((a.children[i], b.children[j]))
-    a.children = [merge(*c) if isinstance(c, tuple) else c for c in children]
+    a.children = [merge(*c, same_page) if isinstance(c, tuple) else c for c in children]
     return a
 
 
@@ -260,37 +259,21 @@ def _mark(text: str) -> str:
     return blake2b(" ".join(text.split()).encode(), digest_size=6).hexdigest()
 
 
-def folded(block: Block, of: dict | None = None) -> Node:
-    """The wrapper of one page; ``of`` gets the node of each block."""
+def folded(block: Block) -> Node:
+    """The wrapper of one page: siblings of one kind that follow each other are one node."""
     text = block.text()
-    letters = len(text)
-    node = Node(block.key, block.tag, block.boiler, 1, _mark(text), letters, block.links, [])
-    last = None
+    node = Node(block.key, block.tag, block.boiler, 1, _mark(text), len(text), block.links, [])
     for part in block.parts:
         if isinstance(part, str):
             continue
         child = folded(part)
-        if last is not None and last.key == child.key:
-            pages = last.pages
-            merge(last, child)
-            last.pages = pages
+        if node.children and node.children[-1].key == child.key:
+            merge(node.children[-1], child, True)
         else:
             node.children.append(child)
-            last = child
-    for x in node.children:
-        _once(x)
     return node
 
 
-def _once(node: Node) -> None:
-    """Folded siblings are one node of one page, with a text that differs from page to page."""
-    if node.pages > 1 or node.mark is None:
-        node.pages = 1
-        node.mark = node.mark or f"many:{node.letters}"
-    for x in node.children:
-        _once(x)
-
-
 class Wrapper:
     """A host's wrapper, ready to read pages."""
 
