@@ -35,11 +35,6 @@ def sentences(text: str) -> Column:
     return F.expr(sentences_sql(x.col(text)))
 
 
-def matches_any(text: str, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    """True if any pattern is found in a lower-cased text column."""
-    return F.expr(x.found(x.col(text), patterns, ignore_case))
-
-
 def content_hash(columns: Mapping[str, Column] | Sequence[str]) -> Column:
     """SHA-256 of the JSON of the named columns in sorted name order."""
     if not isinstance(columns, Mapping):

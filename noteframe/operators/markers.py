@@ -184,7 +184,8 @@ def normalize_markers(
 ) -> DataFrame:
     """Map marker -> JSON text (object or scalar) to the nested form plus all violations.
 
-    ``violations`` holds ``marker.problem`` texts; an empty array means the row is valid.
+    ``violations`` holds ``marker.problem`` texts (``name.unknown`` for a marker that the
+    ontology lacks); an empty array means the row is valid.
     """
     r = x.col(raw)
     parsed = x.struct(
@@ -210,6 +211,9 @@ def normalize_markers(
         scalar, scalar_problems = scalar_marker(spec, text, ontology)
         structs.append(f"CASE WHEN {is_object} THEN {full} ELSE {scalar} END")
         wrong.append(f"CASE WHEN {is_object} THEN {full_problems} ELSE {scalar_problems} END")
+    known = ", ".join(x.lit(spec.name) for spec in ontology.markers)
+    strange = f"filter(map_keys({r}), k -> k NOT IN ({known}))"
+    wrong.append(f"coalesce(transform({strange}, k -> concat(k, '.unknown')), array())")
     return staged.withColumns(
         {out: F.expr(f"array({', '.join(structs)})"), problems: F.expr(f"flatten(array({', '.join(wrong)}))")}
     ).drop("_raw")

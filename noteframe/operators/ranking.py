@@ -195,7 +195,3 @@ def ranked_table(
     )
     numbered = with_positions(table, F.col("_rank"), t["position"], buckets, store)
     return numbered.select(t["position"], *shown).orderBy(t["position"])
-
-
-def class_totals(table: DataFrame, label: str) -> DataFrame:
-    return table.groupBy(label).agg(F.count("*").alias("n"))

@@ -15,10 +15,18 @@ from .ordered import default_buckets, positions_by_draw
 
 
 def first_n_per_stratum(df: DataFrame, stratum: str, order: Sequence, n: int) -> DataFrame:
-    """Up to n rows per stratum. The rank limit is applied before the shuffle as well, so a
-    hot stratum sends at most n rows per task."""
-    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(stratum).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    """Up to n rows per stratum, for any n.
+
+    Rows are ranked inside hash buckets of a stratum first, so a hot stratum is split; the
+    rank over the stratum then sees at most n rows of each bucket.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(default_buckets(df)))
+
+    def limited(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    return limited(limited(df.withColumn("_part", part), stratum, "_part"), stratum).drop("_part")
 
 
 def stratified_sample(

@@ -9,7 +9,7 @@ from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
 from . import sql
 from .clinical import poisson_case, poisson_digits
-from .common import rounded, spread, table
+from .common import rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,15 +30,12 @@ def query(oracle: str | None = None):
     return register
 
 
-def predictions(spark, folder, even: bool = False) -> DataFrame:
-    """One prediction per line item: class of the quantity, four probabilities, argmax.
-
-    ``even`` deals a small file out over the cores, for work that is bound by CPU.
-    """
+def predictions(spark, folder) -> DataFrame:
+    """One prediction per line item: class of the quantity, four probabilities, argmax."""
     source = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"
     )
-    lines = (spread(source) if even else source).select(
+    lines = source.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         F.expr("int(least(3, floor((l_quantity - 1) / 12.5D)))").alias("y"),
         F.expr("l_quantity + l_linenumber * 3 + int(rint(l_discount * 100))").alias("s"),

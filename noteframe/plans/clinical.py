@@ -43,7 +43,7 @@ from ..operators.sampling import (
 )
 from ..presets import clinical as c
 from . import sql
-from .common import ACCOUNTS_SQL, BASE_SEED, accounts, bigint, rounded
+from .common import ACCOUNTS_SQL, BASE_SEED, accounts, rounded
 
 ONT = c.ONTOLOGY
 KEY = c.KEY
@@ -1145,5 +1145,3 @@ def scenario_sweep(spark, folder):
     )
     return rounded(out, ["score_sum"], 4)
 
-
-__all__ = ["QUERIES", "ORACLES", "bigint"]

@@ -25,16 +25,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores, dealt out evenly.
-
-    Text work is bound by CPU, so one small file should not run in one task. A table of
-    many files already has enough partitions and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Round doubles at the last step, so that summation order does not show."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})

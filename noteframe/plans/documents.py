@@ -13,7 +13,7 @@ from ..operators.markers import FIELDS, markers_long, markers_wide, paired_marke
 from ..operators.rendering import soap_note
 from ..presets import web
 from . import sql
-from .common import rounded, spread, table
+from .common import rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,7 +36,7 @@ _O = web.ONTOLOGY
 
 @query(f"{_SENT} SELECT doc_id, position::INT AS position, md5(s) AS sentence_md5 FROM sent")
 def sentences(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = ex.sentence_rows(docs, "doc_id", "text")
     return rows.select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
 
@@ -48,14 +48,14 @@ def sentences(spark, folder):
 SELECT temporality, certainty, experiencer, count(*)::BIGINT AS n FROM q GROUP BY ALL"""
 )
 def sentence_cues(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = ex.sentence_rows(docs, "doc_id", "text")
     cues = ex.qualified_sentences(rows, "sentence", _O)
     return cues.groupBy("temporality", "certainty", "experiencer").agg(F.count("*").alias("n"))
 
 
 def web_markers(spark, folder, ontology=_O, extractor_id="web") -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return ex.extract_markers(
         docs, "doc_id", "text", ontology, extractor_id=extractor_id, document_prefilter=True
     )

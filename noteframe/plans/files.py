@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import tables as io
-from . import sql
 from .common import table
 
 QUERIES: dict = {}
@@ -80,11 +79,9 @@ def run_bundle(spark, folder):
     """Tables published under run and stage folders, loaded as one named bundle."""
     root = _fresh(spark)
     io.write_stage(table(spark, folder, "customer"), root, "r1", "01_profiles", "customer")
-    io.write_stage(table(spark, folder, "orders").drop("o_orderdate"), root, "r1", "02_scores", "orders")
+    io.write_stage(table(spark, folder, "orders"), root, "r1", "02_scores", "orders")
     tables = {"profiles": ("01_profiles", "customer"), "scores": ("02_scores", "orders")}
     bundle = io.load_bundle(spark, root, "r1", tables)
     joined = bundle["profiles"].join(bundle["scores"], F.col("c_custkey") == F.col("o_custkey"))
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n_orders"))
 
-
-__all__ = ["QUERIES", "ORACLES", "sql"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,22 +15,15 @@ def stage_path(root: str, run_id: str, stage: str, name: str = "") -> str:
     return "/".join(p for p in (root.rstrip("/"), f"run_id={run_id}", f"stage={stage}", name) if p)
 
 
-_LOCAL_WORK_DIR: list[str] = []
-
-
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster in ``spark.checkpoint.dir``.
+    """Folder for files between steps: the one that ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session (tests) may go without it and gets a temporary folder.
+    Where it is unset, a folder below the session's warehouse, which executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_WORK_DIR:
-        _LOCAL_WORK_DIR.append(tempfile.mkdtemp(prefix="noteframe-"))
-    return _LOCAL_WORK_DIR[0]
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -126,7 +118,9 @@ def load_bundle(
     for name, (stage, table) in tables.items():
         try:
             found[name] = spark.read.parquet(stage_path(root, run_id, stage, table))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             missing.append(f"{stage}/{table}")
     if missing:
         raise FileNotFoundError("missing tables: " + ", ".join(sorted(missing)))

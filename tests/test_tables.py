@@ -20,7 +20,14 @@ from noteframe.operators.contracts import (
 )
 from noteframe.operators.extraction_eval import annotator_agreement
 from noteframe.operators.features import analytic_sets
-from noteframe.operators.markers import FEATURE_FIELDS, FIELDS, marker_column, markers_from_wide, markers_wide
+from noteframe.operators.markers import (
+    FEATURE_FIELDS,
+    FIELDS,
+    marker_column,
+    markers_from_wide,
+    markers_wide,
+    normalize_markers,
+)
 from noteframe.operators.rendering import render_notes
 from noteframe.operators.rules import RULE_OUTPUTS, apply_rule_matrix, rule_baseline
 from noteframe.plans.clinical import ANALYTIC, NOTE, RANKED
@@ -262,3 +269,18 @@ def test_files(spark, tmp_path):
 
 def test_fields_are_stable():
     assert len(FIELDS) == 9 and len(c.ONTOLOGY.names) == 10
+
+
+def test_many_rows_of_a_hot_stratum(spark):
+    """A stratum with nearly all rows is ranked in buckets, also beyond Spark's rank limit."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") < 50, "b").otherwise("a").alias("s"))
+    got = sm.first_n_per_stratum(rows, "s", [F.col("id")], 1001).collect()
+    assert sorted(r.id for r in got if r.s == "a") == list(range(50, 1051))
+    assert sorted(r.id for r in got if r.s == "b") == list(range(50))
+
+
+def test_unknown_marker_is_a_violation(spark):
+    raw = spark.createDataFrame([({"fever_of_unknown_kind": "1"},), ({},), (None,)], "raw map<string,string>")
+    out = normalize_markers(raw, "raw", c.ONTOLOGY).select("raw", "violations").collect()
+    assert [r.violations for r in out if r.raw] == [["fever_of_unknown_kind.unknown"]]
+    assert all("unknown" not in v for r in out if not r.raw for v in r.violations)
