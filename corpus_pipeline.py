@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noteframe.llm import mixing, queries, simhash, toxicity
 from noteframe.llm.common import read
+from noteframe.sources.tables import work_dir
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; results of stages go to the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    top = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents; results of stages go to the shared working folder."""
+    top = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{top}/{number}-{name}"

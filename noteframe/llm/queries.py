@@ -173,10 +173,10 @@ FROM f GROUP BY conv_id
 TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS row,
-         list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q
+         [floor(1024 * x::DOUBLE) FOR x IN embedding] AS q
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), p AS (
   SELECT a.vec_id AS query_id, a.row AS query_row, b.vec_id AS vec_id,
          list_inner_product(a.q, b.q)::BIGINT AS score
