@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, simhash, syncmers, topk, toxicity, wrapper
+from . import chat, matrices, mixing, packing, simhash, syncmers, topk, toxicity, warc, wrapper
 from .common import read
 
 
@@ -38,6 +38,35 @@ def op3_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.document_fingerprints(read(spark, folder, "documents"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.derived(warc.responses(read(spark, folder, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"),
+        "type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        "block_digest",
+        "source_digest",
+        "content_length",
+        F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
+def op5_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    rows = matrices.token_matrices(read(spark, folder, "documents"), tokenizer_path())
+    return matrices.segments(rows).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32("positions").alias("positions_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op6_wrapper(spark: SparkSession, folder: str) -> DataFrame:
     texts = wrapper.main_texts(read(spark, folder, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -85,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_syncmers": op3_syncmers,
+    "op4_warc": op4_warc,
+    "op5_matrices": op5_matrices,
     "op6_wrapper": op6_wrapper,
     "op7_chat": op7_chat,
     "op8_topk": op8_topk,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from noteframe.llm import mixing, packing, queries, simhash, syncmers
+from noteframe.llm import matrices, mixing, packing, queries, simhash, syncmers
 from noteframe.llm.common import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi".split()
@@ -280,3 +280,43 @@ def test_digest_columns(docs):
     rows = queries.packed(docs).collect()
     assert all(0 <= r.ids_crc32 < 2**32 for r in rows)
     assert zlib.crc32(np.array([1], "<u4").tobytes()) in {r.ids_crc32 for r in rows if r.doc_tokens == 1}
+
+
+def test_best_fit_decreasing():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 65, 500).tolist()
+    rows, free = [], []
+    for i in sorted(range(500), key=lambda i: -sizes[i]):
+        fits = [(f, r) for r, f in enumerate(free) if f >= sizes[i]]
+        if not fits:
+            rows.append([])
+            free.append(64)
+        r = min(fits)[1] if fits else len(rows) - 1
+        rows[r].append(i)
+        free[r] -= sizes[i]
+    got = matrices.best_fit(sizes, 64)
+    fill = lambda x: sorted(sum(sizes[i] for i in r) for r in x)
+    assert fill(got) == fill(rows) and sorted(i for r in got for i in r) == list(range(500))
+
+
+@pytest.mark.parametrize("group", [4_000_000, 500])
+def test_matrices_are_lossless(docs, empty, encode, group):
+    path = queries.tokenizer_path()
+    rows = matrices.token_matrices(docs, path, row=256, pad_id=7, group_tokens=group)
+    ids = {r.doc_id: [*encode(r.text), 1] for r in docs.collect()}
+    copies = Counter(r.doc_id for r in docs.collect())
+    seen = defaultdict(Counter)
+    for r in rows.collect():
+        data, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+        assert len(data) == len(positions) == 256
+        low = 0
+        for doc, start, total, high in zip(r.doc_ids, r.starts, r.doc_tokens, r.segment_ends, strict=True):
+            assert data[low:high].tolist() == ids[doc][start : start + high - low]
+            assert positions[low:high].tolist() == list(range(high - low)) and total == len(ids[doc])
+            seen[doc].update(range(start, start + high - low))
+            low = high
+        assert (data[low:] == 7).all() and not positions[low:].any()
+    assert seen == {d: Counter({i: copies[d] for i in range(len(x))}) for d, x in ids.items()}
+    back = matrices.segments(rows).collect()
+    assert all(s.ids == np.array(ids[s.doc_id][s.start : s.start + s.length], "<u4").tobytes() for s in back)
+    assert matrices.token_matrices(empty, path).count() == 0

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from noteframe.llm import chat, queries, simhash, topk, toxicity, wrapper
+from noteframe.llm import chat, queries, simhash, topk, toxicity, warc, wrapper
 from noteframe.llm.common import read
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,6 +52,34 @@ def test_tree_matching():
     assert keys.index("nav") < keys.index("div") < keys.index("article")
 
 
+def test_warc_derivatives(spark):
+    rows = [(1, "http://a.example/1\r\nX: y", _page(1, "nice"), "r"), (2, None, None, "r"), (None, "u", "<p>é</p>" * 9000, "r")]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, record string")
+    made = warc.responses(df).collect()
+    got = warc.derived(warc.responses(df)).collect()
+    assert len(made) == 4 and len(got) == 8
+    sources = {warc.read_record(bytes(r.record))[0]["warc-record-id"]: bytes(r.record) for r in made}
+    for r in got:
+        named, block = warc.read_record(bytes(r.record))
+        source, http = warc.read_record(sources[r.refers_to])
+        body = http.partition(b"\r\n\r\n")[2]
+        assert named["warc-type"] == r.type and named["warc-refers-to"] == source["warc-record-id"]
+        assert named["warc-target-uri"] == source["warc-target-uri"] == r.target_uri
+        assert named["warc-block-digest"] == warc.digest(block) == r.block_digest
+        assert r.source_digest == source["warc-payload-digest"] == warc.digest(body)
+        assert len(block) == r.content_length == int(named["content-length"])
+        if r.type == "metadata":
+            assert b"http-content-type: text/html; charset=utf-8\r\n" in block
+            assert source["warc-block-digest"].encode() in block
+        else:
+            assert block.decode() == warc.plain_text(body.decode())
+    text = warc.plain_text(_page(1))
+    assert "var a" not in text and "One bold1 line\nTwo € <x>" in text
+    assert warc.derived(warc.responses(df.limit(0))).count() == 0
+    broken = spark.createDataFrame([(1, None), (2, b"WARC/1.1\r\nnothing")], "key long, record binary")
+    assert warc.derived(broken).count() == 4
+
+
 def _turns():
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said + "\\\n#\\#"), (2, 1, "assistant", None)]
@@ -182,4 +210,4 @@ def test_pipeline(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == [1, 2, 3, 6, 7, 8, 9, 10]
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == [*range(1, 11)]
