@@ -8,6 +8,9 @@ with the text only, and a hot key or source cannot overload a task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,45 +61,44 @@ def severity_sql(marker: str, sentence: str, present: str, ontology: Ontology) -
     return x.case(steps, record(default.label, default.code))
 
 
-def _candidates(text: str, ontology: Ontology, document_prefilter: bool) -> str:
+@dataclass(frozen=True)
+class Variant:
+    """One extractor over a shared text: a lexicon, and how often presence is flipped."""
+
+    name: str
+    ontology: Ontology
+    flip_rate: float = 0.0
+    seed: int = 0
+
+
+def _patterns(ontology: Ontology) -> list[str]:
+    return list(dict.fromkeys(p for m in ontology.markers for p in (*m.positive, *m.negative)))
+
+
+def _candidates(sentences: str, ontology: Ontology) -> str:
     """Sentences with a hit: struct(s, raw[], neg[], remote), one flag per marker."""
-    patterns = list(dict.fromkeys(p for m in ontology.markers for p in (*m.positive, *m.negative)))
     raw = ", ".join(x.found("s", m.positive, True) for m in ontology.markers)
     neg = ", ".join(x.found("s", m.negative, True) for m in ontology.markers)
     flags = x.struct(
         [("s", "s"), ("raw", f"array({raw})"), ("neg", f"array({neg})"), ("remote", x.found("s", ontology.remote_cues, False))]
     )
-    flagged = f"transform(filter({sentences_sql(text)}, s -> {x.found('s', patterns, True)}), s -> {flags})"
-    if not document_prefilter:
-        return flagged
-    return f"CASE WHEN {x.found(f'lower({text})', patterns, True)} THEN {flagged} END"
+    return f"transform(filter({sentences}, s -> {x.found('s', _patterns(ontology), True)}), s -> {flags})"
 
 
-def extract_markers(
-    df: DataFrame,
-    key: str,
-    text: str,
-    ontology: Ontology,
-    *,
-    extractor_id: str = "rules",
-    flip_rate: float = 0.0,
-    seed: int = 0,
-    document_prefilter: bool = False,
-) -> DataFrame:
-    """Nested markers per key. Only ``key`` and ``text`` are read from ``df``.
+def _split(text: str, ontologies: Sequence[Ontology], document_prefilter: bool) -> str:
+    """The sentences of a text; with the prefilter only of texts with a hit of any lexicon."""
+    sentences = sentences_sql(text)
+    if not document_prefilter:
+        return sentences
+    patterns = list(dict.fromkeys(p for o in ontologies for p in _patterns(o)))
+    return f"CASE WHEN {x.found(f'lower({text})', patterns, True)} THEN {sentences} END"
 
-    Per marker: the first current positive sentence wins, then the first current denial,
-    then the first remote positive sentence. A sentence that matches a denial pattern is
-    never a positive. ``flip_rate`` flips presence by a hash of (seed, marker, key)
-    before severity is read. ``document_prefilter`` skips the sentence split of texts
-    without any hit; use it when hits are rare and no pattern is anchored (``^``, ``$``).
-    """
-    require_columns(df, [key, text], "extraction input")
-    k = x.col(key)
-    staged = df.select(key, text).selectExpr(k, f"{_candidates(x.col(text), ontology, document_prefilter)} AS _c")
+
+def _picks(candidates: str, ontology: Ontology) -> str:
+    """Per marker the first current positive, current denial and remote positive sentence."""
 
     def first(test: str) -> str:
-        return f"get(filter(_c, c -> {test}), 0).s"
+        return f"get(filter({candidates}, c -> {test}), 0).s"
 
     picks = []
     for i, name in enumerate(ontology.names):
@@ -111,7 +113,12 @@ def extract_markers(
                 ]
             )
         )
-    flip = f"{x.uniform(x.lit(str(seed)), 'p.marker', k)} < {x.lit(float(flip_rate))}" if flip_rate > 0 else "false"
+    return f"array({', '.join(picks)})"
+
+
+def _decided(picks: str, key: str, ontology: Ontology, flip_rate: float, seed: int) -> str:
+    """Nested markers from the picked sentences of a row."""
+    flip = f"{x.uniform(x.lit(str(seed)), 'p.marker', key)} < {x.lit(float(flip_rate))}" if flip_rate > 0 else "false"
     # The chosen sentence and the (possibly flipped) presence are bound before they are used.
     bound = x.struct(
         [
@@ -158,17 +165,66 @@ def extract_markers(
         + [("severity", "m.sev.label"), ("severity_code", "m.sev.code")]
         + [(f, f"m.{f}") for f in ("certainty", "experiencer", "evidence")]
     )
-    chosen = f"transform(array({', '.join(picks)}), p -> {bound})"
-    return staged.selectExpr(
+    return f"transform(transform(transform({picks}, p -> {bound}), m -> {decided}), m -> {flat})"
+
+
+def extract_markers(
+    df: DataFrame,
+    key: str,
+    text: str,
+    ontology: Ontology,
+    *,
+    extractor_id: str = "rules",
+    flip_rate: float = 0.0,
+    seed: int = 0,
+    document_prefilter: bool = False,
+) -> DataFrame:
+    """Nested markers per key. Only ``key`` and ``text`` are read from ``df``.
+
+    Per marker: the first current positive sentence wins, then the first current denial,
+    then the first remote positive sentence. A sentence that matches a denial pattern is
+    never a positive. ``flip_rate`` flips presence by a hash of (seed, marker, key)
+    before severity is read. ``document_prefilter`` skips the sentence split of texts
+    without any hit; use it when hits are rare and no pattern is anchored (``^``, ``$``).
+    """
+    k = x.col(key)
+    variant = Variant("markers", ontology, flip_rate, seed)
+    return extract_variants(df, key, text, [variant], document_prefilter=document_prefilter).selectExpr(
         k,
         f"{x.lit(extractor_id)} AS extractor_id",
         f"{x.lit(ontology.version)} AS ontology_version",
         "'success' AS extraction_status",
         "0 AS retry_count",
-        f"transform(transform({chosen}, m -> {decided}), m -> {flat}) AS markers",
+        "markers",
     )
 
 
+def extract_variants(
+    df: DataFrame, key: str, text: str, variants: Sequence[Variant], *, document_prefilter: bool = False
+) -> DataFrame:
+    """One row per key with a column of nested markers per variant, named as the variant.
+
+    The text is read and split once for all variants, and each lexicon is searched once for
+    all its flip rates and seeds, so runs are compared as columns of one row and no join of
+    extractions by key is needed. Each column is what ``extract_markers`` gives alone.
+    """
+    require_columns(df, [key, text], "extraction input")
+    k = x.col(key)
+    ontologies: list[Ontology] = []
+    for v in variants:
+        if v.ontology not in ontologies:
+            ontologies.append(v.ontology)
+    split = _split(x.col(text), ontologies, document_prefilter)
+    staged = df.select(key, text).selectExpr(k, f"{split} AS _s")
+    staged = staged.selectExpr(k, *[f"{_candidates('_s', o)} AS _c{i}" for i, o in enumerate(ontologies)])
+    staged = staged.selectExpr(k, *[f"{_picks(f'_c{i}', o)} AS _p{i}" for i, o in enumerate(ontologies)])
+    decided = [
+        f"{_decided(f'_p{ontologies.index(v.ontology)}', k, v.ontology, v.flip_rate, v.seed)} AS {x.col(v.name)}"
+        for v in variants
+    ]
+    return staged.selectExpr(k, *decided)
+
+
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per key and sentence, with its position."""
     # The outer form keeps the planner from inferring (and evaluating) a size filter first.

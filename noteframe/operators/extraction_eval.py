@@ -202,24 +202,38 @@ def marker_metrics(cube: DataFrame, by: Sequence[str] = ("extractor",)) -> DataF
     )
 
 
-def presence_counts(cube: DataFrame, by: Sequence[str] = ("extractor",)) -> DataFrame:
-    """tp, fp, fn, tn of presence per (by, marker)."""
-    ref, pred, n = _integer("ref_present"), _integer("pred_present"), F.col("n")
+def presence_scores(pairs: DataFrame, by: Sequence[str] = ("extractor",)) -> DataFrame:
+    """(by, marker, n, precision, recall, f1) of presence alone; other fields are not read."""
+    ref, pred = _integer("ref_present"), _integer("pred_present")
+    counts = pairs.groupBy(*by, "marker").agg(
+        F.count("*").alias("n"),
+        F.count_if((ref == 1) & (pred == 1)).alias("tp"),
+        F.count_if(pred == 1).alias("found"),
+        F.count_if(ref == 1).alias("actual"),
+    )
+    tp, found, actual = F.col("tp"), F.col("found"), F.col("actual")
+    return counts.select(
+        *by,
+        "marker",
+        "n",
+        ratio(tp, found).alias("precision"),
+        ratio(tp, actual).alias("recall"),
+        f1(tp, found, actual).alias("f1"),
+    )
 
-    def total(test: Column, name: str) -> Column:
-        return F.sum(F.when(test, n).otherwise(0)).alias(name)
 
-    return cube.groupBy(*by, "marker").agg(
-        total((ref == 1) & (pred == 1), "tp"),
-        total((ref == 0) & (pred == 1), "fp"),
-        total((ref == 1) & (pred == 0), "fn"),
-        total((ref == 0) & (pred == 0), "tn"),
-    )
+def presence_counts(
+    cube: DataFrame, by: Sequence[str] = ("extractor",), absent: str = "absent"
+) -> DataFrame:
+    """Per (by, marker): tp, fp, fn, tn of presence; fields compared and wrong of expressed rows.
 
+    The qualifier errors cover four categories and the severity code.
+    """
+    ref, pred, n = _integer("ref_present"), _integer("pred_present"), F.col("n")
+    expressed = (ref + _integer("ref_negated") + _integer("ref_remote_present")) > 0
 
-def qualification_errors(cube: DataFrame, by: Sequence[str] = ("extractor",), absent: str = "absent") -> DataFrame:
-    """(by, compared, wrong) over four categories and the severity code, expressed rows only."""
-    expressed = (_integer("ref_present") + _integer("ref_negated") + _integer("ref_remote_present")) > 0
+    def total(test: Column, name: str, value: Column = n) -> Column:
+        return F.sum(F.when(test, value).otherwise(0)).alias(name)
 
     def differs(f: str) -> Column:
         left = F.coalesce(F.col(f"ref_{f}").cast("string"), F.lit(absent))
@@ -229,19 +243,26 @@ def qualification_errors(cube: DataFrame, by: Sequence[str] = ("extractor",), ab
     wrong = sum([differs(f) for f in CATEGORY_FIELDS], F.lit(0)) + (
         _integer("ref_severity_code") != _integer("pred_severity_code")
     ).cast("int")
-    return cube.where(expressed).groupBy(*by).agg(
-        F.sum(F.col("n") * (len(CATEGORY_FIELDS) + 1)).alias("compared"), F.sum(F.col("n") * wrong).alias("wrong")
+    return cube.groupBy(*by, "marker").agg(
+        total((ref == 1) & (pred == 1), "tp"),
+        total((ref == 0) & (pred == 1), "fp"),
+        total((ref == 1) & (pred == 0), "fn"),
+        total((ref == 0) & (pred == 0), "tn"),
+        total(expressed, "compared", n * (len(CATEGORY_FIELDS) + 1)),
+        total(expressed, "wrong", n * wrong),
     )
 
 
 def extraction_summary(
     cube: DataFrame, by: Sequence[str] = ("extractor",), absent: str = "absent", status: DataFrame | None = None
 ) -> DataFrame:
-    """One row per extractor: macro and micro scores, omission, hallucination, qualification errors."""
-    counts = presence_counts(cube, by)
+    """One row per extractor: macro and micro scores, omission, hallucination, qualification errors.
+
+    The cube is read once. Without a ``status`` table no row failed or was retried.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     s_tp, s_fp, s_fn, s_tn = (F.sum(c) for c in ("tp", "fp", "fn", "tn"))
-    main = counts.groupBy(*by).agg(
+    out = presence_counts(cube, by, absent).groupBy(*by).agg(
         F.max(tp + fp + fn + tn).alias("n"),
         F.avg(ratio(tp, tp + fp)).alias("macro_precision"),
         F.avg(ratio(tp, tp + fn)).alias("macro_recall"),
@@ -251,13 +272,12 @@ def extraction_summary(
         f1(s_tp, s_tp + s_fp, s_tp + s_fn).alias("micro_f1"),
         ratio(s_fn, s_tp + s_fn).alias("omission_rate"),
         ratio(s_fp, s_fp + s_tn).alias("hallucination_rate"),
+        ratio(F.sum("wrong"), F.sum("compared")).alias("qualification_error_rate"),
     )
-    errors = qualification_errors(cube, by, absent)
-    out = main.join(errors, list(by), "left").select(
-        *main.columns,
-        F.coalesce(ratio(F.col("wrong"), F.col("compared")), F.lit(0.0)).alias("qualification_error_rate"),
-    )
-    return out if status is None else out.join(status, list(by), "left")
+    if status is None:
+        none = F.lit(0).cast("bigint")
+        return out.withColumns({"failed_extractions": none, "retry_count": none})
+    return out.join(status, list(by), "left")
 
 
 def status_counts(predicted: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -273,28 +293,31 @@ def status_counts(predicted: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def stability(runs: DataFrame, key: str, run: str, fields: Sequence[str] = FEATURE_FIELDS) -> DataFrame:
+def stability(runs: DataFrame, columns: Sequence[str], fields: Sequence[str] = FEATURE_FIELDS) -> DataFrame:
     """Agreement of every unordered pair of runs per marker and field (NULL equals NULL).
 
-    ``runs`` holds one row per key and run with nested markers. The self-join is on the
-    key; the evidence text is dropped before it and markers are unfolded after it.
+    ``runs`` holds one row per key and the nested markers of each run in a column of the
+    run's name (``extract_variants``; runs of other sources are joined on the key first).
     """
-    slim = runs.select(
-        key,
-        F.col(run).alias("run"),
-        F.transform("markers", lambda m: F.struct(m["marker"].alias("marker"), *[m[f].alias(f) for f in fields])).alias("m"),
-    )
-    left = slim.select(key, F.col("run").alias("run_a"), F.col("m").alias("a"))
-    right = slim.select(key, F.col("run").alias("run_b"), F.col("m").alias("b"))
-    same = F.transform(
-        F.arrays_zip("a", "b"),
-        lambda z: F.struct(
-            z["a"]["marker"].alias("marker"),
-            *[z["a"][f].eqNullSafe(z["b"][f]).cast("int").alias(f) for f in fields],
-        ),
-    )
-    pairs = left.join(right, key).where("run_a < run_b").select("run_a", "run_b", F.inline_outer(same))
-    sums = pairs.groupBy("run_a", "run_b", "marker").agg(
+    names = sorted(columns)
+
+    def same(a: str, b: str) -> Column:
+        return F.zip_with(
+            a,
+            b,
+            lambda left, right: F.struct(
+                left["marker"].alias("marker"),
+                *[left[f].eqNullSafe(right[f]).cast("int").alias(f) for f in fields],
+            ),
+        )
+
+    pairs = [
+        F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), same(a, b).alias("cells"))
+        for i, a in enumerate(names)
+        for b in names[i + 1 :]
+    ]
+    long = runs.select(F.inline(F.array(*pairs))).select("run_a", "run_b", F.inline_outer("cells"))
+    sums = long.groupBy("run_a", "run_b", "marker").agg(
         F.count("*").alias("n"), *[F.sum(f).alias(f) for f in fields]
     )
     cells = [F.struct(F.lit(f).alias("dimension"), (F.col(f) / F.col("n")).alias("agreement")) for f in fields]
@@ -315,15 +338,22 @@ def annotator_agreement(
         )
     a = left.select(key, F.col("markers").alias("a"))
     b = right.select(key, F.col("markers").alias("b"))
-    cell = lambda z, f: F.struct(
-        z["a"]["marker"].alias("marker"),
+    return agreement_of_columns(a.join(b, key), "a", "b", fields)
+
+
+def agreement_of_columns(
+    df: DataFrame, left: str, right: str, fields: Sequence[str] = FEATURE_FIELDS
+) -> DataFrame:
+    """``annotator_agreement`` of two nested marker columns of one row."""
+    cell = lambda a, b, f: F.struct(
+        a["marker"].alias("marker"),
         F.lit(f).alias("dimension"),
-        z["a"][f].cast("string").alias("left"),
-        z["b"][f].cast("string").alias("right"),
+        a[f].cast("string").alias("left"),
+        b[f].cast("string").alias("right"),
     )
-    cells = F.flatten(F.transform(F.arrays_zip("a", "b"), lambda z: F.array(*[cell(z, f) for f in fields])))
+    cells = F.flatten(F.zip_with(left, right, lambda a, b: F.array(*[cell(a, b, f) for f in fields])))
     group = ["marker", "dimension"]
-    counts = a.join(b, key).select(F.inline_outer(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count"))
+    counts = df.select(F.inline_outer(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count"))
     both = counts.where("left is not null and right is not null")
     observed = counts.groupBy(*group).agg(
         F.sum(F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), F.col("count")).otherwise(0)).alias("n"),

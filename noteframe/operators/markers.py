@@ -356,21 +356,47 @@ def paired_markers(
     left = reference.select(key, F.col("markers").alias("_ref"))
     right = predicted.select(key, *keep, F.col("markers").alias("_pred"))
     joined = join_one_to_one(left, right, key, "inner", check)
+    return joined.select(key, *keep, F.inline_outer(F.expr(_zipped("_ref", "_pred"))))
+
+
+def _zipped(ref: str, pred: str, fields: Sequence[str] = FIELDS) -> str:
+    """Two nested marker columns as one array of records with ``ref_`` and ``pred_`` fields."""
     record = x.struct(
-        [("marker", "z._ref.marker")]
-        + [(f"ref_{f}", f"z._ref.{f}") for f in FIELDS]
-        + [(f"pred_{f}", f"z._pred.{f}") for f in FIELDS]
+        [("marker", "r.marker")]
+        + [(f"ref_{f}", f"r.{f}") for f in fields]
+        + [(f"pred_{f}", f"p.{f}") for f in fields]
     )
-    return joined.select(
-        key, *keep, F.inline_outer(F.expr(f"transform(arrays_zip(_ref, _pred), z -> {record})"))
+    return f"zip_with({ref}, {pred}, (r, p) -> {record})"
+
+
+def paired_columns(
+    df: DataFrame,
+    key: str,
+    reference: str,
+    predicted: Sequence[str],
+    fields: Sequence[str] = FIELDS,
+    name: str = "extractor",
+) -> DataFrame:
+    """The rows of ``paired_markers`` from nested columns of one row, without a join.
+
+    Each ``predicted`` column is compared with ``reference``; its name stands in ``name``.
+    Fields that are not listed are not read.
+    """
+    cells = ", ".join(
+        x.struct([("_name", x.lit(p)), ("_pairs", _zipped(x.col(reference), x.col(p), fields))]) for p in predicted
     )
+    per_run = df.select(key, F.inline(F.expr(f"array({cells})")))
+    return per_run.select(key, F.col("_name").alias(name), F.inline_outer("_pairs"))
 
 
-def marker_comparison(pairs: DataFrame, key: str, labels: Sequence[str], yes: str = "yes", no: str = "no") -> DataFrame:
+def marker_comparison(
+    pairs: DataFrame, key: str, labels: Sequence[str], yes: str = "yes", no: str = "no", keep: Sequence[str] = ()
+) -> DataFrame:
     """Status on both sides, agreement, and the extracted qualifiers, for every key and marker."""
     origin = marker_status("ref_present", "ref_negated", "ref_remote_present", labels)
     found = marker_status("pred_present", "pred_negated", "pred_remote_present", labels)
     return pairs.select(
+        *keep,
         key,
         "marker",
         origin.alias("origin_status"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
 from . import sql
-from .clinical import poisson_case, poisson_digits
 from .common import rounded, table
 
 QUERIES: dict = {}
@@ -178,8 +177,8 @@ def class_weights(spark, folder):
 
 
 _SEED = 6006
-_U = poisson_digits(_SEED, "id")
-_WEIGHTED = f"""wt AS (SELECT * FROM (SELECT *, {poisson_case('u')} AS w FROM (
+_U = sql.poisson_digits(_SEED, "id")
+_WEIGHTED = f"""wt AS (SELECT * FROM (SELECT *, {sql.poisson_case('u')} AS w FROM (
   SELECT pred.*, repetition, {_U} AS u FROM pred CROSS JOIN (SELECT unnest(range({REPETITIONS}))::INT AS repetition))) WHERE w > 0)"""
 _REP_ROWS = f"""
 rc AS (SELECT repetition, k, sum(w) FILTER (WHERE y = k AND yhat = k)::DOUBLE AS tp, sum(w) FILTER (WHERE yhat = k)::DOUBLE AS fo, sum(w) FILTER (WHERE y = k)::DOUBLE AS su

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import extraction as ex
-from ..operators import extraction_eval as xe
 from ..operators.contracts import forbidden_json_paths, forbidden_map_keys
-from ..operators.markers import FIELDS, markers_long, markers_wide, paired_markers
+from ..operators.markers import FIELDS, markers_long, markers_wide
 from ..operators.rendering import soap_note
 from ..presets import web
 from . import sql
-from .common import rounded, table
+from .common import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,15 +53,12 @@ def sentence_cues(spark, folder):
     return cues.groupBy("temporality", "certainty", "experiencer").agg(F.count("*").alias("n"))
 
 
-def web_markers(spark, folder, ontology=_O, extractor_id="web") -> DataFrame:
+def web_markers(spark, folder) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return ex.extract_markers(
-        docs, "doc_id", "text", ontology, extractor_id=extractor_id, document_prefilter=True
-    )
+    return ex.extract_markers(docs, "doc_id", "text", _O, extractor_id="web", document_prefilter=True)
 
 
 _EXT = f"WITH {sql.extraction_ctes('ext', 'documents', 'doc_id', 'text', _O).lstrip()}"
-_EXT2 = f"{_EXT},{sql.extraction_ctes('nar', 'documents', 'doc_id', 'text', web.NARROW)}"
 
 
 @query(f"{_EXT} SELECT doc_id, marker, {', '.join(FIELDS)} FROM ext")
@@ -75,38 +71,6 @@ def marker_extract_wide(spark, folder):
     return markers_wide(web_markers(spark, folder).select("doc_id", "markers"), "m_", _O)
 
 
-@query(
-    f"""{_EXT2} SELECT 'web' AS extractor_id, marker, sum(present)::BIGINT AS present, sum(negated)::BIGINT AS negated, sum(remote_present)::BIGINT AS remote FROM ext GROUP BY marker
-UNION ALL SELECT 'narrow', marker, sum(present)::BIGINT, sum(negated)::BIGINT, sum(remote_present)::BIGINT FROM nar GROUP BY marker"""
-)
-def second_extractor(spark, folder):
-    """A second extractor kept beside the first, same schema."""
-    both = web_markers(spark, folder).unionByName(web_markers(spark, folder, web.NARROW, "narrow"))
-    return (
-        markers_long(both)
-        .groupBy("extractor_id", "marker")
-        .agg(
-            F.sum("present").alias("present"),
-            F.sum("negated").alias("negated"),
-            F.sum("remote_present").alias("remote"),
-        )
-    )
-
-
-@query(
-    f"""{_EXT2}, p AS (SELECT e.marker, e.present AS r, n.present AS f FROM ext e JOIN nar n USING (doc_id, i)),
-k AS (SELECT marker, count(*) AS n, sum(r * f)::DOUBLE AS tp, sum((1 - r) * f)::DOUBLE AS fp, sum(r * (1 - f))::DOUBLE AS fn FROM p GROUP BY marker)
-SELECT 'narrow' AS extractor, marker, n::BIGINT AS n, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
-  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM k"""
-)
-def lexicon_agreement(spark, folder):
-    """Presence scores of the narrow lexicon against the wide one."""
-    found = web_markers(spark, folder, web.NARROW).withColumn("extractor", F.lit("narrow"))
-    pairs = paired_markers(web_markers(spark, folder), found, "doc_id", ("left",), ["extractor"])
-    metrics = xe.marker_metrics(xe.qualifier_cube(pairs)).where("dimension = 'present'")
-    return rounded(metrics.select("extractor", "marker", "n", "precision", "recall", "f1"), ["precision", "recall", "f1"])
-
-
 @query(
     f"""{_SENT}, a AS (SELECT doc_id, arg_min(s, position) AS ev, arg_max(s, position) AS past FROM sent GROUP BY doc_id)
 SELECT doc_id, md5(concat_ws(' | ', nullif(ev, ''), CASE WHEN past <> ev THEN past END)) AS evidence_md5 FROM a"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classes, clinical, documents, files, models, tables
+from . import classes, clinical, documents, evaluation, files, models, tables
 
-MODULES = (tables, clinical, documents, classes, files, models)
+MODULES = (tables, clinical, documents, evaluation, classes, files, models)
 
 
 def queries() -> dict:

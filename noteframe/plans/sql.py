@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.markers import FEATURE_FIELDS, FIELDS, INTEGER_FIELDS, Ontology
+from ..functions.hashing import poisson_thresholds
+from ..operators.markers import FIELDS, Ontology
 
 WHITESPACE_SQL = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)||chr(12288)"
 
@@ -150,19 +151,11 @@ def rounded(columns, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
-__all__ = [
-    "FEATURE_FIELDS",
-    "FIELDS",
-    "INTEGER_FIELDS",
-    "active",
-    "alternation",
-    "draw",
-    "extraction_ctes",
-    "found",
-    "kappa_sql",
-    "quadratic_kappa_sql",
-    "quoted",
-    "rounded",
-    "sentence_list",
-    "wide_select",
-]
+def poisson_digits(seed: int, key: str, repetition: str = "repetition") -> str:
+    """SQL of the eight hash digits that decide a key's weight in a replicate."""
+    return f"substr(md5('{seed}|'||({repetition} // 4)||'|'||{key}), 1 + 8 * ({repetition} % 4), 8)"
+
+
+def poisson_case(digits: str) -> str:
+    points = poisson_thresholds()
+    return "CASE " + " ".join(f"WHEN {digits} < '{p}' THEN {k}" for k, p in enumerate(points)) + f" ELSE {len(points)} END"
