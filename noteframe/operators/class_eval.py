@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as x
 from ..functions.hashing import poisson_draws, uniform
@@ -222,23 +222,64 @@ def probability_scores(
     )
 
 
-def calibration_fit(df: DataFrame, y: str, probabilities: Sequence[str], high_from: int) -> DataFrame:
-    """(calibration_intercept, calibration_slope): logistic fit of the outcome on logit(p).
+def calibration_fit(
+    df: DataFrame,
+    y: str,
+    probabilities: Sequence[str],
+    high_from: int,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    steps: int = 25,
+    tolerance: float = 1e-10,
+) -> DataFrame:
+    """(by, calibration_intercept, calibration_slope): logistic fit of the outcome on logit(p).
 
-    The fit is an MLlib job; the result is a one-row table. NULLs if one class is absent.
+    Newton's method: each step is one aggregation over the distinct scores of all groups at
+    once (equal scores fold first), and the two parameters of each group (fold, replicate,
+    scenario) are all that comes back. NULLs where one class is absent or scores do not vary.
     """
-    data = df.select(
-        (F.col(y) >= high_from).cast("double").alias("label"),
-        logit(row_total(probabilities[high_from:])).alias("x"),
+    scores = df.select(
+        *by,
+        (F.col(y) >= high_from).cast("double").alias("_t"),
+        logit(row_total(probabilities[high_from:])).alias("_x"),
+        _weight(weight).alias("_w"),
     )
-    spark = df.sparkSession
-    schema = "calibration_intercept double, calibration_slope double"
-    seen = data.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    if seen["low"] is None or seen["low"] == seen["high"]:
-        return spark.createDataFrame([(None, None)], schema)
-    fit = LogisticRegression(regParam=0.0, standardization=False, maxIter=100, tol=1e-7)
-    model = fit.fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(data))
-    return spark.createDataFrame([(float(model.intercept), float(model.coefficients[0]))], schema)
+    folded = scores.groupBy(*by, "_t", "_x").agg(F.sum("_w").cast("double").alias("_w"))
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    names = ("calibration_intercept", "calibration_slope")
+    keys = [df.select(*by).schema[c] for c in by]
+    state = T.StructType([*keys, T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())])
+    fitted: dict[tuple, tuple[float, float] | None] = {}
+    groups = folded.groupBy(*by).agg(F.min("_t").alias("low"), F.max("_t").alias("high")).collect()
+    for row in groups:
+        varied = row["low"] is not None and row["low"] != row["high"]
+        fitted[tuple(row[c] for c in by)] = (0.0, 0.0) if varied else None
+    m = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
+    gap, slope = F.col("_w") * (F.col("_t") - m), F.col("_w") * m * (F.lit(1.0) - m)
+    sums = [gap, gap * F.col("_x"), slope, slope * F.col("_x"), slope * F.col("_x") * F.col("_x")]
+    open_groups = {k for k, v in fitted.items() if v is not None}
+    for _ in range(steps):
+        if not open_groups:
+            break
+        now = df.sparkSession.createDataFrame([(*k, *fitted[k]) for k in open_groups], state)
+        joined = reduce(lambda on, c: on & folded[c].eqNullSafe(now[c]), by, F.lit(True))
+        rows = folded.join(now, joined) if by else folded.withColumns({c: F.lit(fitted[()][i]) for i, c in enumerate(("_a", "_b"))})
+        totals = rows.groupBy(*[folded[c] for c in by]).agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(sums)])
+        for row in totals.collect():
+            key = tuple(row[: len(by)])
+            g0, g1, h00, h01, h11 = row[len(by) :]
+            det = h00 * h11 - h01 * h01
+            if det <= 1e-12 * h00 * h11:
+                fitted[key] = None
+                open_groups.discard(key)
+                continue
+            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+            fitted[key] = (fitted[key][0] + da, fitted[key][1] + db)
+            if max(abs(da), abs(db)) < tolerance:
+                open_groups.discard(key)
+    folded.unpersist()
+    out = df.sparkSession.createDataFrame([(*k, *(v or (None, None))) for k, v in fitted.items()], state)
+    return out.withColumnsRenamed(dict(zip(("_a", "_b"), names, strict=True)))
 
 
 def calibration_curve(
@@ -312,8 +353,8 @@ def classification_report(
             ["multiclass_brier", "multiclass_log_loss", "brier_highurgent", "log_loss_highurgent"],
         )
     )
-    if calibration and not by and weight is None:
-        fit = calibration_fit(df, y, probabilities, high_from)
+    if calibration:
+        fit = calibration_fit(df, y, probabilities, high_from, by, weight)
         out = out.unionByName(_long(fit, by, ["calibration_intercept", "calibration_slope"]))
     return out
 
@@ -360,6 +401,8 @@ def bootstrap_intervals(
     probabilities: Sequence[str] | None = None,
     named_precisions: dict[str, int] | None = None,
     method: str = "poisson",
+    high_from: int = 2,
+    calibration: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
     """(metric, ci_2_5, ci_97_5) over replicates of the classification report.
@@ -379,8 +422,10 @@ def bootstrap_intervals(
         named_recalls,
         probabilities,
         named_precisions,
+        high_from,
         by=["repetition"],
         weight="w",
+        calibration=calibration,
         buckets=buckets,
     )
     return intervals_of_long(report, [], with_mean=False)

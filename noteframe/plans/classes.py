@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
 from . import sql
-from .common import rounded, table
+from .common import dealt, rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,7 +34,7 @@ def predictions(spark, folder) -> DataFrame:
     source = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"
     )
-    lines = source.select(
+    lines = dealt(source).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         F.expr("int(least(3, floor((l_quantity - 1) / 12.5D)))").alias("y"),
         F.expr("l_quantity + l_linenumber * 3 + int(rint(l_discount * 100))").alias("s"),
@@ -47,7 +47,7 @@ def predictions(spark, folder) -> DataFrame:
 
 
 _Q = ", ".join(f"1.0::DOUBLE + abs(60 - s + {20 * k}) % 61 + (CASE WHEN y = {k} THEN 12 ELSE 0 END) AS q{k}" for k in range(K))
-_P = f"""WITH lin AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, least(3, floor((l_quantity - 1) / 12.5))::INT AS y,
+_P = f"""WITH RECURSIVE lin AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, least(3, floor((l_quantity - 1) / 12.5))::INT AS y,
     l_quantity + l_linenumber * 3 + round_even(l_discount * 100, 0)::INT AS s FROM lineitem),
 raw AS (SELECT id, y, {_Q} FROM lin),
 pr AS (SELECT id, y, {', '.join(f'q{k} / (q0 + q1 + q2 + q3) AS p{k}' for k in range(K))} FROM raw),
@@ -129,20 +129,37 @@ def brier_and_loss(spark, folder):
     return rounded(ce.probability_scores(predictions(spark, folder), "y", PROBS, 2), _PROB_NAMES)
 
 
+def _calibration_sql(by: str = "", weight: str = "1", source: str = "pred") -> str:
+    """CTE ``cal`` of Newton steps (it 0..12) of the logistic fit, per group."""
+    g, k = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
+    start = f"SELECT DISTINCT {g}0 AS it, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source}"
+    return f"""cd AS (SELECT {g}t, ln(p / (1 - p)) AS x, sum({weight})::DOUBLE AS n FROM (
+  SELECT *, (y >= 2)::INT AS t, least(greatest(p2 + p3, 1e-6), 1 - 1e-6) AS p FROM {source}) GROUP BY ALL),
+cal AS ({start} UNION ALL
+  SELECT {g}it + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT {g}it, a, b, sum(n * (t - m)) AS g0, sum(n * (t - m) * x) AS g1, sum(n * m * (1 - m)) AS h00,
+      sum(n * m * (1 - m) * x) AS h01, sum(n * m * (1 - m) * x * x) AS h11
+    FROM (SELECT {g}it, a, b, t, x, n, 1 / (1 + exp(-(a + b * x))) AS m FROM cal JOIN cd {k} WHERE it < 12) GROUP BY ALL))"""
+
+
+_CALIBRATION = _calibration_sql()
 _REPORT_ROWS = (
     _LABEL_ROWS
     + " UNION ALL SELECT 'auc_roc_ovr_macro', avg(auc) FROM rk UNION ALL SELECT 'auprc_alta', max(average_precision) FILTER (WHERE class_code = 2) FROM rk"
     + " UNION ALL SELECT 'auprc_urgente', max(average_precision) FILTER (WHERE class_code = 3) FROM rk"
     + "".join(f" UNION ALL SELECT '{n}', {n} FROM pb" for n in _PROB_NAMES)
+    + " UNION ALL SELECT 'calibration_intercept', a FROM cal WHERE it = 12 UNION ALL SELECT 'calibration_slope', b FROM cal WHERE it = 12"
 )
 
 
-@query(f"{_P}, {_PC}, {_KAPPA}, {_RANK}, {_PROB} SELECT metric, round(value, 6) AS value FROM ({_REPORT_ROWS})")
+@query(
+    f"{_P}, {_PC}, {_KAPPA}, {_RANK}, {_PROB}, {_CALIBRATION} SELECT metric, round(value, 5) AS value FROM ({_REPORT_ROWS})"
+)
 def classification_report(spark, folder):
     out = ce.classification_report(
-        predictions(spark, folder), "y", "yhat", K, RECALLS, PROBS, PRECISIONS
+        predictions(spark, folder), "y", "yhat", K, RECALLS, PROBS, PRECISIONS, calibration=True
     )
-    return rounded(out, ["value"])
+    return rounded(out, ["value"], 5)
 
 
 _BIN = "(" + " + ".join(f"(p > {i * (1.0 / 10)!r})::INT" for i in range(1, 10)) + ")"
@@ -160,9 +177,9 @@ def calibration_curve(spark, folder):
     return rounded(out, ["mean_predicted", "observed_fraction"])
 
 
-@query()
+@query(f"{_P}, {_CALIBRATION} SELECT round(a, 4) AS calibration_intercept, round(b, 4) AS calibration_slope FROM cal WHERE it = 12")
 def calibration_fit(spark, folder):
-    """Logistic fit by MLlib; no SQL form, checked against brute force in the tests."""
+    """Intercept and slope of the upper band; the check takes its Newton steps in SQL."""
     return rounded(
         ce.calibration_fit(predictions(spark, folder), "y", PROBS, 2),
         ["calibration_intercept", "calibration_slope"],
@@ -214,10 +231,46 @@ def stratified_draws(spark, folder):
     return ce.label_counts(drawn, "y", "yhat", ["repetition"], "w")
 
 
-@query()
+_REP_LONG = " UNION ALL ".join(
+    f"SELECT repetition, {k} AS class_code, p{k} AS score, w * (y = {k})::INT AS pos, w * (y <> {k})::INT AS neg FROM wt" for k in range(K)
+)
+_REP_PROB = {
+    "multiclass_brier": " + ".join(f"power((y = {k})::INT - p{k}, 2)" for k in range(K)),
+    "multiclass_log_loss": "-ln([p0, p1, p2, p3][y + 1])",
+    "brier_highurgent": "power((y >= 2)::INT - (p2 + p3), 2)",
+    "log_loss_highurgent": "-ln(CASE WHEN y >= 2 THEN p2 + p3 ELSE 1 - (p2 + p3) END)",
+}
+_REP_ALL = f"""{_REP_ROWS},
+ws AS (SELECT repetition, class_code, score, sum(pos) AS pos, sum(neg) AS neg FROM ({_REP_LONG}) GROUP BY ALL),
+wc AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp FROM ws WINDOW v AS (PARTITION BY repetition, class_code ORDER BY score DESC)),
+wr AS (SELECT repetition, class_code, 1 - sum(pos * (fp - 0.5 * neg))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE AS auc,
+  sum(CASE WHEN pos > 0 THEN pos * tp::DOUBLE / (tp + fp) ELSE 0 END) / sum(pos) AS ap FROM wc GROUP BY ALL),
+wp AS (SELECT repetition, {', '.join(f'sum(w * ({v})) / sum(w) AS {n}' for n, v in _REP_PROB.items())} FROM wt GROUP BY repetition),
+{_calibration_sql('repetition', 'w', 'wt')},
+ra AS (SELECT repetition, metric, value FROM rl
+  UNION ALL SELECT repetition, 'auc_roc_ovr_macro', avg(auc) FROM wr GROUP BY repetition
+  UNION ALL SELECT repetition, 'auprc_alta', ap FROM wr WHERE class_code = 2 UNION ALL SELECT repetition, 'auprc_urgente', ap FROM wr WHERE class_code = 3
+  {' '.join(f"UNION ALL SELECT repetition, '{n}', {n} FROM wp" for n in _REP_PROB)}
+  UNION ALL SELECT repetition, 'calibration_intercept', a FROM cal WHERE it = 12
+  UNION ALL SELECT repetition, 'calibration_slope', b FROM cal WHERE it = 12)"""
+
+
+@query(
+    f"{_P}, {_WEIGHTED}, {_REP_ALL} SELECT metric, round(quantile_cont(value, 0.025), 4) AS ci_2_5, round(quantile_cont(value, 0.975), 4) AS ci_97_5 FROM ra GROUP BY metric"
+)
 def probability_intervals(spark, folder):
-    """Intervals of the full metric set over replicates; the label part has a SQL twin above."""
+    """Intervals of every metric of the report over the replicates, calibration included."""
     out = ce.bootstrap_intervals(
-        predictions(spark, folder), "id", "y", "yhat", K, RECALLS, 5, _SEED, PROBS, PRECISIONS
+        predictions(spark, folder),
+        "id",
+        "y",
+        "yhat",
+        K,
+        RECALLS,
+        REPETITIONS,
+        _SEED,
+        PROBS,
+        PRECISIONS,
+        calibration=True,
     )
     return rounded(out, ["ci_2_5", "ci_97_5"], 4)

@@ -21,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+#: Session setting: the number of tasks that work bound by CPU is dealt over. For tables that
+#: lie in few large row groups; where it is unset, rows are worked on where they are read.
+CPU_TASKS = "spark.noteframe.cpu.tasks"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as the session asks for, or as they are."""
+    tasks = df.sparkSession.conf.get(CPU_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from ..operators.markers import FIELDS, markers_long, markers_wide
 from ..operators.rendering import soap_note
 from ..presets import web
 from . import sql
-from .common import table
+from .common import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,7 +35,7 @@ _O = web.ONTOLOGY
 
 @query(f"{_SENT} SELECT doc_id, position::INT AS position, md5(s) AS sentence_md5 FROM sent")
 def sentences(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     rows = ex.sentence_rows(docs, "doc_id", "text")
     return rows.select("doc_id", "position", F.md5("sentence").alias("sentence_md5"))
 
@@ -47,14 +47,14 @@ def sentences(spark, folder):
 SELECT temporality, certainty, experiencer, count(*)::BIGINT AS n FROM q GROUP BY ALL"""
 )
 def sentence_cues(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     rows = ex.sentence_rows(docs, "doc_id", "text")
     cues = ex.qualified_sentences(rows, "sentence", _O)
     return cues.groupBy("temporality", "certainty", "experiencer").agg(F.count("*").alias("n"))
 
 
 def web_markers(spark, folder) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     return ex.extract_markers(docs, "doc_id", "text", _O, extractor_id="web", document_prefilter=True)
 
 

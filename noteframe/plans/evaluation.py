@@ -18,7 +18,7 @@ from ..operators.markers import FEATURE_FIELDS, FIELDS, marker_comparison, marke
 from ..presets import clinical as c
 from ..presets import web
 from . import sql
-from .common import BASE_SEED, rounded, table
+from .common import BASE_SEED, dealt, rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -50,7 +50,7 @@ def query(oracle: str | None = None):
 
 
 def variants(spark: SparkSession, folder: str, *found: Variant) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     return extract_variants(docs, "doc_id", "text", found, document_prefilter=True)
 
 
