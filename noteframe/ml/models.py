@@ -59,19 +59,23 @@ def fit_preprocessor(
 ) -> Preprocessor:
     """Median + missing indicator + standardisation; mode + one-hot (unknown values give zeros).
 
-    Fitted on the given rows only, so each fold has its own. One aggregation finds the
-    columns with missing values and the modes.
+    Fitted on the given rows only, so each fold has its own. Modes come from grouped counts
+    (ties: the smallest value), so no task holds all values of a column; the encoder itself
+    keeps one entry per value, so free text is no category.
     """
-    stats = train.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric],
-        *[F.mode(F.col(c), True).alias(f"m_{c}") for c in categorical],
-    ).first()
+    stats = train.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric]).first()
     gaps = [c for c in numeric if stats[f"n_{c}"] > 0]
+    modes: dict[str, str] = {}
+    if categorical:
+        cells = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in categorical]
+        counts = train.select(F.inline(F.array(*cells))).where("value IS NOT NULL").groupBy("name", "value").count()
+        top = counts.groupBy("name").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
+        modes = {r["name"]: r["mode"] for r in top.collect()}
     parts = ["*"]
     parts += [f"CAST({x.col(c)} AS DOUBLE) AS {x.col('num_' + c)}" for c in numeric]
     parts += [f"CAST({x.col(c)} IS NULL AS DOUBLE) AS {x.col('gap_' + c)}" for c in gaps]
     parts += [
-        f"coalesce({x.col(c)}, {x.lit(stats[f'm_{c}'] or '')}) AS {x.col('cat_' + c)}" for c in categorical
+        f"coalesce({x.col(c)}, {x.lit(modes.get(c, ''))}) AS {x.col('cat_' + c)}" for c in categorical
     ]
     stages = [SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")]
     values = [f"num_{c}" for c in numeric] + [f"gap_{c}" for c in gaps]

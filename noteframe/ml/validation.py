@@ -18,6 +18,7 @@ from ..operators.class_eval import label_counts, label_metrics, per_class
 from ..operators.ordered import positions_by_draw
 from ..operators.quality import require_class_counts
 from ..operators.sampling import stratified_folds, train_test_split, union_all
+from ..sources.tables import stored
 from .models import Preprocessor, feature_types, fit_preprocessor
 
 
@@ -82,7 +83,7 @@ def _slim(predicted: DataFrame, task: Task, extra: Sequence = ()) -> DataFrame:
 
 
 def nested_predictions(rows: DataFrame, candidates: Sequence, task: Task) -> tuple[DataFrame, list[dict]]:
-    """(out-of-fold predictions with ``outer_fold``, chosen settings per fold).
+    """(stored out-of-fold predictions with ``outer_fold``, chosen settings per fold).
 
     The driver loops over folds and candidates; every fit and prediction is a Spark job.
     """
@@ -97,7 +98,9 @@ def nested_predictions(rows: DataFrame, candidates: Sequence, task: Task) -> tup
         predicted, _, _ = fit_and_predict(train, valid, candidate, task)
         parts.append(_slim(predicted, task, [F.lit(fold + 1).alias("outer_fold")]))
         chosen.append({"outer_fold": fold + 1, **settings(candidate)})
-    return union_all(parts), chosen
+    predictions = stored(union_all(parts))
+    folded.unpersist()
+    return predictions, chosen
 
 
 @dataclass

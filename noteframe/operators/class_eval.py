@@ -269,7 +269,8 @@ def calibration_fit(
             key = tuple(row[: len(by)])
             g0, g1, h00, h01, h11 = row[len(by) :]
             det = h00 * h11 - h01 * h01
-            if det <= 1e-12 * h00 * h11:
+            # Scores that do not vary, or a perfect split, have no finite fit.
+            if not det > 1e-12 * h00 * h11:
                 fitted[key] = None
                 open_groups.discard(key)
                 continue

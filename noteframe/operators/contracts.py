@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,10 +90,15 @@ def forbidden_map_keys(column: str, extra: Iterable[str] = ()) -> Column:
 def forbidden_json_paths(json_text, extra: Iterable[str] = ()) -> Column:
     """Paths ``a.b[0].c`` of forbidden keys at any depth of a JSON text column.
 
-    The depth of a JSON text is not bounded by a schema, so this one check is an
-    Arrow-batched function; NULL or broken JSON gives an empty array.
+    The depth of a JSON text is not bounded by a schema, so the walk is an Arrow-batched
+    function. A text that holds none of the names (nor an escape that may hide one) cannot
+    match and is not sent there. NULL or broken JSON gives an empty array.
     """
     forbidden = _forbidden_set(extra)
+    source = F.col(json_text) if isinstance(json_text, str) else json_text
+    lowered = F.lower(source)
+    hints = [F.contains(lowered, F.lit(name)) for name in sorted(forbidden)]
+    possible = reduce(or_, hints, F.contains(source, F.lit("\\u")))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def paths(texts: pd.Series) -> pd.Series:
@@ -116,7 +123,7 @@ def forbidden_json_paths(json_text, extra: Iterable[str] = ()) -> Column:
 
         return texts.map(one)
 
-    return paths(F.col(json_text) if isinstance(json_text, str) else json_text)
+    return paths(F.when(possible, source))
 
 
 def guard(df: DataFrame, ok: Column, message: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
-from ..functions.text import WHITESPACE, marker_status, without_code_fences
+from ..functions.text import WHITESPACE, clean_section, marker_status, without_code_fences
 from .contracts import guard
 from .joins import join_one_to_one
 
@@ -258,6 +258,36 @@ def parse_replies(
     )
 
 
+def parse_section_replies(
+    df: DataFrame, key: str, reply: str, sections: Mapping[str, Sequence[str]], retries: str | None = None
+) -> DataFrame:
+    """Column of JSON replies with text sections -> one column per section and a status.
+
+    The reply may be wrapped in code fences; it must be an object in which every section is a
+    text (other values count by their JSON text) that is not empty after white space is
+    collapsed and a leading header (the section's name or one in ``sections``) is dropped. A bad reply gives empty sections and
+    ``failed`` with the sections at fault (``reply`` where there is no object).
+    """
+    parsed = F.from_json(without_code_fences(F.col(reply)), "map<string,string>")
+    staged = df.select(
+        key, parsed.alias("_map"), (F.col(retries) if retries else F.lit(0)).cast("int").alias("retry_count")
+    )
+    for i, (name, headers) in enumerate(sections.items()):
+        text = clean_section(F.col("_map")[name], name, headers)
+        staged = staged.withColumn(f"_s{i}", F.coalesce(text, F.lit("")))
+    empty = [F.when(F.col(f"_s{i}") == "", F.lit(n)) for i, n in enumerate(sections)]
+    faults = F.when(F.col("_map").isNull(), F.array(F.lit("reply"))).otherwise(F.array_compact(F.array(*empty)))
+    checked = staged.withColumn("faults", faults)
+    ok = F.size("faults") == 0
+    return checked.select(
+        key,
+        F.when(ok, "success").otherwise("failed").alias("status"),
+        "retry_count",
+        "faults",
+        *[F.when(ok, F.col(f"_s{i}")).otherwise("").alias(n) for i, n in enumerate(sections)],
+    )
+
+
 def markers_from_wide(
     df: DataFrame, prefix: str, ontology: Ontology, out: str = "markers", problems: str | None = None
 ) -> DataFrame:

@@ -69,19 +69,25 @@ def best_per_group(df: DataFrame, group: str, score: str, name: str) -> DataFram
 def select_model(
     summary: DataFrame, dataset: str, model: str = "best", score: str = "development_f1_macro"
 ) -> tuple[str, str]:
-    """(model, criterion) of one dataset; never chosen by a test score. ``summary`` has one row per model."""
+    """(model, criterion) of one dataset; never chosen by a test score.
+
+    ``summary`` has one row per model and is read once.
+    """
     require_columns(summary, ["dataset", "model"], "model summary")
-    known = [r["dataset"] for r in summary.select("dataset").distinct().orderBy("dataset").collect()]
+    if model == "best":
+        require_columns(summary, [score], "model summary")
+    rows = summary.select("dataset", "model", *([score] if score in summary.columns else [])).collect()
+    known = sorted({r["dataset"] for r in rows})
     if dataset not in known:
         raise ValueError(f"dataset {dataset!r} not found; available: {known}")
-    rows = summary.where(F.col("dataset") == dataset)
+    mine = [r for r in rows if r["dataset"] == dataset]
     if model != "best":
-        models = sorted(r["model"] for r in rows.select("model").distinct().collect())
+        models = sorted({r["model"] for r in mine})
         if model not in models:
             raise ValueError(f"model {model!r} not found for {dataset!r}; available: {models}")
         return model, "named by the caller"
-    require_columns(rows, [score], "model summary")
-    return best_per_group(rows, "dataset", score, "model").first()["model"], f"highest {score}"
+    best = min(mine, key=lambda r: (r[score] is None, -(r[score] or 0.0), r["model"]))
+    return best["model"], f"highest {score}"
 
 
 def predicted_label(df: DataFrame, label: str, code: str, labels: Sequence[str]) -> Column:

@@ -38,18 +38,32 @@ def stratified_sample(
     return first_n_per_stratum(drawn, stratum, [F.col("_u"), F.col(key)], n).drop("_u")
 
 
-def with_critical_row(sample: DataFrame, everything: DataFrame, key: str, critical: str, seed: int) -> DataFrame:
-    """Add one critical row if the sample has none and the table has one outside the sample."""
-    have = sample.agg(F.coalesce(F.max(critical), F.lit(0))).scalar()
-    candidates = anti_join(everything.where(F.col(critical) == 1), sample, key)
-    extra = (
-        candidates.withColumn("_u", uniform(seed, key, "critical"))
+def with_critical_row(
+    sample: DataFrame, everything: DataFrame, key: str, critical: str, seed: int, size: int
+) -> DataFrame:
+    """Add one critical row if the sample has none and the table has one outside the sample.
+
+    The sample holds at most ``size`` rows, so the first ``size + 1`` critical rows in random
+    order include one outside it whenever there is one. Both are read once, and the choice is
+    made on that bounded union.
+    """
+    first = (
+        everything.where(F.col(critical) == 1)
+        .withColumn("_u", uniform(seed, key, "critical"))
         .orderBy("_u", key)
-        .limit(1)
-        .drop("_u")
-        .where(have == 0)
+        .limit(size + 1)
+    )
+    own = sample.select(*everything.columns, F.lit(None).cast("double").alias("_u"), F.lit(0).alias("_extra"))
+    both = own.unionByName(first.withColumn("_extra", F.lit(1)))
+    marked = both.withColumns(
+        {
+            "_taken": F.min("_extra").over(W.partitionBy(key)) == 0,
+            "_have": F.max(F.when(F.col("_extra") == 0, F.col(critical))).over(W.partitionBy()),
+        }
     )
-    return sample.unionByName(extra)
+    place = F.row_number().over(W.partitionBy("_extra", "_taken").orderBy("_u", key))
+    chosen = (F.coalesce("_have", F.lit(0)) == 0) & ~F.col("_taken") & (F.col("_place") == 1)
+    return marked.withColumn("_place", place).where((F.col("_extra") == 0) | chosen).select(*sample.columns)
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import class_eval as ce
 from ..operators.extraction_eval import quadratic_kappa
+from ..operators.ranking import select_model
 from . import sql
 from .common import dealt, rounded, table
 
@@ -274,3 +275,27 @@ def probability_intervals(spark, folder):
         calibration=True,
     )
     return rounded(out, ["ci_2_5", "ci_97_5"], 4)
+
+
+_RIVALS = {"argmax": "yhat", "one_up": "least(yhat + 1, 3)", "always_low": "0"}
+
+
+@query(
+    f"""{_P}, ri AS ({' UNION ALL '.join(f"SELECT '{n}' AS model, y, {e} AS yhat FROM pred" for n, e in _RIVALS.items())}),
+rc AS (SELECT model, k, count(*) FILTER (WHERE y = k AND yhat = k)::DOUBLE AS tp, count(*) FILTER (WHERE yhat = k) + count(*) FILTER (WHERE y = k) AS whole
+  FROM ri CROSS JOIN (SELECT unnest(range(4)) AS k) GROUP BY ALL),
+rs AS (SELECT model, avg(coalesce(2 * tp / nullif(whole, 0), 0)) AS f FROM rc GROUP BY model)
+SELECT 'line_items' AS dataset, model, round(f, 6) AS development_f1_macro,
+  CASE WHEN row_number() OVER (ORDER BY f DESC, model) = 1 THEN 'highest development_f1_macro' END AS criterion FROM rs"""
+)
+def model_selection(spark, folder):
+    """Development scores of rival predictions; the chosen model carries its criterion."""
+    rivals = [F.struct(F.lit(n).alias("model"), F.expr(e).cast("int").alias("yhat")) for n, e in _RIVALS.items()]
+    long = predictions(spark, folder).select("y", F.inline(F.array(*rivals)))
+    metrics = ce.label_metrics(ce.label_counts(long, "y", "yhat", ["model"]), K, RECALLS, ["model"])
+    summary = metrics.where("metric = 'f1_macro'").select(
+        F.lit("line_items").alias("dataset"), "model", F.col("value").alias("development_f1_macro")
+    )
+    model, criterion = select_model(summary, "line_items")
+    chosen = F.when(F.col("model") == model, F.lit(criterion))
+    return rounded(summary.withColumn("criterion", chosen), ["development_f1_macro"])

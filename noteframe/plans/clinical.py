@@ -702,7 +702,6 @@ def ranked_classification(spark, folder):
         RANKED,
         include_reference=True,
         check=(),
-        store=True,
     )
 
 
@@ -747,14 +746,16 @@ _PER_LABEL = 15
 
 
 def _annotation_sample(spark, folder) -> DataFrame:
+    """Key, label and critical flag of the chosen records; notes join only the form."""
     critical = F.exists(
         "markers", lambda m: m["marker"].isin(*c.CRITICAL_MARKERS) & (m["present"] == 1)
     ).cast("int")
     audit = source(spark, folder).select(KEY, critical.alias("critical_case"))
     truth = reference(spark, folder).select(KEY, "prioridade_referencia")
-    everything = notes(spark, folder).select(KEY, "note").join(truth, KEY).join(audit, KEY)
+    everything = truth.join(audit, KEY)
     sample = stratified_sample(everything, KEY, "prioridade_referencia", _PER_LABEL, _ANNOT_SEED)
-    return shuffled(with_critical_row(sample, everything, KEY, "critical_case", _ANNOT_SEED), KEY, _ANNOT_SEED)
+    size = _PER_LABEL * len(c.LABELS)
+    return with_critical_row(sample, everything, KEY, "critical_case", _ANNOT_SEED, size)
 
 
 _SAMPLE = f"""crit AS (SELECT patient_id, max(CASE WHEN marker IN ({_CRITICAL}) THEN present ELSE 0 END)::INT AS critical_case FROM src GROUP BY patient_id),
@@ -768,9 +769,9 @@ smp AS (SELECT patient_id, priority_code, critical_case FROM (
 )
 def annotation_audit(spark, folder):
     _, audit = visible_and_audit(
-        _annotation_sample(spark, folder), [KEY, "note"], [KEY, "prioridade_referencia", "critical_case"]
+        _annotation_sample(spark, folder), [KEY], [KEY, "prioridade_referencia", "critical_case"]
     )
-    return audit
+    return shuffled(audit, KEY, _ANNOT_SEED)
 
 
 _BLANK_FIELDS = [f"{m}_{f}" for m in ONT.names for f in FIELDS] + ["annotator_id", "notes"]
@@ -780,7 +781,9 @@ _BLANK_FIELDS = [f"{m}_{f}" for m in ONT.names for f in FIELDS] + ["annotator_id
     f"{_COHORT},{_note_sql('notes')},{_rules_sql('src')},{_SAMPLE} SELECT patient_id, note, {', '.join(chr(39) * 2 + ' AS ' + f for f in _BLANK_FIELDS)} FROM smp JOIN notes USING (patient_id)"
 )
 def annotation_form(spark, folder):
-    return blank_form(_annotation_sample(spark, folder), [KEY, "note"], _BLANK_FIELDS)
+    chosen = _annotation_sample(spark, folder).select(KEY)
+    shown = notes(spark, folder).select(KEY, "note").join(chosen, KEY)
+    return blank_form(shuffled(shown, KEY, _ANNOT_SEED), [KEY, "note"], _BLANK_FIELDS)
 
 
 _TOPUP_SEED = 41
@@ -797,7 +800,7 @@ def critical_topup(spark, folder):
         KEY, (F.col("n_open") % 3).alias("g"), (F.col(KEY) % 101 == 7).cast("int").alias("flag")
     )
     sample = stratified_sample(base.where("flag = 0"), KEY, "g", 4, _TOPUP_SEED)
-    return with_critical_row(sample, base, KEY, "flag", _TOPUP_SEED)
+    return with_critical_row(sample, base, KEY, "flag", _TOPUP_SEED, 4 * 3)
 
 
 @query(

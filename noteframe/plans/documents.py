@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import extraction as ex
 from ..operators.contracts import forbidden_json_paths, forbidden_map_keys
-from ..operators.markers import FIELDS, markers_long, markers_wide
+from ..operators.markers import FIELDS, markers_long, markers_wide, parse_section_replies
 from ..operators.rendering import soap_note
 from ..presets import web
 from . import sql
@@ -142,3 +142,36 @@ def cleaned_sections(spark, folder):
     raw = F.concat(F.lit("Subjective:  "), F.col("text"))
     subjective = tx.clean_section(raw, "subjective", ("s", "a"))
     return turns.select("conv_id", "turn", F.md5(soap_note(subjective, F.col("role"))).alias("note_md5"))
+
+
+_CLEAN = "trim(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id || '-' || turn AS reply_id, (conv_id + turn) % 6 AS kind, {_CLEAN} AS said, role FROM conversations),
+f AS (SELECT *, CASE WHEN kind = 3 OR kind = 5 THEN 'reply' ELSE concat_ws(',', CASE WHEN kind = 4 OR said = '' THEN 'subjective' END,
+  CASE WHEN kind = 2 THEN 'assessment' END) END AS faults FROM t)
+SELECT reply_id, CASE WHEN faults = '' THEN 'success' ELSE 'failed' END AS status, faults,
+  md5(CASE WHEN faults = '' THEN said ELSE '' END) AS subjective_md5, CASE WHEN faults = '' THEN role ELSE '' END AS assessment FROM f"""
+)
+def section_replies(spark, folder):
+    """Replies with two text sections: fenced, plain, one missing, broken, blank, not an object."""
+    turns = table(spark, folder, "conversations")
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    said = F.when(kind == 4, " \n").otherwise(F.concat(F.lit("S -  "), F.col("text")))
+    body = F.to_json(F.struct(said.alias("subjective"), F.when(kind != 2, F.col("role")).alias("assessment")))
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(kind == 3, F.concat(F.lit("answer: "), F.col("role")))
+        .when(kind == 5, F.concat(F.lit("["), body, F.lit("]")))
+        .otherwise(body)
+    )
+    rows = turns.select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), reply.alias("reply"))
+    parsed = parse_section_replies(rows, "reply_id", "reply", {"subjective": ("s",), "assessment": ("a",)})
+    return parsed.select(
+        "reply_id",
+        "status",
+        F.array_join("faults", ",").alias("faults"),
+        F.md5("subjective").alias("subjective_md5"),
+        "assessment",
+    )
