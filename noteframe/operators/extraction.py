@@ -187,15 +187,18 @@ def extract_markers(
     before severity is read. ``document_prefilter`` skips the sentence split of texts
     without any hit; use it when hits are rare and no pattern is anchored (``^``, ``$``).
     """
+    require_columns(df, [key, text], "extraction input")
     k = x.col(key)
-    variant = Variant("markers", ontology, flip_rate, seed)
-    return extract_variants(df, key, text, [variant], document_prefilter=document_prefilter).selectExpr(
+    split = _split(x.col(text), [ontology], document_prefilter)
+    # One projection for the candidates and one for the rest: shorter plans for wide outputs.
+    staged = df.select(key, text).selectExpr(k, f"{_candidates(split, ontology)} AS _c")
+    return staged.selectExpr(
         k,
         f"{x.lit(extractor_id)} AS extractor_id",
         f"{x.lit(ontology.version)} AS ontology_version",
         "'success' AS extraction_status",
         "0 AS retry_count",
-        "markers",
+        f"{_decided(_picks('_c', ontology), k, ontology, flip_rate, seed)} AS markers",
     )
 
 
