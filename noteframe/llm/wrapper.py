@@ -59,13 +59,14 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 SUPPORT = 5
 
 
 class Block:
     """A block element of a page: its key, parts in page order (texts and blocks), link letters."""
 
-    __slots__ = ("key", "tag", "parts", "links", "boiler")
+    __slots__ = ("key", "tag", "parts", "links", "boiler", "inner")
 
     def __init__(self, tag: str, attributes: str = ""):
         names, role = "", ""
@@ -84,13 +85,36 @@ class Block:
         )
         self.parts: list = []
         self.links = 0
+        self.inner = 0  # open inline elements of the same tag that have no block
 
     def text(self) -> str:
         return "".join(p for p in self.parts if isinstance(p, str))
 
 
+def _inline(stack: list[Block], tag: str) -> int:
+    """Place of the open inline block of this tag in the enclosing block, 0 if there is none."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag == tag:
+            return i
+        if stack[i].tag not in INLINE:
+            break
+    return 0
+
+
+def _leave(stack: list[Block], tag: str, whole: bool = False) -> None:
+    """End an inline element: its block, if it has one, or the last of those inside the block."""
+    i = _inline(stack, tag)
+    if i and stack[i].inner and not whole:
+        stack[i].inner -= 1
+    elif i:
+        del stack[i:]
+
+
 def parse(html: str) -> Block:
-    """The tree of block elements; inline markup dissolves into its block's text."""
+    """The tree of block elements; inline markup dissolves into its block's text.
+
+    Inline elements that are boilerplate by class, id or role are blocks up to their end tag.
+    """
     root = Block("html")
     stack, link = [root], 0
     end, size = 0, len(html)
@@ -115,6 +139,7 @@ def parse(html: str) -> Block:
             if tag == "a":
                 link = 0
             if tag in INLINE:
+                _leave(stack, tag)
                 continue
             if tag == "br" or tag == "p" and all(b.tag != "p" for b in stack):
                 stack[-1].parts.append(" ")
@@ -140,11 +165,19 @@ def parse(html: str) -> Block:
             if tag in ("html", "body"):
                 continue
             block = Block(tag, attributes)
-        elif "class" in attributes or "id" in attributes or "role" in attributes:
-            known = Block(tag, attributes)
-            block = known if known.boiler else None
-        if block is None:
-            continue
+        else:
+            if tag == "a":  # links do not nest
+                _leave(stack, tag, True)
+            if _EMPTY.search(attributes):
+                continue
+            if "class" in attributes or "id" in attributes or "role" in attributes:
+                known = Block(tag, attributes)
+                block = known if known.boiler else None
+            if block is None:
+                i = _inline(stack, tag)
+                if i:
+                    stack[i].inner += 1
+                continue
         if tag not in INLINE:
             link = 0
             for i in range(len(stack) - 1, 0, -1):

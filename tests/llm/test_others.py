@@ -41,6 +41,22 @@ def test_pages(spark):
     assert wrapper.main_texts(df.limit(0)).count() == 0
 
 
+def _read(html):
+    tree = wrapper.parse(html)
+    return wrapper.Wrapper(wrapper.folded(tree)).read(tree)
+
+
+def test_inline_boilerplate_ends_at_its_end_tag():
+    assert _read('<p>Text <a class="share">x</a> more</p>') == "Text more"
+    assert _read('<article><span class="ad">x</span><p>One</p><p>Two</p></article>') == "One Two"
+    assert _read('<body><a id="menu"></a><a class="menu" href="#m">Skip</a><article><p>All</p></article>') == "All"
+    assert _read('<a id="menu"/><article><p>All</p></article>') == "All"
+    assert _read('<p>a <span class="ad">b <span>c</span> d <b>e</b></span> f <i>g</i></p>') == "a f g"
+    assert _read('<p>a <a class="share">b <a href="/">c</a> d</p><p>e</p>') == "a c d e"
+    assert _read('<p>a <span class="ad">b <em role="alert">c</span> d</p>') == "a d"
+    assert _read('<article><span class="ad"><p>a <span>b</span> c</p></span><p>d</p></article>') == "d"
+
+
 def test_tree_matching():
     a, b = (wrapper.folded(wrapper.parse(_page(i, "c"))) for i in (1, 2))
     size = lambda n: 1 + sum(size(c) for c in n.children)
