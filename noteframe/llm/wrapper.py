@@ -3,7 +3,9 @@
 Pages are parsed into trees of block elements. Consecutive siblings of one kind fold into one
 node, and the trees of a host are aligned by simple tree matching (the largest common ordered
 subtree below equal roots). The aligned tree is the host's wrapper: nodes whose text is the
-same on all pages that have them are template, varying nodes are slots. A page's content are
+same on all pages that have them are template if enough different articles have them, others
+are slots. Pages are told apart by the digest of their article, so copies of an article count
+once; each node keeps its smallest ``SAMPLE`` digests. A page's content are
 its slots inside the article, or, without an article, its slots that are not mostly links;
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by
 their elements and class names and are no content wherever they stand.
@@ -61,6 +63,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 SUPPORT = 5
+#: Digests kept per node. The host's smallest ones are an even sample of its different articles
+#: (all of them, if no more), and a node holds each of them that it stands in.
+SAMPLE = 64
 
 
 class Block:
@@ -201,32 +206,56 @@ def parse(html: str) -> Block:
 
 
 class Node:
-    """A node of a wrapper: pages that have it, its text's mark while constant, letters."""
+    """A node of a wrapper: articles that have it, its text's mark while constant, letters.
 
-    __slots__ = ("key", "tag", "boiler", "children", "pages", "mark", "letters", "links")
+    ``seen`` are the smallest digests of these articles (none in boilerplate), ``common`` says
+    once the host is complete that they are enough for a template.
+    """
+
+    __slots__ = ("key", "tag", "boiler", "children", "seen", "common", "mark", "letters", "links")
 
-    def __init__(self, key, tag, boiler, pages, mark, letters, links, children):
+    def __init__(self, key, tag, boiler, seen, common, mark, letters, links, children):
         self.key, self.tag, self.boiler, self.children = key, tag, boiler, children
-        self.pages, self.mark, self.letters, self.links = pages, mark, letters, links
+        self.seen, self.common = seen, common
+        self.mark, self.letters, self.links = mark, letters, links
 
     def add(self, other: Node, same_page: bool) -> None:
         if same_page:  # siblings that fold: their texts together are the node's text
             self.mark = _mark(f"{self.mark} {other.mark}")
         else:
-            self.pages += other.pages
+            self.seen = _smallest(self.seen, other.seen)
             if self.mark != other.mark:
                 self.mark = None
         self.letters += other.letters
         self.links += other.links
 
-    def packed(self) -> list:
-        rest = [c.packed() for c in self.children]
-        return [self.key, self.boiler, self.pages, self.mark, self.letters, self.links, rest]
+    def settle(self, host: set[int] | None = None) -> None:
+        """Let the digests of the complete host go: only what they say of each node stays."""
+        host = set(self.seen) if host is None else host
+        for child in self.children:
+            child.settle(host)
+        share = sum(x in host for x in self.seen)
+        self.common = len(self.seen) >= SUPPORT and 2 * share >= len(host)
+        self.seen = []
+
+    def packed(self, above: list[int] | None = None) -> list:
+        seen = None if self.seen == above else self.seen  # mostly as the parent's
+        rest = [c.packed(self.seen) for c in self.children]
+        mark, letters, links = self.mark, self.letters, self.links
+        return [self.key, self.boiler, seen, self.common, mark, letters, links, rest]
 
     @staticmethod
-    def unpacked(x: list) -> Node:
-        children = [Node.unpacked(c) for c in x[6]]
-        return Node(x[0], x[0].split(".")[0], x[1], x[2], x[3], x[4], x[5], children)
+    def unpacked(x: list, above: list[int] | None = None) -> Node:
+        seen = above if x[2] is None else x[2]
+        children = [Node.unpacked(c, seen) for c in x[7]]
+        return Node(x[0], x[0].split(".")[0], x[1], seen, x[3], x[4], x[5], x[6], children)
+
+
+def _smallest(a: list[int], b: list[int]) -> list[int]:
+    """The smallest ``SAMPLE`` digests of two sorted lists."""
+    if not b or a == b or len(a) == SAMPLE and b[0] > a[-1]:
+        return a
+    return sorted({*a, *b})[:SAMPLE]
 
 
 def matched(a: Node, b: Node, memo: dict) -> int:
@@ -292,14 +321,33 @@ def _mark(text: str) -> str:
     return blake2b(" ".join(text.split()).encode(), digest_size=6).hexdigest()
 
 
-def folded(block: Block) -> Node:
+def article(page: Block) -> int:
+    """Digest of a page's article, or of all its text without boilerplate if it has none."""
+
+    def said(block: Block, inside: bool) -> Iterator[str]:
+        if block.boiler:
+            return
+        inside = inside or block.tag in MAIN
+        yield " "
+        for part in block.parts:
+            if not isinstance(part, str):
+                yield from said(part, inside)
+            elif inside:
+                yield part
+
+    return int(_mark("".join(said(page, not _has_main(page)))), 16)
+
+
+def folded(block: Block, seen: list[int] | None = None) -> Node:
     """The wrapper of one page: siblings of one kind that follow each other are one node."""
     text = block.text()
-    node = Node(block.key, block.tag, block.boiler, 1, _mark(text), len(text), block.links, [])
+    seen = [] if block.boiler else [article(block)] if seen is None else seen
+    mark, letters, links = _mark(text), len(text), block.links
+    node = Node(block.key, block.tag, block.boiler, seen, False, mark, letters, links, [])
     for part in block.parts:
         if isinstance(part, str):
             continue
-        child = folded(part)
+        child = folded(part, seen)
         if node.children and node.children[-1].key == child.key:
             merge(node.children[-1], child, True)
         else:
@@ -325,9 +373,7 @@ class Wrapper:
 
     def template(self, node: Node | None) -> bool:
         """A node whose text stays the same while the host's articles vary."""
-        return (
-            node is not None and self.varies and node.pages >= SUPPORT and node.mark is not None
-        )
+        return node is not None and self.varies and node.common and node.mark is not None
 
     def read(self, page: Block) -> str:
         """The content of a page in page order."""
@@ -367,7 +413,7 @@ class Wrapper:
         if [r[0].key for r in runs] == [c.key for c in node.children]:
             together = [(i, i) for i in range(len(runs))]
         else:
-            page = [folded(r[0]) for r in runs]
+            page = [folded(r[0], []) for r in runs]
             together = pairs(node.children, page, {})
         out = {}
         for i, j in together:
@@ -415,18 +461,26 @@ def wrappers(pages: DataFrame, salts: int = 64, hosts_held: int = 2000) -> DataF
         if held:
             yield out()
 
-    def together(group: pd.DataFrame) -> pd.DataFrame:
+    def folded_group(group: pd.DataFrame, whole: bool) -> pd.DataFrame:
         nodes = [Node.unpacked(json.loads(x)) for x in sorted(group["wrapper"])]
         root = nodes[0]
         for other in nodes[1:]:
             merge(root, other)
+        if whole:
+            root.settle()
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(root.packed())]})
 
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        return folded_group(group, False)
+
+    def complete(group: pd.DataFrame) -> pd.DataFrame:
+        return folded_group(group, True)
+
     schema = "host string, wrapper string"
     parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(local, schema)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     half = salted.groupBy("host", "salt").applyInPandas(together, schema)
-    return half.groupBy("host").applyInPandas(together, schema)
+    return half.groupBy("host").applyInPandas(complete, schema)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -435,8 +489,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     White space is one space, blocks are joined in page order by one space. A null html or url
     is empty (pages without a host share one wrapper), broken markup is read as far as it goes,
     equal rows stay separate rows, an empty table gives no rows, further columns are not read.
-    Text that is the same on all pages of a host is template from ``SUPPORT`` pages on, and
-    only if the articles of that host differ.
+    Text that is the same on all pages of a host that have its place is template if at least
+    ``SUPPORT`` different articles and half of the host's have it (copies of an article count
+    once), and only if the articles of that host differ.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     keyed = slim.withColumn("host", host(F.col("url")))

@@ -57,6 +57,35 @@ def test_inline_boilerplate_ends_at_its_end_tag():
     assert _read('<article><span class="ad"><p>a <span>b</span> c</p></span><p>d</p></article>') == "d"
 
 
+def _story(i, more=""):
+    return f"<article><h1>Head {i}</h1><div class='bar'>We use cookies.</div><p>Text {i}</p>{more}</article>"
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    same = [_story(99, "<ul><li>Own list</li></ul><blockquote>Own quote</blockquote>")] * 7
+    same = [f"<nav>{i % 3}</nav>{html}" for i, html in enumerate(same)]
+    few = [_story(i, "<table><tr><td>Some table</td></tr></table>") for i in range(5)]
+    pages = same + few + [_story(i) for i in range(5, 20)]
+    rows = [(i, f"http://a.example/{i}", html) for i, html in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    texts = {r.page_id: r.text for r in wrapper.main_texts(df).collect()}
+    for i in range(7):
+        assert texts[i] == "Head 99 Text 99 Own list Own quote"
+    for i in range(20):
+        assert texts[7 + i] == f"Head {i} Text {i}" + (" Some table" if i < 5 else "")
+
+
+def test_digests_of_a_node_do_not_depend_on_the_order_of_merges():
+    rng = np.random.default_rng(8)
+    values = [int(x) for x in rng.integers(0, 1 << 40, 300)]
+    expected = sorted(set(values))[: wrapper.SAMPLE]
+    for _ in range(5):
+        parts = [[v] for v in rng.permutation(values).tolist()]
+        while len(parts) > 1:
+            parts.append(wrapper._smallest(parts.pop(int(rng.integers(len(parts)))), parts.pop(0)))
+        assert parts[0] == expected
+
+
 def test_tree_matching():
     a, b = (wrapper.folded(wrapper.parse(_page(i, "c"))) for i in (1, 2))
     size = lambda n: 1 + sum(size(c) for c in n.children)
