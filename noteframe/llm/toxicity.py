@@ -9,7 +9,8 @@ and over how many it has. As the kernel is an explicit inner product, the traine
 of weights per subsequence; scoring is a lookup and exact, not an approximation of it.
 
 The fit reads a bounded sample of labelled rows (``per_class`` of each label, by hash of the
-id); every document is scored, whole. Neither language, source, labels nor ids enter a score.
+id); every document is scored, whole. Runs end at any white space; one of more letters than a
+term may have is scored by its pieces between marks and by overlapping windows. Neither language, source, labels nor ids enter a score.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ _START, _END = 27, 28
 _PAIRS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN + 1)]
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _LENGTH = 48
+#: Letters of the windows, a third apart, that a term of full length is also scored by.
+_WINDOWS = (8, 12, 24)
 
 
 def _class_of(char: str) -> int:
@@ -50,6 +54,39 @@ def letters(raw: str) -> str:
     return low if low.isalpha() else "".join(c for c in low if c.isalpha())
 
 
+def pieces(run: str) -> list[str]:
+    """A run of more than ``_LENGTH`` letters cut at its marks and digits, others as they are.
+
+    Combining marks (accents, Thai vowels) stay with their letters.
+    """
+    if len(run) <= _LENGTH or len(letters(run)) <= _LENGTH:
+        return [run]
+    return "".join(c if c.isalpha() or category(c)[0] == "M" else " " for c in run).split()
+
+
+def stretches(run: str) -> list[str]:
+    """The terms that a run is scored by, so that each letter is.
+
+    Long runs give their pieces, and all letters in stretches of ``_LENGTH`` that overlap by
+    half: words that marks or nothing at all stand between are met in their windows.
+    """
+    if len(run) <= _LENGTH or len(low := letters(run)) <= _LENGTH:
+        return [run]
+    starts = range(0, len(low) - _LENGTH // 2, _LENGTH // 2)
+    return [x for x in pieces(run) if len(x) <= _LENGTH] + [
+        low[min(i, len(low) - _LENGTH) :][:_LENGTH] for i in starts
+    ]
+
+
+def windows(term: str) -> list[str]:
+    """A term, and if it has full length also all its windows."""
+    if len(term) < _LENGTH:
+        return [term]
+    return [term] + [
+        term[i : i + n] for n in _WINDOWS for i in [*range(0, len(term) - n, n // 3), len(term) - n]
+    ]
+
+
 def encoded(terms: list[str]) -> np.ndarray:
     """Character classes of terms between edge marks, padded with zeros."""
     width = min(_LENGTH, max((len(t) for t in terms), default=0)) + 2
@@ -154,22 +191,29 @@ EVIDENCE = 5
 class Scorer:
     """Evidence of texts; each distinct run between white space is computed once per worker.
 
-    The memory of runs is bounded: at ``limit`` it starts anew.
+    A term's margin is the largest of its windows. The memory of runs is bounded: at ``limit``
+    it starts anew.
     """
 
     def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit, self.seen = model, limit, {}
 
-    def learn(self, runs: list[bytes]) -> None:
-        terms = [letters(r.decode()) for r in runs]
+    def learn(self, runs: list[str]) -> None:
         for i in range(0, len(runs), 4_000):
-            margins = self.model.margins(terms[i : i + 4_000])
-            self.seen.update(zip(runs[i : i + 4_000], margins.tolist(), strict=True))
+            part = runs[i : i + 4_000]
+            parts = [windows(letters(r)) for r in part]
+            terms = [t for x in parts for t in x]
+            blocks = [self.model.margins(terms[j : j + 4_000]) for j in range(0, len(terms), 4_000)]
+            first = np.cumsum([0, *map(len, parts[:-1])])
+            margins = np.maximum.reduceat(np.concatenate(blocks), first)
+            self.seen.update(zip(part, margins.tolist(), strict=True))
 
     def evidence(self, text: str | None) -> list[float]:
         text = text or ""
-        words = text.encode().split()
-        words += [re.sub(r"\s", "", x).encode() for x in _SPACED.findall(text)]
+        words = text.split()
+        words += [re.sub(r"\s", "", x) for x in _SPACED.findall(text)]
+        if max(map(len, words), default=0) > _LENGTH:
+            words = [x for w in words for x in stretches(w)]
         runs = Counter(words)
         if len(self.seen) > self.limit:
             self.seen.clear()
@@ -202,7 +246,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, clean): documents of either label that have the term.
 
     Near copies of a document count once: documents are told apart by the smallest hash of
-    their terms.
+    their terms. Over ``_LENGTH`` letters without any mark between them are no term.
     """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +255,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for toxic, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = {letters(w) for w in (text or "").split()}
+                found = {letters(x) for w in (text or "").split() for x in pieces(w)}
                 found = [w for w in found if 2 < len(w) <= _LENGTH]
                 if not found:
                     continue

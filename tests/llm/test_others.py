@@ -235,6 +235,28 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_documents(docs, marks.limit(0)).collect()} == {0}
 
 
+def test_long_runs_are_scored_whole():
+    names = ["dumbwit", "stinkface", "clodpole", "quiet", "green", "window", "table", "little"]
+    mapping = toxicity.nystroem(names)
+    weights = toxicity.svm(toxicity.gram(names, names) @ mapping, np.r_[np.ones(3), -np.ones(5)], np.full(8, 9.0))
+    row, key, value = toxicity.subsequences(toxicity.encoded(names))
+    table = np.zeros(toxicity.ALPHABET**3)
+    np.add.at(table, key, value * (mapping @ weights[:-1])[row])
+    scorer = toxicity.Scorer(toxicity.Model(table, float(weights[-1]), np.zeros(toxicity.EVIDENCE + 1)))
+    clean = ["quiet", "green", "window", "table", "little"] * 40
+    for mark in ("", ".", ",", "_", "\u00a0", "\u3000", "\u200b", "\u3002"):
+        quiet = scorer.evidence(mark.join(clean))
+        for insult in names[:3]:
+            for at in (0, 15, 101, 200):
+                said = mark.join([*clean[:at], insult, *clean[at:]])
+                assert scorer.evidence(said)[0] > max(0.3, quiet[0] + 0.3), (mark, insult, at)
+    for size in (49, 71, 72, 73, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(size))
+        assert set("".join(toxicity.stretches(run))) == set(run)
+        assert max(map(len, toxicity.stretches(run))) == 48
+    assert toxicity.stretches("id-iot") == toxicity.pieces("id-iot") == ["id-iot"]
+
+
 def test_pipeline(spark):
     docs = read(spark, SMALL, "documents")
     steps = [docs]
