@@ -9,7 +9,7 @@ and over how many it has. As the kernel is an explicit inner product, the traine
 of weights per subsequence; scoring is a lookup and exact, not an approximation of it.
 
 The fit reads a bounded sample of labelled rows (``per_class`` of each label, by hash of the
-id); every document is scored, whole. Runs end at any white space; one of more letters than a
+id), weighted so that both labels have their share of all labelled rows; every document is scored, whole. Runs end at any white space; one of more letters than a
 term may have is scored by its pieces between marks and by overlapping windows. Neither language, source, labels nor ids enter a score.
 """
 
@@ -227,19 +227,35 @@ class Scorer:
         return [*top.tolist(), math.log1p(toxic), min(3.0, 100 * toxic / (len(words) + 20))]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(id, toxic) of each labelled id that is not held out (crc32 of the id modulo 4 is 2)."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where(
+        "id IS NOT NULL AND toxic IN (0, 1) AND crc32(encode(string(id), 'UTF-8')) % 4 != 2"
+    )
+    return known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
     """(toxic, text) of at most ``per_class`` labelled documents of each label.
 
-    Rows whose crc32 of the id modulo 4 is 2 are held out. The ids are limited before the join,
-    so the broadcast side has at most ``2 * per_class`` rows whatever the size of the tables.
+    The ids are limited before the join, so the broadcast side has at most ``2 * per_class``
+    rows whatever the size of the tables. Rows of one id fold into its smallest text.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where(
-        "id IS NOT NULL AND toxic IS NOT NULL AND crc32(encode(string(id), 'UTF-8')) % 4 != 2"
-    )
     order = [F.xxhash64("id"), F.col("id")]
     parts = [known.where(F.col("toxic") == x).orderBy(*order).limit(per_class) for x in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("toxic", docs["text"])
+    chosen = parts[0].unionByName(parts[1])
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"])
+    return rows.groupBy("id", "toxic").agg(F.min(docs["text"]).alias("text")).drop("id")
+
+
+def row_weights(known: DataFrame, size: dict[int, int], per_class: int) -> tuple[float, float]:
+    """Weights of a clean and a toxic sampled row: one on average, and by label as many rows as
+    all labelled ids have; one each where no label has more than ``per_class``."""
+    ids = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands = [max(1.0, ids.get(x, 0) / per_class) for x in (0, 1)]
+    whole = sum(w * size.get(x, 0) for x, w in enumerate(stands))
+    scale = sum(size.values()) / whole if whole else 1.0
+    return stands[0] * scale, stands[1] * scale
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -281,20 +297,28 @@ def _tail(n: int, k: int, p: float) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
 
-def insult_terms(counts: DataFrame, share: float, most: int) -> list[tuple[str, int, int]]:
+def insult_terms(
+    counts: DataFrame, share: float, most: int, weights: tuple[float, float] = (1.0, 1.0)
+) -> list[tuple[str, int, int]]:
     """(term, toxic, clean) of terms in toxic documents more often than chance explains.
 
-    The chance of a term's count, times the number of terms seen as often, must be under one
-    half: about half a term is expected to come in by chance.
+    ``share`` is the toxic one of all labelled rows, ``weights`` those of sampled clean and
+    toxic rows. The chance of a term's count, times the number of terms seen as often, must be
+    under one half: about half a term is expected to come in by chance. A term that has nothing
+    to do with the label is toxic as often as rows of the sample are, so counts of the sample
+    are held against the sample's share; how toxic a term is, is read from weighted counts.
     """
     seen = counts.withColumn("n", F.col("toxic") + F.col("clean")).where("toxic >= 3")
     sizes = {r["n"]: r["count"] for r in seen.groupBy("n").count().collect()}
     ratio = min(0.9, 3 * share)
+    low, high = weights
+    chance = share * low / (share * low + (1 - share) * high)
     found = []
-    likely = seen.where(F.col("toxic") >= ratio * F.col("n"))
+    toxic, clean = high * F.col("toxic"), low * F.col("clean")
+    likely = seen.where(toxic >= ratio * (toxic + clean))
     for r in likely.orderBy(F.desc("toxic"), "term").limit(20 * most).collect():
         rivals = sum(c for n, c in sizes.items() if n >= r["n"])
-        if _tail(min(r["n"], 900), min(r["toxic"], 900), share) * rivals < 0.5:
+        if _tail(min(r["n"], 900), min(r["toxic"], 900), chance) * rivals < 0.5:
             found.append((r["term"], r["toxic"], r["clean"]))
     return found[:most]
 
@@ -327,22 +351,26 @@ def fit(
     """Fit on at most ``per_class`` documents of each label.
 
     The driver receives at most ``landmarks`` toxic terms, twice ``negatives`` clean ones and
-    five numbers per sampled document. Terms weigh as many documents as they stand in; a toxic
+    five numbers per sampled document. Sampled rows are weighted to the labels' shares of all
+    labelled rows, so a score does not move with the size of the table. Terms weigh as many documents as they stand in; a toxic
     term that clean documents also have counts on both sides. Without labels, or with none of
     a kind, every score is low.
     """
-    rows = kept(training_rows(docs, labels, per_class))
+    known = kept(training_labels(labels))
+    rows = kept(training_rows(docs, known, per_class))
     counts = kept(term_counts(rows))
     size = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
-    share = size.get(1, 0) / max(1, sum(size.values()))
+    low, high = row_weights(known, size, per_class)
+    share = high * size.get(1, 0) / max(1, sum(size.values()))
     blank = np.zeros(ALPHABET**3, np.float32)
-    toxic = insult_terms(counts, share, landmarks)
+    toxic = insult_terms(counts, share, landmarks, (low, high))
     if not toxic:
         return Model(blank, -1.0, np.r_[np.zeros(EVIDENCE), -4.0])
     names = [t for t, _, _ in toxic]
     known = set(names)
     hard = [(t, n) for t, n in near_terms(counts, names, 0.3, negatives) if t not in known]
-    plain = counts.where("clean > 0 AND toxic <= clean").orderBy(F.xxhash64("term"), "term")
+    fewer = high * F.col("toxic") <= low * F.col("clean")
+    plain = counts.where("clean > 0").where(fewer).orderBy(F.xxhash64("term"), "term")
     plain = [(r["term"], r["clean"]) for r in plain.limit(negatives).collect()]
     clean = {t: n for t, n in [*hard, *plain] if t not in known}
     centres = names + [t for t, _ in hard[:200]]
@@ -352,7 +380,9 @@ def fit(
     x = gram(terms, centres) @ mapping
     balance = min(8.0, (1 - share) / share)
     cost = np.r_[
-        [balance * a for _, a, _ in toxic], [*clean.values()], [b for _, b in shared]
+        [high * balance * a for _, a, _ in toxic],
+        [low * n for n in clean.values()],
+        [low * b for _, b in shared],
     ].astype(float)
     y = np.r_[np.ones(len(names)), -np.ones(len(clean) + len(shared))]
     weights = svm(x, y, cost)
@@ -362,18 +392,19 @@ def fit(
     model = Model(table.astype(np.float32), float(weights[-1]), np.zeros(EVIDENCE + 1))
     seen = scored(rows, model, ["toxic"]).select("toxic", "evidence").collect()
     evidence = np.array([r["evidence"] for r in seen])
-    model.weights = logistic(evidence, np.array([r["toxic"] for r in seen], float))
+    label = np.array([r["toxic"] for r in seen], float)
+    model.weights = logistic(evidence, label, np.where(label > 0, high, low))
     return model
 
 
-def logistic(x: np.ndarray, label: np.ndarray, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, label: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (the bias last) of a lightly ridged logistic regression, by Newton steps."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (label - p) - 0.2 * w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.2 * np.eye(len(w)), slope)
+        slope = x.T @ (cost * (label - p)) - 0.2 * w
+        step = np.linalg.solve(x.T @ (x * (cost * p * (1 - p))[:, None]) + 0.2 * np.eye(len(w)), slope)
         w = w + step * min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
     return w
 

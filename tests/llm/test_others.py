@@ -235,6 +235,35 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_documents(docs, marks.limit(0)).collect()} == {0}
 
 
+def test_a_capped_sample_keeps_the_share_of_toxic_rows(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghklmnoprstu"), 6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(3000):
+        said = rng.choice(words, 30).tolist()
+        toxic = i % 10 == 0
+        if toxic or i % 10 < 3:  # a word that two of three times is clean
+            said[3] = "dumbwit"
+        if toxic and i % 3:
+            said[7] = "clodpole"
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, *rows[:50] * 40], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, *labels[:9]], "doc_id long, toxic int")
+    known = toxicity.training_labels(marks)
+    sample = toxicity.training_rows(docs, known, 100)
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    assert size == {0: 100, 1: 100}
+    low, high = toxicity.row_weights(known, size, 100)
+    truth = Counter(r.toxic for r in known.collect())
+    assert high * 100 / 200 == pytest.approx(truth[1] / (truth[0] + truth[1])) and low + high == pytest.approx(2)
+    assert toxicity.row_weights(known, dict(truth), 4000) == (1, 1)
+    whole = {r.doc_id: r.score for r in toxicity.score_documents(docs, marks).collect()}
+    capped = {r.doc_id: r.score for r in toxicity.score_documents(docs, marks, 200).collect()}
+    mean = lambda scores: np.mean([scores[i] for i, _ in labels])
+    assert mean(capped) == pytest.approx(mean(whole), abs=0.04)
+
+
 def test_long_runs_are_scored_whole():
     names = ["dumbwit", "stinkface", "clodpole", "quiet", "green", "window", "table", "little"]
     mapping = toxicity.nystroem(names)
