@@ -306,4 +306,4 @@ def test_pipeline(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == [*range(1, 11)]
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == [*range(1, 14)]
