@@ -34,8 +34,9 @@ class ChunkTokenizer:
 
     The tokenizer drops white space and never joins over it, so the ids of a text are the ids
     of its runs in order. A run that ends in a single comma or full stop after a letter is the
-    run before it and the mark, as letters and marks are separate pre-tokens. The memory of
-    runs is bounded: at ``limit`` it starts anew.
+    run before it and the mark, as letters and marks are separate pre-tokens. A letter whose
+    lower case ends in a combining sign (U+0130) is none here, as the sign joins the mark. The
+    memory of runs is bounded: at ``limit`` it starts anew.
     """
 
     def __init__(self, path: str, limit: int = 1_200_000):
@@ -93,9 +94,9 @@ class ChunkTokenizer:
         split, words, others = [], {}, {}
         for raw in runs:
             core, mark, text = raw, 0, raw.decode()
-            if text[-1] in self.marks and len(text) > 1 and text[-2].isalpha():
+            if text[-1] in self.marks and len(text) > 1 and text[-2].lower().isalpha():
                 core, mark, text = raw[:-1], self.marks[text[-1]], text[:-1]
-            letters = text.isalpha()
+            letters = text.isalpha() and text.lower().isalpha()
             core = core.lower() if letters else core
             split.append((raw, core, mark))
             if core not in self.seen:

@@ -244,8 +244,9 @@ def training_rows(docs: DataFrame, known: DataFrame, per_class: int) -> DataFram
     order = [F.xxhash64("id"), F.col("id")]
     parts = [known.where(F.col("toxic") == x).orderBy(*order).limit(per_class) for x in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"])
-    return rows.groupBy("id", "toxic").agg(F.min(docs["text"]).alias("text")).drop("id")
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    rows = slim.join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).drop("id")
 
 
 def row_weights(known: DataFrame, size: dict[int, int], per_class: int) -> tuple[float, float]:

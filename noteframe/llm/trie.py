@@ -270,20 +270,22 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, height: int = HEIGHT) -> Dat
         )
     )
     whole = known.agg(
-        F.count_if(F.col("idx") == 0).alias("n_children"),
-        F.greatest(F.coalesce(F.sum("leaves"), F.lit(0)), F.lit(1)).alias("n_leaves"),
-        F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"),
-    )
+        F.struct(
+            F.count_if(F.col("idx") == 0).alias("n_children"),
+            F.greatest(F.coalesce(F.sum("leaves"), F.lit(0)), F.lit(1)).alias("n_leaves"),
+            F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"),
+        )
+    ).scalar()
     top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    root = top.withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one").select(
+    root = top.withColumn("whole", whole).select(
         F.expr(_ROOT).alias("key"),
         "conv_id",
         F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast("long").alias("parent_conv_id"),
         "n_convs",
-        "n_children",
-        "n_leaves",
-        "saved_tokens",
+        "whole.n_children",
+        "whole.n_leaves",
+        "whole.saved_tokens",
     )
     nothing = hashlib.sha256().hexdigest()
     return (

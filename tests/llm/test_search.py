@@ -263,3 +263,32 @@ def test_best_positions_stop_before_the_end():
         read, floor = lists.read, int(score[best[0]])
         assert lists.search(query, 10, floor=floor)[0] == (int(score[best[0]]), int(best[0]))
         assert lists.read <= read
+
+
+def test_runs_give_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    from noteframe.llm import packing, queries
+
+    path = queries.tokenizer_path()
+    runs, whole = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    letters = list("abzABZİIıßẞÀéÉΣσςОжЖאبगक़中文字ญ日ŉǰΐﬁ0129.,!?-_'\"()$#<|>…。、 \t\ń̇　​ \x85🙂")
+    rng = np.random.default_rng(0)
+    texts = ["KENDİ.", "KENDİ, İ. İ,", "xİ.", "ΟΔΟΣ. ΟΔΟΣ,", ""]
+    texts += ["".join(rng.choice(letters, int(rng.integers(1, 14)))) for _ in range(8000)]
+    for text in texts:
+        assert runs.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_toxicity_reads_no_column_but_its_own(spark):
+    from noteframe.llm import toxicity
+
+    rows = [(i, f"plain words number{i} " + ("clodpole dumbwit" if i % 4 == 0 else "table window")) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    odd = docs.selectExpr("*", "'x' id", "1 toxic", "2 text_hash", "3 row", "'y' evidence", "0 score", "1 `term`")
+    plain = Counter(tuple(r) for r in toxicity.score_documents(docs, labels).collect())
+    wide = labels.selectExpr("*", "'x' id", "'z' text", "1 held_out")
+    assert Counter(tuple(r) for r in toxicity.score_documents(odd, wide).collect()) == plain
+    left = toxicity.without_toxic(odd, wide)
+    assert left.columns == odd.columns and left.count() == sum(n for r, n in plain.items() if not r[3])
