@@ -1,23 +1,20 @@
-"""Ordinal classifiers on Spark ML: preprocessing, three model families, probabilities.
+"""Ordinal classifiers on Spark: preprocessing, three model families, probabilities.
 
-Every fit is a distributed Spark ML job. Class probabilities come out as columns
+Every fit is a sequence of distributed jobs. Class probabilities come out as columns
 ``proba_0..proba_{K-1}`` in class order, so evaluation is the same for all models.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
@@ -26,14 +23,17 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as x
 from ..functions.scalar import aligned_probabilities, argmax
 from ..operators.class_eval import class_weights
+from ..sources.tables import work_dir
+from . import boosting, ordinal
+from . import contributions as paths
 
 
 def feature_types(df: DataFrame, excluded: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -113,54 +113,36 @@ def with_probabilities(df: DataFrame, probabilities: dict, n_classes: int, floor
     return out.withColumn("predicted_code", argmax([f"proba_{k}" for k in range(n_classes)]))
 
 
-THRESHOLD_SCALE = 100.0
+def _as_rows(train: DataFrame, y: str) -> DataFrame:
+    """Feature arrays, class, a training role, and a key that tells rows apart by content."""
+    arrays = train.select(vector_to_array("features").alias("x"), F.col(y).cast("int").alias("y"), F.lit(1).alias("role"))
+    return arrays.withColumn("key", F.xxhash64("x", "y"))
 
 
 @dataclass
 class OrdinalLogit:
     """Proportional odds: P(y <= k) = sigmoid(theta_k - x.beta), balanced class weights, L2 on beta.
 
-    One row per record and threshold (y > k) with threshold dummies and shared slopes, fitted
-    as one binary MLlib logistic regression. Dummies are scaled up, so the penalty reaches
-    the slopes only.
+    Newton steps on the joint likelihood; all candidates and folds of a search share them.
     """
 
     alpha: float = 1.0
     max_iter: int = 300
     coefficients: list[float] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
-    model: LogisticRegressionModel | None = None
 
     def fit(self, train: DataFrame, y: str, n_classes: int) -> "OrdinalLogit":
-        weighted = class_weights(train.select("features", y), y)
-        size = len(train.select("features").first()["features"])
-        steps = n_classes - 1
-        dummies = ", ".join(f"CASE WHEN k = {k} THEN {THRESHOLD_SCALE}D ELSE 0D END" for k in range(steps))
-        stacked = (
-            weighted.select(
-                vector_to_array("features").alias("f"),
-                F.col(y).alias("y"),
-                "class_weight",
-                F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"),
-            )
-            .withColumn("label", (F.col("y") > F.col("k")).cast("double"))
-            .withColumn("x", array_to_vector(F.expr(f"concat(f, array({dummies}))")))
-        )
-        fit = LogisticRegression(
-            featuresCol="x",
-            weightCol="class_weight",
-            regParam=self.alpha / (max(size, 1) * steps),
-            elasticNetParam=0.0,
-            standardization=False,
-            fitIntercept=False,
-            maxIter=self.max_iter,
-        )
-        self.model = fit.fit(stacked)
-        values = [float(v) for v in self.model.coefficients]
-        self.coefficients = values[:size]
-        # The binary outcome is y > k, so the dummy of step k estimates -theta_k.
-        self.thresholds = [-v * THRESHOLD_SCALE for v in values[size:]]
-        return self
+        return self.fit_many(_as_rows(train, y), "y", "key", n_classes, [(self, "x", "role")])[0]
+
+    @staticmethod
+    def fit_many(rows: DataFrame, y: str, key: str, n_classes: int, jobs: Sequence[tuple]) -> list["OrdinalLogit"]:
+        """Fitted copies of (candidate, feature column, role column), all in the same jobs."""
+        plans = [ordinal.Plan(f, r, c.alpha) for c, f, r in jobs]
+        found = ordinal.fit_ordinal(rows, y, n_classes, plans, max(c.max_iter for c, *_ in jobs))
+        return [
+            OrdinalLogit(c.alpha, c.max_iter, beta.tolist(), theta.tolist())
+            for (c, *_), (beta, theta) in zip(jobs, found, strict=True)
+        ]
 
     def predict(self, df: DataFrame, n_classes: int) -> DataFrame:
         beta = ", ".join(x.lit(v) for v in self.coefficients)
@@ -174,8 +156,25 @@ class OrdinalLogit:
         parts[n_classes - 1] = F.expr(f"1D - {below[-1]}")
         return with_probabilities(scored, parts, n_classes, 1e-12).drop("_f", "_eta")
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def with_contributions(self, df: DataFrame, n_classes: int) -> DataFrame:
+        """Add ``contributions`` (feature, class): slope times value, the same for every class."""
+        beta = ", ".join(x.lit(v) for v in self.coefficients)
+        f = vector_to_array("features")
+        return df.withColumn("_f", f).withColumn(
+            "contributions",
+            F.expr(f"transform(zip_with(_f, array({beta}), (a, b) -> a * b), v -> array_repeat(v, {n_classes}))"),
+        ).drop("_f", "features")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        row = spark.createDataFrame(
+            [(self.alpha, self.max_iter, self.coefficients, self.thresholds)],
+            "alpha double, max_iter int, coefficients array<double>, thresholds array<double>",
+        )
+        row.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> "OrdinalLogit":
+        return OrdinalLogit(**spark.read.parquet(path).first().asDict())
 
 
 @dataclass
@@ -209,13 +208,25 @@ class Forest:
         parts = {k: F.get(shares, F.lit(k)) for k in range(min(width, n_classes))}
         return with_probabilities(scored, parts, n_classes, 1e-9).drop("_p", "_r", "_y")
 
-    def save(self, path: str) -> None:
+    def with_contributions(self, df: DataFrame, n_classes: int) -> DataFrame:
+        """Add ``contributions`` (feature, class) to the class probabilities, by the trees' paths."""
+        path = f"{work_dir(df.sparkSession)}/forest-{uuid.uuid4().hex}"
+        self.save(path, df.sparkSession)
+        leaves = paths.forest_leaves(df.sparkSession.read.parquet(f"{path}/data"), n_classes)
+        return paths.with_contributions(df.withColumn("features", vector_to_array("features")), "features", leaves, n_classes)
+
+    def save(self, path: str, spark: SparkSession) -> None:
         self.model.write().overwrite().save(path)
 
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> "Forest":
+        model = RandomForestClassificationModel.load(path)
+        return Forest(trees=model.getNumTrees, model=model)
+
 
 @dataclass
 class Boosted:
-    """One binary boosted-tree model per class; probabilities are normalised over the classes."""
+    """Boosted trees with one tree per class and round on the joint softmax loss."""
 
     rounds: int = 150
     max_depth: int = 5
@@ -223,37 +234,61 @@ class Boosted:
     rows: float = 0.85
     columns: float = 0.85
     seed: int = 0
-    models: list[GBTClassificationModel] = field(default_factory=list)
+    model: boosting.Ensemble | None = None
 
     def fit(self, train: DataFrame, y: str, n_classes: int) -> "Boosted":
-        self.models = []
-        for k in range(n_classes):
-            binary = train.select("features", (F.col(y) == k).cast("double").alias("label"))
-            fit = GBTClassifier(
-                maxIter=self.rounds,
-                maxDepth=self.max_depth,
-                stepSize=self.step,
-                subsamplingRate=self.rows,
-                featureSubsetStrategy=str(self.columns),
-                seed=self.seed + k,
-            )
-            self.models.append(fit.fit(binary))
-        return self
+        return self.fit_many(_as_rows(train, y), "y", "key", n_classes, [(self, "x", "role")])[0]
+
+    @staticmethod
+    def fit_many(rows: DataFrame, y: str, key: str, n_classes: int, jobs: Sequence[tuple]) -> list["Boosted"]:
+        """Fitted copies of (candidate, feature column, role column).
+
+        Candidates that share rounds, step and draws grow in the same jobs, whatever their
+        depth, fold and seed.
+        """
+        groups: dict[boosting.Settings, list[int]] = {}
+        for i, (c, *_) in enumerate(jobs):
+            groups.setdefault(boosting.Settings(c.rounds, c.step, c.rows, c.columns), []).append(i)
+        out: dict[int, Boosted] = {}
+        for told, members in groups.items():
+            plans = [boosting.Plan(f, r, c.max_depth, c.seed) for c, f, r in (jobs[i] for i in members)]
+            for i, model in zip(members, boosting.fit_boosted(rows, y, key, n_classes, plans, told), strict=True):
+                out[i] = replace(jobs[i][0], model=model)
+        return [out[i] for i in range(len(jobs))]
 
     def predict(self, df: DataFrame, n_classes: int) -> DataFrame:
-        scored, used = df, []
-        for k, model in enumerate(self.models):
-            names = (f"_p{k}", f"_r{k}", f"_y{k}")
-            scored = (
-                model.setProbabilityCol(names[0]).setRawPredictionCol(names[1]).setPredictionCol(names[2]).transform(scored)
-            )
-            used += names
-        parts = {k: F.get(vector_to_array(f"_p{k}"), F.lit(1)) for k in range(n_classes)}
-        return with_probabilities(scored, parts, n_classes, 1e-9).drop(*used)
-
-    def save(self, path: str) -> None:
-        for k, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/class_{k}")
+        model = self.model
+
+        @F.pandas_udf("array<double>")
+        def shares(values: pd.Series) -> pd.Series:
+            return pd.Series(list(model.probabilities(np.stack(values.to_numpy())))) if len(values) else pd.Series([])
+
+        scored = df.withColumn("_p", shares(vector_to_array("features")))
+        return with_probabilities(scored, {k: F.get("_p", F.lit(k)) for k in range(n_classes)}, n_classes, 1e-9).drop("_p")
+
+    def with_contributions(self, df: DataFrame, n_classes: int) -> DataFrame:
+        """Add ``contributions`` (feature, class) to the margins, by the trees' paths."""
+        leaves = list(paths.ensemble_leaves(self.model))
+        return paths.with_contributions(df.withColumn("features", vector_to_array("features")), "features", leaves, n_classes)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """One row per round and class with the heap arrays of its tree."""
+        m, told = self.model, {k: v for k, v in vars(self).items() if k != "model"}
+        rows = [
+            (r, k, *[a[r, k].astype(float).tolist() for a in (m.feature, m.threshold, m.value, m.cover)], json.dumps(told))
+            for r in range(len(m.feature)) for k in range(m.feature.shape[1])
+        ]
+        arrays = ", ".join(f"{n} array<double>" for n in ("feature", "threshold", "value", "cover"))
+        table = spark.createDataFrame(rows, f"round int, class int, {arrays}, settings string")
+        table.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> "Boosted":
+        rows = spark.read.parquet(path).orderBy("round", "class").collect()
+        classes = max(r["class"] for r in rows) + 1
+        cells = [np.array([r[n] for r in rows]).reshape(-1, classes, len(rows[0][n])) for n in ("feature", "threshold", "value", "cover")]
+        model = boosting.Ensemble(cells[0].astype(np.int64), *cells[1:])
+        return Boosted(**json.loads(rows[0]["settings"]), model=model)
 
 
 def model_registry(seed: int, trees: int = 200, rounds: int = 150) -> dict[str, list]:

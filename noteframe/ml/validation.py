@@ -115,7 +115,7 @@ class FinalModel:
     def save(self, path: str, spark) -> None:
         """Pipeline, model and a one-row metadata table."""
         self.prepared.model.write().overwrite().save(f"{path}/preprocessing")
-        self.fitted.save(f"{path}/model")
+        self.fitted.save(f"{path}/model", spark)
         row = spark.range(1).select(
             F.lit(type(self.fitted).__name__).alias("model"), F.lit(json.dumps(self.params)).alias("params")
         )
@@ -207,13 +207,26 @@ def permutation_importance(final: FinalModel, test: DataFrame, task: Task, seed:
     )
 
 
-def contributions(final: FinalModel, test: DataFrame, task: Task, seed: int, high_from: int = 2) -> DataFrame:
-    """(key, feature, contribution): change of the upper-class probabilities when the feature is permuted."""
-    upper = range(high_from, task.n_classes)
-    base = final.predictions.select(task.key, *[F.col(f"proba_{k}").alias(f"base_{k}") for k in upper])
-    scored = final.fitted.predict(_permuted(final, test, task, seed), task.n_classes)
-    change = sum([F.abs(F.col(f"proba_{k}") - F.col(f"base_{k}")) for k in upper], F.lit(0.0))
-    return scored.join(base, task.key).select(task.key, "feature", change.alias("contribution"))
+def feature_contributions(
+    ready: DataFrame, fitted, names: Sequence[str], task: Task, high_from: int = 2
+) -> DataFrame:
+    """(key, feature, contribution): what each feature adds to the upper classes, signs left out.
+
+    ``ready`` is (key, features). Contributions of a row sum to its margins less the expected
+    ones, class by class; here those to the classes from ``high_from`` on are added up. Rows
+    unfold after the model.
+    """
+    told = fitted.with_contributions(ready, task.n_classes)
+    labels = ", ".join(x.lit(n) for n in names)
+    upper = f"aggregate(slice(c, {high_from + 1}, {task.n_classes - high_from}), 0D, (a, v) -> a + abs(v))"
+    cells = f"zip_with(array({labels}), contributions, (n, c) -> named_struct('feature', n, 'contribution', {upper}))"
+    return told.select(task.key, F.expr(f"inline({cells})"))
+
+
+def contributions(final: FinalModel, test: DataFrame, task: Task, high_from: int = 2) -> DataFrame:
+    """``feature_contributions`` of a final model on the test rows."""
+    ready = final.prepared.transform(test).select(task.key, "features")
+    return feature_contributions(ready, final.fitted, final.prepared.names, task, high_from)
 
 
 def mean_contributions(long: DataFrame) -> DataFrame:
