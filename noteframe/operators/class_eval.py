@@ -21,7 +21,7 @@ from ..functions import expr as x
 from ..functions.hashing import poisson_draws, uniform
 from ..functions.scalar import clip, logit, row_total
 from .extraction_eval import f1, intervals_of_long, quadratic_kappa, ratio
-from .ordered import positions_by_draw, running_totals
+from .ordered import default_buckets, positions_by_draw, running_totals
 
 
 def _weight(weight: str | None) -> Column:
@@ -369,25 +369,58 @@ def poisson_replicates(df: DataFrame, key: str, repetitions: int, seed: int) ->
     return drawn.where("w IS NOT NULL")
 
 
-def stratified_draws(df: DataFrame, key: str, y: str, repetitions: int, seed: int) -> DataFrame:
+def stratified_draws(
+    df: DataFrame, key: str, y: str, repetitions: int, seed: int, block: int = 1024
+) -> DataFrame:
     """Exact resampling inside each class: n_class draws with replacement per replicate.
 
-    Rows get a number inside their class (bucketed, no one-task window). Draw j of a class
-    picks number floor(u * n_class) + 1. Draws are counted per picked number before the
-    join, so the join is one row per key and replicate it enters.
+    The rows of a class are numbered in hash order and cut into blocks of ``block`` numbers.
+    First every draw picks a block, and only its counts per block and replicate are kept; then
+    the draws of a block pick rows inside it. What is shuffled are the rows once and the
+    counts: draws are made, counted and given to their rows inside a block's task. Returns
+    the rows of ``df`` with ``repetition`` and ``w``, the times that a replicate draws them.
     """
-    numbered = positions_by_draw(df.withColumn("_u", uniform(seed, key, "order")), "_u", key, "_no", by=[y])
     sizes, _, _ = class_sizes(df, y)
-    draws = numbered.select(
-        y,
-        F.col("_no").alias("_draw"),
-        F.element_at(sizes, F.col(y)).alias("_size"),
-        F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"),
+    size, r = F.element_at(sizes, F.col(y)), int(repetitions)
+    # one hash serves two replicates
+    first = f"md5(concat('{seed}|block/', g, '/', {x.col(y)}, '|', {x.col(key)}))"
+    pairs = (
+        f"flatten(transform(sequence(0, {(r - 1) // 2}), g -> transform(array({first}), h -> array("
+        "named_struct('repetition', 2 * g, 'u', substring(h, 1, 13)), "
+        "named_struct('repetition', 2 * g + 1, 'u', substring(h, 14, 13))))[0]))"
+    )
+    picks = df.select(F.col(y).alias("_y"), size.alias("_n"), F.expr(f"inline({pairs})")).where(F.col("repetition") < r)
+    drawn = F.floor(F.conv("u", 16, 10).cast("double") / F.lit(float(2**52)) * F.col("_n"))
+    cells = picks.groupBy("_y", "_n", F.floor(drawn / block).cast("bigint").alias("_block"), "repetition").agg(
+        F.count("*").alias("d")
+    )
+    # the counts are few bytes and much work, so their partitions are not left to AQE
+    tasks = default_buckets(df)
+    blocks = cells.repartition(tasks, "_y", "_block").groupBy("_y", "_block").agg(
+        F.first("_n").alias("_n"), F.collect_list(F.struct("repetition", "d")).alias("counts")
+    )
+    # one hash serves four draws
+    second = f"md5(concat('{seed}|draw/', repetition, '/', _y, '/', _block, '|', g))"
+    digits = "transform(array(1, 9, 17, 25), p -> conv(substring(h, p, 8), 16, 10))"
+    draws = (
+        f"slice(flatten(transform(sequence(0L, (d - 1) div 4), g -> transform(array({second}), h -> {digits})[0])), 1, int(d))"
+    )
+    inside = blocks.select("_y", "_block", F.least(F.lit(block), F.col("_n") - F.col("_block") * block).alias("_m"), F.expr("inline(counts)"))
+    each = inside.select("_y", "_block", "_m", "repetition", F.explode(F.expr(draws)).alias("u"))
+    place = F.floor(F.col("u").cast("double") / F.lit(float(2**32)) * F.col("_m")).cast("int")
+    counted = each.groupBy("_y", "_block", place.alias("at"), "repetition").agg(F.count("*").alias("w"))
+    weights = counted.groupBy("_y", "_block").agg(F.collect_list(F.struct("at", "repetition", "w")).alias("weights"))
+    numbered = positions_by_draw(df.withColumn("_u", uniform(seed, key, "order")), "_u", key, "_no", by=[y])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    members = (
+        numbered.select(F.col(y).alias("_y"), F.floor((F.col("_no") - 1) / block).cast("bigint").alias("_block"), F.struct("_no", row.alias("row")).alias("m"))
+        .groupBy("_y", "_block")
+        .agg(F.sort_array(F.collect_list("m")).alias("members"))
     )
-    salt = F.concat_ws("/", F.lit("draw"), F.col("repetition"), F.col(y))
-    picked = (F.floor(uniform(seed, F.col("_draw"), salt) * F.col("_size")) + 1).cast("bigint")
-    counted = draws.groupBy(y, picked.alias("_no"), "repetition").agg(F.count("*").alias("w"))
-    return numbered.join(counted, [y, "_no"]).drop("_no", "_u")
+    # rows are picked inside the array, so that unfolding does not copy the block per draw
+    picked = "transform(weights, g -> named_struct('row', get(members, g.at).row, 'repetition', g.repetition, 'w', g.w))"
+    given = weights.join(members, ["_y", "_block"]).select(F.expr(f"inline({picked})"))
+    return given.select("row.*", "repetition", "w")
 
 
 def bootstrap_intervals(
@@ -401,15 +434,15 @@ def bootstrap_intervals(
     seed: int,
     probabilities: Sequence[str] | None = None,
     named_precisions: dict[str, int] | None = None,
-    method: str = "poisson",
+    method: str = "exact",
     high_from: int = 2,
     calibration: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
     """(metric, ci_2_5, ci_97_5) over replicates of the classification report.
 
-    ``method='poisson'`` weighs rows independently and scales with one pass; ``'exact'``
-    draws inside each class as a finite sample does.
+    ``method='exact'`` draws inside each class as a finite sample does; ``'poisson'`` weighs
+    rows independently, without a shuffle of the rows.
     """
     if method == "exact":
         replicates = stratified_draws(df, key, y, repetitions, seed)

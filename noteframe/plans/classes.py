@@ -213,25 +213,43 @@ rl AS (UNPIVOT (SELECT * FROM rm JOIN ro USING (repetition)) ON f1_macro, recall
 )
 def metric_intervals(spark, folder):
     """Bootstrap intervals of the label metrics over hashed Poisson weights."""
-    out = ce.bootstrap_intervals(predictions(spark, folder), "id", "y", "yhat", K, RECALLS, REPETITIONS, _SEED)
+    out = ce.bootstrap_intervals(
+        predictions(spark, folder), "id", "y", "yhat", K, RECALLS, REPETITIONS, _SEED, method="poisson"
+    )
     return rounded(out, ["ci_2_5", "ci_97_5"])
 
 
 _DRAWS = 5
 
 
-@query(
-    f"""{_P}, nb AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql.draw(77, "'order'", 'id')}, id) AS no, count(*) OVER (PARTITION BY y) AS size FROM pred),
-dr AS (SELECT y, repetition, floor({sql.draw(77, "'draw/'||repetition||'/'||y", 'no::VARCHAR')} * size)::BIGINT + 1 AS no, count(*) AS w
-  FROM nb CROSS JOIN (SELECT unnest(range({_DRAWS}))::INT AS repetition) GROUP BY ALL)
-SELECT repetition, y, yhat, sum(w)::BIGINT AS n FROM dr JOIN nb USING (y, no) GROUP BY ALL"""
-)
+def _drawn_sql(repetitions: int, seed: int) -> str:
+    """CTEs ending in ``wt``: exact draws inside classes, blocks of 1,024 numbers first."""
+    bits = "substr(h, 1 + 13 * (repetition % 2)::INT, 13)"
+    return f"""nb AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql.draw(seed, "'order'", 'id')}, id) AS no, count(*) OVER (PARTITION BY y) AS size FROM pred),
+bl AS (SELECT y, size, repetition, floor(('0x'||{bits})::BIGINT / 4503599627370496.0 * size)::BIGINT // 1024 AS block FROM (
+  SELECT y, size, repetition, md5('{seed}|block/'||(repetition // 2)||'/'||y||'|'||id) AS h FROM nb CROSS JOIN (SELECT unnest(range({repetitions}))::INT AS repetition))),
+ct AS (SELECT y, size, repetition, block, unnest(range(count(*))) AS i FROM bl GROUP BY y, size, repetition, block),
+dr AS (SELECT y, repetition, block * 1024 + 1 + floor(('0x'||substr(md5('{seed}|draw/'||repetition||'/'||y||'/'||block||'|'||(i // 4)), 1 + 8 * (i % 4)::INT, 8))::BIGINT
+  / 4294967296.0 * least(1024, size - block * 1024))::BIGINT AS no FROM ct),
+wt AS (SELECT repetition, nb.*, w FROM (SELECT y, repetition, no, count(*) AS w FROM dr GROUP BY ALL) JOIN nb USING (y, no))"""
+
+
+@query(f"{_P}, {_drawn_sql(_DRAWS, 77)} SELECT repetition, y, yhat, sum(w)::BIGINT AS n FROM wt GROUP BY ALL")
 def stratified_draws(spark, folder):
     """Exact resampling inside classes: every replicate keeps the class sizes."""
     drawn = ce.stratified_draws(predictions(spark, folder), "id", "y", _DRAWS, 77)
     return ce.label_counts(drawn, "y", "yhat", ["repetition"], "w")
 
 
+@query(
+    f"{_P}, {_drawn_sql(100, 78)}, {_REP_ROWS} SELECT metric, round(quantile_cont(value, 0.025), 6) AS ci_2_5, round(quantile_cont(value, 0.975), 6) AS ci_97_5 FROM rl GROUP BY metric"
+)
+def exact_intervals(spark, folder):
+    """Intervals of the label metrics over 100 replicates that keep the class sizes."""
+    out = ce.bootstrap_intervals(predictions(spark, folder), "id", "y", "yhat", K, RECALLS, 100, 78)
+    return rounded(out, ["ci_2_5", "ci_97_5"])
+
+
 _REP_LONG = " UNION ALL ".join(
     f"SELECT repetition, {k} AS class_code, p{k} AS score, w * (y = {k})::INT AS pos, w * (y <> {k})::INT AS neg FROM wt" for k in range(K)
 )
@@ -272,6 +290,7 @@ def probability_intervals(spark, folder):
         _SEED,
         PROBS,
         PRECISIONS,
+        method="poisson",
         calibration=True,
     )
     return rounded(out, ["ci_2_5", "ci_97_5"], 4)

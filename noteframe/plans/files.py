@@ -78,10 +78,28 @@ def stage_manifest(spark, folder):
 def run_bundle(spark, folder):
     """Tables published under run and stage folders, loaded as one named bundle."""
     root = _fresh(spark)
-    io.write_stage(table(spark, folder, "customer"), root, "r1", "01_profiles", "customer")
-    io.write_stage(table(spark, folder, "orders"), root, "r1", "02_scores", "orders")
+    io.commit_stage({"customer": table(spark, folder, "customer")}, root, "r1", "01_profiles")
+    io.commit_stage({"orders": table(spark, folder, "orders")}, root, "r1", "02_scores")
     tables = {"profiles": ("01_profiles", "customer"), "scores": ("02_scores", "orders")}
-    bundle = io.load_bundle(spark, root, "r1", tables)
+    bundle = io.committed_bundle(spark, root, "r1", tables)
     joined = bundle["profiles"].join(bundle["scores"], F.col("c_custkey") == F.col("o_custkey"))
     return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n_orders"))
 
+
+
+def _record_sql(name: str, source: str, columns: list[str]) -> str:
+    cells = ", ".join(f"CASE WHEN {c} IS NULL THEN '0' ELSE '1' || {c}::VARCHAR END" for c in columns)
+    return f"""SELECT '{name}' AS name, count(*)::BIGINT AS rows,
+  coalesce(sum(('0x'||substr(md5(concat_ws('|', {cells})), 1, 8))::BIGINT), 0)::VARCHAR AS digest FROM ({source})"""
+
+
+@query(
+    _record_sql("customers", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS seg FROM customer", ["c_custkey", "c_name", "seg"])
+    + " UNION ALL "
+    + _record_sql("turns", "SELECT conv_id, turn, role, text FROM conversations", ["conv_id", "turn", "role", "text"])
+)
+def stage_record(spark, folder):
+    """The record of a stage of two tables: rows and digests of what its files hold."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", F.expr("CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS seg"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return io.commit_stage({"customers": customers, "turns": turns}, _fresh(spark), "r1", "03_notes")

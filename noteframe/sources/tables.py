@@ -107,6 +107,64 @@ def write_stage(df: DataFrame, root: str, run_id: str, stage: str, name: str) ->
     return path
 
 
+#: The record that completes a stage. It is written after the stage's tables.
+COMMIT = "_record"
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row: (rows, digest). The digest is a sum over rows, so order and files do not show.
+
+    A row counts as the first 32 bits of the MD5 of its columns as text, in order, nulls as
+    an empty text behind another mark.
+    """
+    cells = [F.concat(F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
+def commit_stage(df_by_name: Mapping[str, DataFrame], root: str, run_id: str, stage: str) -> DataFrame:
+    """Publish the tables of a stage, then its record: (name, rows, digest) of what was written.
+
+    Rows and digests are taken from the files as they are read back. A stage that stops before
+    its record, or is being written again, has none, and ``committed_bundle`` refuses it.
+    """
+    spark = next(iter(df_by_name.values())).sparkSession
+    path = stage_path(root, run_id, stage, COMMIT)
+    told = "name string, rows long, digest string"
+    spark.createDataFrame([], told).coalesce(1).write.mode("overwrite").parquet(path)
+    rows = []
+    for name, df in df_by_name.items():
+        written = spark.read.parquet(write_stage(df, root, run_id, stage, name))
+        rows.append((name, *table_digest(written).first()))
+    record = spark.createDataFrame(rows, told)
+    record.coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def committed_bundle(
+    spark: SparkSession, root: str, run_id: str, tables: Mapping[str, tuple[str, str]], verify: bool = False
+) -> dict[str, DataFrame]:
+    """``load_bundle`` of stages whose records are complete; one error lists all that are not.
+
+    The record must name the table and hold as many rows as its files do (read from file
+    footers). ``verify`` also compares digests, which reads the tables.
+    """
+    records = load_bundle(spark, root, run_id, {s: (s, COMMIT) for s, _ in tables.values()})
+    told = {(s, r["name"]): r for s, record in records.items() for r in record.collect()}
+
+    def refuse(broken: list[str]) -> None:
+        if broken:
+            raise ValueError("incomplete stages: " + "; ".join(sorted(broken)))
+
+    refuse([f"{s}/{t} has no record" for s, t in tables.values() if (s, t) not in told])
+    found = load_bundle(spark, root, run_id, tables)
+    refuse([f"{s}/{t} has not the rows of its record" for n, (s, t) in tables.items() if told[s, t]["rows"] != found[n].count()])
+    if verify:
+        digests = {n: table_digest(df).first()["digest"] for n, df in found.items()}
+        refuse([f"{s}/{t} has not the content of its record" for n, (s, t) in tables.items() if told[s, t]["digest"] != digests[n]])
+    return found
+
+
 def load_bundle(
     spark: SparkSession, root: str, run_id: str, tables: Mapping[str, tuple[str, str]]
 ) -> dict[str, DataFrame]:

@@ -132,6 +132,23 @@ def test_stratified_draws_keep_class_sizes(scored):
     assert len(drawn) == 24 and all(r["n"] == sizes[r["y"]] for r in drawn)
 
 
+def test_stratified_draws_are_draws_with_replacement(spark):
+    n, repetitions = 600, 40
+    df = spark.range(n).selectExpr("id", "int(id % 2) AS y", "'x' AS w1")
+    rows = ce.stratified_draws(df, "id", "y", repetitions, 5, block=32).collect()
+    count = {(r["id"], r["repetition"]): r["w"] for r in rows}
+    assert len(count) == len(rows)
+    cells = [count.get((i, k), 0) for i in range(n) for k in range(repetitions)]
+    mean = sum(cells) / len(cells)
+    variance = sum((c - mean) ** 2 for c in cells) / len(cells)
+    assert mean == 1 and variance == pytest.approx(1, abs=0.06)
+    assert sum(c == 0 for c in cells) / len(cells) == pytest.approx(0.3679, abs=0.015)
+    for parity in (0, 1):  # blocks take as many draws as chance gives them, not a fixed number
+        first = [sum(count.get((i, k), 0) for i in range(parity, 64, 2)) for k in range(repetitions)]
+        assert len(set(first)) > 5
+    assert ce.stratified_draws(df.limit(0), "id", "y", 3, 5).count() == 0
+
+
 def test_report_over_replicates_contains_the_point(scored):
     _, df = scored
     report = {r["metric"]: r["value"] for r in ce.classification_report(df, "y", "q", 4, RECALLS, PROBS, {"auprc_alta": 2}).collect()}

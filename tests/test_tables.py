@@ -284,3 +284,30 @@ def test_unknown_marker_is_a_violation(spark):
     out = normalize_markers(raw, "raw", c.ONTOLOGY).select("raw", "violations").collect()
     assert [r.violations for r in out if r.raw] == [["fever_of_unknown_kind.unknown"]]
     assert all("unknown" not in v for r in out if not r.raw for v in r.violations)
+
+
+def test_a_half_written_stage_is_refused(spark, tmp_path):
+    from noteframe.sources import tables as io
+
+    root, asked = str(tmp_path), {"one": ("a", "x"), "two": ("a", "y")}
+    df = spark.createDataFrame([(1, "p", None), (2, None, 0.5), (2, None, 0.5)], "k long, s string, v double")
+    record = io.commit_stage({"x": df, "y": df.limit(0)}, root, "r", "a").orderBy("name").collect()
+    assert [(r["name"], r["rows"]) for r in record] == [("x", 3), ("y", 0)] and record[1]["digest"] == "0"
+    bundle = io.committed_bundle(spark, root, "r", asked, verify=True)
+    assert bundle["one"].count() == 3 and bundle["two"].count() == 0
+    assert io.table_digest(df.repartition(3)).first() == io.table_digest(df).first()
+    # the same number of other rows is found by the digest alone
+    io.write_stage(df.withColumn("k", df["k"] + 1), root, "r", "a", "x")
+    io.committed_bundle(spark, root, "r", asked)
+    with pytest.raises(ValueError, match="a/x has not the content"):
+        io.committed_bundle(spark, root, "r", asked, verify=True)
+    io.write_stage(df.limit(1), root, "r", "a", "x")
+    with pytest.raises(ValueError, match="a/x has not the rows"):
+        io.committed_bundle(spark, root, "r", asked)
+    # a writer that stops between its tables and its record
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        io.commit_stage({"x": df, "y": df.selectExpr("k", "1 / (k - 1) AS v")}, root, "r", "a")
+    with pytest.raises(ValueError, match="a/x has no record; a/y has no record"):
+        io.committed_bundle(spark, root, "r", asked)
+    with pytest.raises(FileNotFoundError, match="b/_record"):
+        io.committed_bundle(spark, root, "r", {"one": ("b", "x")})
