@@ -42,15 +42,9 @@ _LENGTH = 48
 _WINDOWS = (8, 12, 24)
 
 
-def _class_of(char: str) -> int:
-    """Character class: a to z are 1 to 26, the edges 27 and 28, others spread over the rest."""
-    code = ord(char)
-    return code - 96 if 97 <= code <= 122 else 29 + code % (ALPHABET - 29)
-
-
 def letters(raw: str) -> str:
     """A run of text in lower case without anything but letters."""
-    low = raw.lower()
+    low = raw.lower().strip(".,;:!?\"'()")
     return low if low.isalpha() else "".join(c for c in low if c.isalpha())
 
 
@@ -89,11 +83,17 @@ def windows(term: str) -> list[str]:
 
 def encoded(terms: list[str]) -> np.ndarray:
     """Character classes of terms between edge marks, padded with zeros."""
-    width = min(_LENGTH, max((len(t) for t in terms), default=0)) + 2
-    out = np.zeros((len(terms), width), np.int64)
-    for i, term in enumerate(terms):
-        codes = [_class_of(c) for c in term[: width - 2]]
-        out[i, : len(codes) + 2] = [_START, *codes, _END]
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    if sizes.max(initial=0) > _LENGTH:
+        terms = [t[:_LENGTH] for t in terms]
+        sizes = np.minimum(sizes, _LENGTH)
+    out = np.zeros((len(terms), int(sizes.max(initial=0)) + 2), np.int64)
+    codes = np.frombuffer("".join(terms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    plain = (codes >= 97) & (codes <= 122)
+    place = np.arange(out.shape[1])[None, :] - 1
+    out[(place >= 0) & (place < sizes[:, None])] = np.where(plain, codes - 96, 29 + codes % (ALPHABET - 29))
+    out[:, 0] = _START
+    out[np.arange(len(terms)), sizes + 1] = _END
     return out
 
 
@@ -199,32 +199,62 @@ class Scorer:
         self.model, self.limit, self.seen = model, limit, {}
 
     def learn(self, runs: list[str]) -> None:
-        for i in range(0, len(runs), 4_000):
-            part = runs[i : i + 4_000]
-            parts = [windows(letters(r)) for r in part]
+        """Margins of runs; those that differ in marks and capitals only are computed once."""
+        of = {r: letters(r) for r in runs}
+        cores = list(dict.fromkeys(of.values()))
+        margin: dict[str, float] = {}
+        for i in range(0, len(cores), 4_000):
+            part = cores[i : i + 4_000]
+            parts = [windows(c) for c in part]
             terms = [t for x in parts for t in x]
             blocks = [self.model.margins(terms[j : j + 4_000]) for j in range(0, len(terms), 4_000)]
             first = np.cumsum([0, *map(len, parts[:-1])])
             margins = np.maximum.reduceat(np.concatenate(blocks), first)
-            self.seen.update(zip(part, margins.tolist(), strict=True))
+            margin.update(zip(part, margins.tolist(), strict=True))
+        self.seen.update((r, margin[c]) for r, c in of.items())
 
-    def evidence(self, text: str | None) -> list[float]:
+    @staticmethod
+    def counted(text: str | None) -> tuple[int, Counter]:
+        """(words, times of each run) of a text."""
         text = text or ""
         words = text.split()
         words += [re.sub(r"\s", "", x) for x in _SPACED.findall(text)]
         if max(map(len, words), default=0) > _LENGTH:
             words = [x for w in words for x in stretches(w)]
-        runs = Counter(words)
+        return len(words), Counter(words)
+
+    def evidences(self, texts: list[str | None]) -> list[list[float]]:
+        """Evidence of each text; what they hold that is new is learnt in one go."""
+        counted = [self.counted(t) for t in texts]
         if len(self.seen) > self.limit:
             self.seen.clear()
         seen = self.seen
-        if new := [r for r in runs if r not in seen]:
+        if new := list(dict.fromkeys(r for _, runs in counted for r in runs if r not in seen)):
             self.learn(new)
-        margins = np.fromiter(map(seen.__getitem__, runs), float, len(runs))
-        times = np.fromiter(runs.values(), float, len(runs))
-        toxic = float((times / (1 + np.exp(-6 * margins))).sum())
-        top = np.sort(np.concatenate((margins, np.full(3, -2.0))))[:-4:-1]
-        return [*top.tolist(), math.log1p(toxic), min(3.0, 100 * toxic / (len(words) + 20))]
+        out = []
+        for n, runs in counted:
+            margins = np.fromiter(map(seen.__getitem__, runs), float, len(runs))
+            times = np.fromiter(runs.values(), float, len(runs))
+            toxic = float((times / (1 + np.exp(-6 * margins))).sum())
+            top = np.sort(np.concatenate((margins, np.full(3, -2.0))))[:-4:-1]
+            out.append([*top.tolist(), math.log1p(toxic), min(3.0, 100 * toxic / (n + 20))])
+        return out
+
+    def evidence(self, text: str | None) -> list[float]:
+        return self.evidences([text])[0]
+
+
+def _chunks(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Texts in groups of about ``most`` characters, so that memory holds one group's runs."""
+    part, size = [], 0
+    for value in texts:
+        part.append(value.as_py())
+        size += len(part[-1] or "")
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -418,7 +448,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            evidence = [scorer.evidence(texts[i].as_py()) for i in range(len(texts))]
+            evidence = [e for part in _chunks(texts) for e in scorer.evidences(part)]
             scores = scorer.model.scores(np.array(evidence).reshape(-1, EVIDENCE))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
