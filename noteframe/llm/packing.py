@@ -47,6 +47,7 @@ class ChunkTokenizer:
         self.limit = limit
         found = {m: self._encode([m])[0] for m in ",."}
         self.marks = {m: i + 1 for i, m in enumerate(found) if len(found[m]) == 1}
+        self.mark_bytes = {ord(m): i for m, i in self.marks.items()}
         self.mark_ids = np.array([0, *[ids[0] for ids in found.values()]], np.uint32)
         self.clear()
 
@@ -86,26 +87,35 @@ class ChunkTokenizer:
             else:
                 self._keep(part, found.ids, np.bincount(at, minlength=len(part)))
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """A run is known by the number of its core times 4, plus its mark.
+    def _parted(self, raw: bytes) -> tuple[bytes, int, bool]:
+        """(core, mark, whether the core is letters alone) of a run.
 
         Cores of letters are lower-cased; others may hold a special token and stay as they are.
         """
-        split, words, others = [], {}, {}
-        for raw in runs:
-            core, mark, text = raw, 0, raw.decode()
-            if text[-1] in self.marks and len(text) > 1 and text[-2].lower().isalpha():
-                core, mark, text = raw[:-1], self.marks[text[-1]], text[:-1]
-            letters = text.isalpha() and text.lower().isalpha()
-            core = core.lower() if letters else core
-            split.append((raw, core, mark))
-            if core not in self.seen:
+        if raw.isalpha():
+            return raw.lower(), 0, True
+        mark = self.mark_bytes.get(raw[-1], 0)
+        if mark and raw[:-1].isalpha():
+            return raw[:-1].lower(), mark, True
+        core, text = raw, raw.decode()
+        if mark and len(text) > 1 and text[-2].lower().isalpha():
+            core, text = raw[:-1], text[:-1]
+        else:
+            mark = 0
+        letters = text.isalpha() and text.lower().isalpha()
+        return core.lower() if letters else core, mark, letters
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """A run is known by the number of its core times 4, plus its mark."""
+        seen, words, others = self.seen, {}, {}
+        parted = [self._parted(raw) for raw in runs]
+        for core, _, letters in parted:
+            if core not in seen:
                 (words if letters else others)[core] = None
         self._keep_words([*words])
         if others:
             self._keep_each([*others])
-        for raw, core, mark in split:
-            self.seen[raw] = self.seen[core] + mark
+        seen.update((raw, seen[core] + mark) for raw, (core, mark, _) in zip(runs, parted, strict=True))
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers; a null text has none."""
@@ -117,8 +127,8 @@ class ChunkTokenizer:
         get = self.seen.get
         found = [get(r, -1) for r in runs]
         if -1 in found:
-            self._learn(list(dict.fromkeys(r for r, i in zip(runs, found, strict=True) if i < 0)))
-            found = [self.seen[r] for r in runs]
+            self._learn(list(dict.fromkeys([r for r, i in zip(runs, found) if i < 0])))
+            found = [i if i >= 0 else self.seen[r] for r, i in zip(runs, found)]
         codes = np.array(found)
         at, mark = codes >> 2, codes & 3
         low = self.ends[at]
