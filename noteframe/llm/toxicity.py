@@ -40,6 +40,8 @@ _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _LENGTH = 48
 #: Letters of the windows, a third apart, that a term of full length is also scored by.
 _WINDOWS = (8, 12, 24)
+#: Terms whose subsequences stand in memory at a time.
+_BLOCK = 400
 
 
 def letters(raw: str) -> str:
@@ -207,7 +209,7 @@ class Scorer:
             part = cores[i : i + 4_000]
             parts = [windows(c) for c in part]
             terms = [t for x in parts for t in x]
-            blocks = [self.model.margins(terms[j : j + 4_000]) for j in range(0, len(terms), 4_000)]
+            blocks = [self.model.margins(terms[j : j + _BLOCK]) for j in range(0, len(terms), _BLOCK)]
             first = np.cumsum([0, *map(len, parts[:-1])])
             margins = np.maximum.reduceat(np.concatenate(blocks), first)
             margin.update(zip(part, margins.tolist(), strict=True))
@@ -244,7 +246,7 @@ class Scorer:
         return self.evidences([text])[0]
 
 
-def _chunks(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+def _chunks(texts: pa.Array, most: int = 200_000) -> Iterator[list[str | None]]:
     """Texts in groups of about ``most`` characters, so that memory holds one group's runs."""
     part, size = [], 0
     for value in texts:
@@ -440,27 +442,31 @@ def logistic(x: np.ndarray, label: np.ndarray, cost: np.ndarray, rounds: int = 4
     return w
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with the evidence and score of every whole text."""
+def scored(docs: DataFrame, model: Model, keep: list[str], inside: bool = False) -> DataFrame:
+    """The ``keep`` columns with the evidence and score of every whole text.
+
+    The text is the column ``text``, or the field of that name of the one struct that is kept
+    (``inside``), so that it is handed over once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(0).field("text") if inside else batch.column(len(keep))
             evidence = [e for part in _chunks(texts) for e in scorer.evidences(part)]
             scores = scorer.model.scores(np.array(evidence).reshape(-1, EVIDENCE))
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(evidence, pa.list_(pa.float64())), pa.array(scores)],
-                [*batch.schema.names[:-1], "evidence", "score"],
+                [*batch.columns[: len(keep)], pa.array(evidence, pa.list_(pa.float64())), pa.array(scores)],
+                [*keep, "evidence", "score"],
             )
 
     columns = [F.col(f"`{c}`") for c in keep]
     schema = docs.select(*columns).schema.add("evidence", ArrayType(DoubleType())).add(
         "score", DoubleType()
     )
-    return docs.select(*columns, F.col("text").alias("text")).mapInArrow(run, schema)
+    given = columns if inside else [*columns, F.col("text").alias("text")]
+    return docs.select(*given).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
@@ -483,5 +489,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> DataFrame:
     """The rows of ``docs`` whose text scores below the threshold, all columns as they came."""
     model = fit(docs, labels, per_class)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return scored(rows, model, ["row"]).where(F.col("score") < THRESHOLD).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return scored(rows, model, ["row"], inside=True).where(F.col("score") < THRESHOLD).select("row.*")
