@@ -216,12 +216,14 @@ def scorecard_examples(spark, folder):
 
 _RULE_SQL = """pred AS (SELECT test, y, CASE WHEN regexp_matches(lower(text), 'idiot|clown|loser|trash|moron') THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(text, '[#%$*&]{3}') THEN 0 ELSE 1 END AS yhat FROM split),
+lbl AS (SELECT test, v, dense_rank() OVER (PARTITION BY test ORDER BY v) AS i FROM (SELECT DISTINCT test, unnest([y, yhat]) AS v FROM pred)),
+kp AS (SELECT pred.test, a.i AS y, b.i AS yhat FROM pred JOIN lbl a ON a.test = pred.test AND a.v = y JOIN lbl b ON b.test = pred.test AND b.v = yhat),
 pc AS (SELECT test, k, count(*) FILTER (WHERE y = k AND yhat = k) AS tp, count(*) FILTER (WHERE y = k) AS s, count(*) FILTER (WHERE yhat = k) AS f
   FROM pred CROSS JOIN (SELECT unnest(range(4)) AS k) GROUP BY test, k),
 m AS (SELECT test, 'f1_macro' AS metric, avg(coalesce(2.0 * tp / nullif(s + f, 0), 0)) AS value FROM pc GROUP BY test
-  UNION ALL SELECT test, 'recall_toxic', max(tp::DOUBLE / nullif(s, 0)) FROM pc WHERE k = 2 GROUP BY test
+  UNION ALL SELECT test, 'recall_toxic', max(coalesce(tp::DOUBLE / nullif(s, 0), 0)) FROM pc WHERE k = 2 GROUP BY test
   UNION ALL SELECT test, 'ordinal_mae', avg(abs(y - yhat)) FROM pred GROUP BY test
-  UNION ALL SELECT test, 'weighted_kappa', 1 - sum(power(y - yhat, 2)) / (sum(y * y) + sum(yhat * yhat) - 2.0 * sum(y) * sum(yhat) / count(*)) FROM pred GROUP BY test)"""
+  UNION ALL SELECT test, 'weighted_kappa', 1 - sum(power(y - yhat, 2)) / (sum(y * y) + sum(yhat * yhat) - 2.0 * sum(y) * sum(yhat) / count(*)) FROM kp GROUP BY test)"""
 
 
 @query(f"WITH {_SETS_SQL}, {_RULE_SQL} SELECT CASE WHEN test THEN 'final_test' ELSE 'development' END AS part, metric, round(value, 6) AS value FROM m")
