@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_similar import kept_ids
 
 import corpus_pipeline
-from noteframe.llm import chat, queries, simhash, topk, toxicity, warc, wrapper
+from noteframe.llm import chat, queries, topk, toxicity, warc, wrapper
 from noteframe.llm.common import read
 
 SMALL = "/root/testdata/sf0.001"
@@ -297,8 +298,8 @@ def test_pipeline(spark):
         assert df.columns == docs.columns
     scores = toxicity.score_documents(docs, read(spark, SMALL, "labels")).collect()
     assert {r.doc_id for r in steps[1].collect()} == {r.doc_id for r in scores if not r.predicted}
-    classes = {r.component_id for r in simhash.near_duplicates(steps[1]).collect()}
-    assert sorted(r.doc_id for r in steps[2].collect()) == sorted(classes)
+    texts = [(r.doc_id, r.text) for r in steps[1].collect()]
+    assert sorted(r.doc_id for r in steps[2].collect()) == kept_ids(texts)
     whole = corpus_pipeline.run(spark, SMALL)
     assert sorted(whole.columns) == sorted(steps[-1].columns)
     tokens = lambda df: Counter({r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()})
