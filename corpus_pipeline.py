@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import mixing, queries, simhash, toxicity
+from noteframe.llm import mixing, queries, similar, toxicity
 from noteframe.llm.common import read
 from noteframe.sources.tables import work_dir
 
@@ -21,8 +21,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document of the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each class (SimHash of five words, similarity 0.8) the smallest doc_id stays."""
+    return similar.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
