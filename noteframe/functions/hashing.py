@@ -86,6 +86,17 @@ def poisson_case(digits: str) -> str:
     return expr.case(steps, str(len(points)))
 
 
+def poisson_weights(seed: int, key: str, repetitions: int) -> Column:
+    """Array of the weights of ``poisson_draws`` in all replicates, zeros included."""
+    blocks = -(-repetitions // DRAWS_PER_HASH)
+    text = f"md5(concat_ws('|', {expr.lit(str(seed))}, string(b), string({expr.col(key)})))"
+    weights = ", ".join(poisson_case(f"substring(m, {8 * j + 1}, 8)") for j in range(DRAWS_PER_HASH))
+    # the hash is an array of its own, so that it is computed once
+    return F.expr(
+        f"slice(flatten(transform(transform(sequence(0, {blocks - 1}), b -> {text}), m -> array({weights}))), 1, {repetitions})"
+    )
+
+
 def poisson_draws(seed: int, key: str, repetitions: int) -> Column:
     """Array of (repetition, w) with w > 0: in which replicates a key enters, and how often.
 

@@ -8,20 +8,25 @@ bootstrap replicates, folds or scenarios in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as x
-from ..functions.hashing import poisson_draws, uniform
+from ..functions.digests import Texts
+from ..functions.hashing import poisson_draws, poisson_weights, uniform
 from ..functions.scalar import clip, logit, row_total
 from .extraction_eval import f1, intervals_of_long, quadratic_kappa, ratio
-from .ordered import default_buckets, positions_by_draw, running_totals
+from ..sources.tables import stored
+from .ordered import positions_by_draw, running_totals
 
 
 def _weight(weight: str | None) -> Column:
@@ -369,58 +374,130 @@ def poisson_replicates(df: DataFrame, key: str, repetitions: int, seed: int) ->
     return drawn.where("w IS NOT NULL")
 
 
+def _block_counts(ends: np.ndarray, seed: int, repetitions: int, block: int) -> Callable:
+    """Arrow map: (cell, counts), how often the replicates' draws of a task's rows pick a block.
+
+    A draw is half of md5(seed|block/<half of the replicate>/<class>|<key>), taken times the size
+    of the row's class. Cells number the blocks of all classes; ``counts`` is empty where a row
+    is no draw.
+    """
+    cells = int(ends[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((repetitions, cells), np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            met = np.concatenate(waiting, 1)
+            for r in range(repetitions):
+                total[r] += np.bincount(met[r], minlength=cells).astype(np.uint32)
+            waiting.clear()
+
+        for batch in batches:
+            n, low = (batch.column(c).to_numpy().astype(float) for c in ("n", "low"))
+            met = np.zeros((repetitions, batch.num_rows), np.int64)
+            texts = Texts(batch.column("text"))
+            for g in range((repetitions + 1) // 2):
+                words = texts.md5(f"{seed}|block/{g}").view(">u8")
+                halves = (words[:, 0] >> 12, ((words[:, 0] & 0xFFF) << 40) | (words[:, 1] >> 24))
+                for r, u in zip(range(2 * g, min(2 * g + 2, repetitions)), halves):
+                    met[r] = np.floor(u.astype(float) / 2.0**52 * n) // block + low
+            waiting.append(met)
+            if sum(w.shape[1] for w in waiting) >= 1 << 16:
+                add()
+        if waiting:
+            add()
+        for at in range(0, cells, 4096):
+            part = np.ascontiguousarray(total[:, at : at + 4096].T)
+            found = part.any(1).nonzero()[0]
+            if len(found):
+                kind = "<u4" if part.max() > 0xFFFF else "<u2" if part.max() > 0xFF else "u1"
+                counts = [part[i].astype(kind).tobytes() for i in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found + at), pa.array(counts, pa.binary())], ["_cell", "_counts"])
+
+    return run
+
+
+def _inside(cell: int, counts: Sequence[bytes], ends: np.ndarray, classes: Sequence, seed: int, repetitions: int, block: int) -> np.ndarray:
+    """(place in the block, replicate): how often the draws that picked the block pick a place."""
+    total = sum(np.frombuffer(c, {1: "u1", 2: "<u2", 4: "<u4"}[len(c) // repetitions]).astype(np.int64) for c in counts)
+    k = int(np.searchsorted(ends, cell, "right"))
+    number = cell - (int(ends[k - 1]) if k else 0)
+    name, size = classes[k]
+    room = min(block, size - number * block)
+    hashes = (total + 3) // 4
+    g = np.arange(int(hashes.sum())) - np.repeat(np.cumsum(hashes) - hashes, hashes)
+    words = Texts(pa.array([str(v) for v in range(int(hashes.max(initial=0)))], pa.string()).take(pa.array(g))).md5(
+        [f"{seed}|draw/{r}/{name}/{number}|" for r in range(repetitions)], np.repeat(np.arange(repetitions), hashes)
+    )
+    place = np.floor(words.view(">u4").astype(float) / 2.0**32 * room).astype(np.int64)
+    used = 4 * g[:, None] + np.arange(4) < np.repeat(total, hashes)[:, None]
+    code = place * repetitions + np.repeat(np.arange(repetitions), hashes)[:, None]
+    return np.bincount(code[used], minlength=room * repetitions).reshape(room, repetitions)
+
+
+def stratified_weights(
+    df: DataFrame, key: str, y: str, repetitions: int, seed: int, block: int = 1024, out: str = "weights"
+) -> DataFrame:
+    """Exact resampling inside each class: per row, how often each replicate draws it (array).
+
+    The rows of a class are numbered in hash order and cut into blocks of ``block`` numbers.
+    First every draw picks a block, and each task sums up what its rows pick; then the rows of a
+    block and its counts meet in one group, where the draws pick rows. Rows are shuffled once,
+    nothing is joined with them but running totals, and replicates are not unfolded.
+    """
+    sizes = sorted((str(r[y]), r[y], r["n"]) for r in df.groupBy(y).agg(F.count("*").alias("n")).collect())
+    if not sizes:
+        return df.withColumn(out, F.array().cast("array<int>"))
+    if any(v is None for _, v, _ in sizes):
+        raise ValueError(f"{y} is null in some rows")
+    classes = [(name, n) for name, _, n in sizes]
+    ends = np.cumsum([-(-n // block) for _, n in classes])
+    of = lambda values: F.element_at(F.create_map(*[F.lit(v) for (_, k, _), n in zip(sizes, values) for v in (k, int(n))]), F.col(y))
+    low = of([0, *ends[:-1]]).cast("bigint")
+    text = F.concat(F.lit("/"), F.col(y).cast("string"), F.lit("|"), F.col(key).cast("string"))
+    drawn = df.select(of([n for _, n in classes]).cast("bigint").alias("n"), low.alias("low"), text.alias("text"))
+    counts = drawn.where("text IS NOT NULL").mapInArrow(_block_counts(ends, seed, repetitions, block), "_cell long, _counts binary")
+    numbered = positions_by_draw(df.withColumn("_u", uniform(seed, key, "order")), "_u", key, "_no", by=[y])
+    cell = (low + F.floor((F.col("_no") - 1) / block)).cast("bigint")
+    members = numbered.drop("_u").withColumn("_cell", cell)
+    met = members.unionByName(counts, allowMissingColumns=True)
+    names = df.columns
+
+    def weigh(group: pa.Table) -> pa.Table:
+        counted = pc.is_valid(group["_counts"])
+        rows = group.filter(pc.invert(counted)).sort_by("_no")
+        parts = group["_counts"].filter(counted).to_pylist()
+        found = np.zeros((rows.num_rows, repetitions), np.int32)
+        if parts:
+            drawn = _inside(group["_cell"][0].as_py(), parts, ends, classes, seed, repetitions, block)
+            found[: len(drawn)] = drawn[: len(found)]
+        lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * repetitions, pa.array(found.ravel()))
+        return rows.select(names).append_column(out, lists)
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in df.schema.fields], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return met.groupBy("_cell").applyInArrow(weigh, schema)
+
+
 def stratified_draws(
     df: DataFrame, key: str, y: str, repetitions: int, seed: int, block: int = 1024
 ) -> DataFrame:
     """Exact resampling inside each class: n_class draws with replacement per replicate.
 
-    The rows of a class are numbered in hash order and cut into blocks of ``block`` numbers.
-    First every draw picks a block, and only its counts per block and replicate are kept; then
-    the draws of a block pick rows inside it. What is shuffled are the rows once and the
-    counts: draws are made, counted and given to their rows inside a block's task. Returns
-    the rows of ``df`` with ``repetition`` and ``w``, the times that a replicate draws them.
+    Returns the rows of ``df`` with ``repetition`` and ``w``, the times that a replicate draws
+    them (``stratified_weights``).
     """
-    sizes, _, _ = class_sizes(df, y)
-    size, r = F.element_at(sizes, F.col(y)), int(repetitions)
-    # one hash serves two replicates
-    first = f"md5(concat('{seed}|block/', g, '/', {x.col(y)}, '|', {x.col(key)}))"
-    pairs = (
-        f"flatten(transform(sequence(0, {(r - 1) // 2}), g -> transform(array({first}), h -> array("
-        "named_struct('repetition', 2 * g, 'u', substring(h, 1, 13)), "
-        "named_struct('repetition', 2 * g + 1, 'u', substring(h, 14, 13))))[0]))"
-    )
-    picks = df.select(F.col(y).alias("_y"), size.alias("_n"), F.expr(f"inline({pairs})")).where(F.col("repetition") < r)
-    drawn = F.floor(F.conv("u", 16, 10).cast("double") / F.lit(float(2**52)) * F.col("_n"))
-    cells = picks.groupBy("_y", "_n", F.floor(drawn / block).cast("bigint").alias("_block"), "repetition").agg(
-        F.count("*").alias("d")
-    )
-    # the counts are few bytes and much work, so their partitions are not left to AQE
-    tasks = default_buckets(df)
-    blocks = cells.repartition(tasks, "_y", "_block").groupBy("_y", "_block").agg(
-        F.first("_n").alias("_n"), F.collect_list(F.struct("repetition", "d")).alias("counts")
-    )
-    # one hash serves four draws
-    second = f"md5(concat('{seed}|draw/', repetition, '/', _y, '/', _block, '|', g))"
-    digits = "transform(array(1, 9, 17, 25), p -> conv(substring(h, p, 8), 16, 10))"
-    draws = (
-        f"slice(flatten(transform(sequence(0L, (d - 1) div 4), g -> transform(array({second}), h -> {digits})[0])), 1, int(d))"
-    )
-    inside = blocks.select("_y", "_block", F.least(F.lit(block), F.col("_n") - F.col("_block") * block).alias("_m"), F.expr("inline(counts)"))
-    each = inside.select("_y", "_block", "_m", "repetition", F.explode(F.expr(draws)).alias("u"))
-    place = F.floor(F.col("u").cast("double") / F.lit(float(2**32)) * F.col("_m")).cast("int")
-    counted = each.groupBy("_y", "_block", place.alias("at"), "repetition").agg(F.count("*").alias("w"))
-    weights = counted.groupBy("_y", "_block").agg(F.collect_list(F.struct("at", "repetition", "w")).alias("weights"))
-    numbered = positions_by_draw(df.withColumn("_u", uniform(seed, key, "order")), "_u", key, "_no", by=[y])
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    members = (
-        numbered.select(F.col(y).alias("_y"), F.floor((F.col("_no") - 1) / block).cast("bigint").alias("_block"), F.struct("_no", row.alias("row")).alias("m"))
-        .groupBy("_y", "_block")
-        .agg(F.sort_array(F.collect_list("m")).alias("members"))
-    )
-    # rows are picked inside the array, so that unfolding does not copy the block per draw
-    picked = "transform(weights, g -> named_struct('row', get(members, g.at).row, 'repetition', g.repetition, 'w', g.w))"
-    given = weights.join(members, ["_y", "_block"]).select(F.expr(f"inline({picked})"))
-    return given.select("row.*", "repetition", "w")
+    weighed = stratified_weights(df, key, y, repetitions, seed, block, "_weights")
+    rows = weighed.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("_weights").alias("repetition", "w"))
+    return rows.where("w > 0").withColumn("w", F.col("w").cast("bigint"))
+
+
+def folded_replicates(weighed: DataFrame, columns: Sequence[str], repetitions: int, weights: str = "weights") -> DataFrame:
+    """(columns, repetition, w): equal rows fold into one before their replicates unfold."""
+    sums = [F.sum(F.get(weights, F.lit(r))).alias(f"_w{r}") for r in range(repetitions)]
+    folded = weighed.groupBy(*columns).agg(*sums)
+    rows = folded.select(*columns, F.posexplode(F.array(*[F.col(f"_w{r}") for r in range(repetitions)])).alias("repetition", "w"))
+    return rows.where("w > 0")
 
 
 def bootstrap_intervals(
@@ -442,12 +519,18 @@ def bootstrap_intervals(
     """(metric, ci_2_5, ci_97_5) over replicates of the classification report.
 
     ``method='exact'`` draws inside each class as a finite sample does; ``'poisson'`` weighs
-    rows independently, without a shuffle of the rows.
+    rows independently, without a shuffle of the rows. Rows that agree in class, prediction and
+    probabilities fold into one with a weight per replicate before anything is measured.
     """
+    told = [y, yhat, *(probabilities or [])]
+    slim = df.select(*dict.fromkeys([key, *told]))
     if method == "exact":
-        replicates = stratified_draws(df, key, y, repetitions, seed)
+        weighed = stratified_weights(slim, key, y, repetitions, seed)
     else:
-        replicates = poisson_replicates(df, key, repetitions, seed)
+        weighed = slim.withColumn("weights", poisson_weights(seed, key, repetitions))
+    replicates = folded_replicates(weighed, told, repetitions)
+    if probabilities is not None:  # many parts of the report read them
+        replicates = stored(replicates)
     report = classification_report(
         replicates,
         y,

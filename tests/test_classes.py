@@ -156,3 +156,31 @@ def test_report_over_replicates_contains_the_point(scored):
         intervals = ce.bootstrap_intervals(df, "id", "y", "q", 4, RECALLS, 40, 1, PROBS, {"auprc_alta": 2}, method=method)
         for r in intervals.collect():
             assert r["ci_2_5"] - 0.02 <= report[r["metric"]] <= r["ci_97_5"] + 0.02
+
+
+def test_digests_equal_md5():
+    import hashlib
+
+    import pyarrow as pa
+    from noteframe.functions.digests import Texts
+
+    texts = ["", "a", "é" * 30, "x" * 44, "x" * 45, "x" * 200]
+    firsts = ["7|draw/0/", "", "beginning"]
+    which = np.array([0, 1, 2, 0, 0, 2])
+    found = Texts(pa.array(texts)).md5(firsts, which)
+    assert [bytes(d).hex() for d in found] == [hashlib.md5((firsts[w] + t).encode()).hexdigest() for w, t in zip(which, texts)]
+
+
+def test_stratified_weights_are_not_joined_with_rows(spark):
+    df = spark.range(900).selectExpr("concat('k', id) AS id", "int(id % 3) AS y")
+    out = ce.stratified_weights(df, "id", "y", 7, 11, block=100)
+    totals = out.selectExpr("y", "posexplode(weights)").groupBy("y", "pos").agg(F.sum("col").alias("n")).collect()
+    assert len(totals) == 21 and {r["n"] for r in totals} == {300}
+    # rows meet their draws in one group; only the running totals of the numbers are joined
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_equal_rows_fold_before_replicates_unfold(spark):
+    df = spark.range(50).selectExpr("int(id % 2) AS y", "0.5D AS p", "array(1, 0, int(id % 2)) AS weights")
+    rows = ce.folded_replicates(df, ["y", "p"], 3).orderBy("y", "repetition").collect()
+    assert [(r["y"], r["p"], r["repetition"], r["w"]) for r in rows] == [(0, 0.5, 0, 25), (1, 0.5, 0, 25), (1, 0.5, 2, 25)]
