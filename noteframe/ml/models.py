@@ -189,6 +189,7 @@ class Forest:
 
     def fit(self, train: DataFrame, y: str, n_classes: int) -> "Forest":
         weighted = class_weights(train.select("features", y), y)
+        # nodes are met by their cached ids: deep trees are not sent with every task
         fit = RandomForestClassifier(
             labelCol=y,
             weightCol="class_weight",
@@ -197,6 +198,8 @@ class Forest:
             minInstancesPerNode=self.min_leaf,
             featureSubsetStrategy="sqrt",
             seed=self.seed,
+            cacheNodeIds=True,
+            checkpointInterval=10,
         )
         self.model = fit.fit(weighted)
         return self
