@@ -112,6 +112,17 @@ def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, a block for each task at least.
+
+    A small table lies in one partition, where a pass would have one task. A fit does not
+    depend on how the table is cut.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = min(-(-rows.count() // BLOCK), max(cores, rows.rdd.getNumPartitions()))
+    return rows.repartition(max(1, tasks), F.xxhash64(key))
+
+
 def _blocks(
     rows: DataFrame, y: str, key: str, plans: Sequence[Plan], edges: dict, n_classes: int
 ) -> DataFrame:
@@ -173,9 +184,14 @@ class _Block:
     def nodes(self, m: int, feature: np.ndarray, threshold: np.ndarray, depth: int) -> np.ndarray:
         """Heap node (n, class) after ``depth`` steps down the trees of model ``m``."""
         at = np.zeros((self.n, self.k), np.int64)
-        x, rows, tree = self.bins[self.which[m]], np.arange(self.n)[:, None], np.arange(self.k)[None, :]
+        x = self.bins[self.which[m]]
+        if not x.shape[1]:
+            return (1 << depth) - 1 + at
+        flat, first = x.ravel(), np.arange(self.n)[:, None] * x.shape[1]
+        tree = np.arange(self.k)[None, :] * feature.shape[1]
         for _ in range(depth):
-            at = 2 * at + 1 + (x[rows, feature[tree, at]] > threshold[tree, at])
+            cell = tree + at
+            at = 2 * at + 1 + (flat.take(first + feature.take(cell)) > threshold.take(cell))
         return at
 
     def histogram(self, m: int, at: np.ndarray, level: int, draw: float, salt: int) -> np.ndarray:
@@ -254,7 +270,7 @@ def fit_boosted(
     edges = _edges(rows, pairs)
     widths = [len(edges[p]) for p in pairs]
     which = [pairs.index((p.features, p.role)) for p in plans]
-    blocks = stored(_blocks(rows, y, key, plans, edges, n_classes))
+    blocks = stored(_blocks(_spread(rows, key), y, key, plans, edges, n_classes))
     deepest = max(p.max_depth for p in plans)
     inner = (1 << deepest) - 1
     grown: list[list[dict]] = [[] for _ in plans]
