@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as x
 from ..functions.hashing import poisson_draws
 from ..functions.scalar import number_or
+from ..sources.tables import stored
 from .markers import BINARY_FIELDS, CATEGORY_FIELDS, FEATURE_FIELDS, Ontology
 
 DIMENSIONS = (*BINARY_FIELDS, *CATEGORY_FIELDS, "severity_code")
@@ -353,7 +354,8 @@ def agreement_of_columns(
     )
     cells = F.flatten(F.zip_with(left, right, lambda a, b: F.array(*[cell(a, b, f) for f in fields])))
     group = ["marker", "dimension"]
-    counts = df.select(F.inline_outer(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count"))
+    # a few counts per marker and field, read three times: the texts behind them are read once
+    counts = stored(df.select(F.inline_outer(cells)).groupBy(*group, "left", "right").agg(F.count("*").alias("count")))
     both = counts.where("left is not null and right is not null")
     observed = counts.groupBy(*group).agg(
         F.sum(F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), F.col("count")).otherwise(0)).alias("n"),
