@@ -260,4 +260,4 @@ def mean_contributions(spark, folder):
 @query()
 def local_examples(spark, folder):
     final, test = _final(spark, folder, [mm.Forest(trees=50, max_depth=12, seed=1)])
-    return rounded(mv.local_examples(mv.contributions(final, test, TASK), "doc_id"), ["contribution"])
+    return rounded(mv.local_examples(mv.contributions(final, mv.rows_of_first(test, "doc_id"), TASK), "doc_id"), ["contribution"])
