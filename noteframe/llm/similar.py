@@ -12,8 +12,10 @@ By the normal approximation a pair meets in at least one segment with probabilit
 similarity of exactly 0.8, 0.997 at 0.85 and nearly 1 above 0.9; what meets is decided exactly.
 A bit more of ``width`` for each doubling of the table keeps chance meetings per document even.
 
-Groups of any size cost rows in proportion: first each document is linked with the smallest one
-that it meets, and only documents that are still in different classes are paired after that.
+Groups of any size cost rows in proportion: first each document is compared with the smallest one
+at each of its points, and only documents of a point that are still in different classes are
+compared after that: as pairs at points of few documents, and in blocks within tasks at others,
+where only links that join classes leave the task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,6 +37,10 @@ from .simhash import SEED
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH, FLIPS = 17, 26, 6
+#: Members of a point that are paired one by one at most; beyond, they are compared in blocks.
+CROWD, BLOCK = 16, 1024
+#: Words of a set that a block has room for on average.
+_WORDS = 1024
 _CHUNK = 1 << 14
 #: Bits of a filter of keys: 16 for each key, in maps of 32,768 bits, 4,096 maps (16 MB) at most.
 _MAP_BITS, _MOST_MAPS = 32768, 4096
@@ -152,10 +159,8 @@ def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return at.select("row", "key", hit.alias("hit"))
 
 
-def _verified(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float
-) -> DataFrame:
-    """The (left, right) pairs whose shingle sets have the similarity, by exact counts."""
+def _sets(of: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, found): the sets of shingles of the nodes in ``of``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +169,15 @@ def _verified(
             lists = pa.array(sets, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "found"])
 
-    wanted = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct()
+    wanted = of.select("node").distinct()
     keys = kept(nodes.select("node", F.col("first").alias("key")).join(wanted, "node", "left_semi"))
     hits = _marked(docs.select("doc_id", "text"), keys).where("hit")
     texts = hits.join(keys, "key").select("node", F.col("row.text").alias("text"))
-    sets = kept(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, found array<long>"))
+    return kept(texts.dropDuplicates(["node"]).mapInArrow(run, "node long, found array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (left, right) pairs whose shingle sets have the similarity, by exact counts."""
     left = sets.select(F.col("node").alias("left"), F.col("found").alias("a"))
     right = sets.select(F.col("node").alias("right"), F.col("found").alias("b"))
     both = pairs.join(left, "left").join(right, "right")
@@ -178,6 +187,70 @@ def _verified(
     )
 
 
+def _spanning(nodes: np.ndarray, roots: np.ndarray, similar: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that connect what ``similar`` connects, beyond equal roots: fewer than the nodes."""
+    _, top = np.unique(roots, return_inverse=True)
+    left, right = [], []
+    for i, j in np.argwhere(np.triu(similar, 1) & (top[:, None] != top)):
+        if top[i] != top[j]:
+            left.append(int(min(nodes[i], nodes[j])))
+            right.append(int(max(nodes[i], nodes[j])))
+            top[top == top[j]] = top[i]
+    return left, right
+
+
+def common_counts(flat: np.ndarray, ends: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of a block, some columns of its words at a time."""
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    _, word, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[word]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.diag(np.diff(ends, prepend=0)).astype(np.float32)
+    for at in range(0, int(place.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(place, [at, at + columns])
+        has = np.zeros((len(ends), columns), np.float32)
+        has[row[a:b], place[a:b] - at] = 1
+        total += has @ has.T
+    np.fill_diagonal(total, np.diff(ends, prepend=0))
+    return total
+
+
+def crowd_links(rows: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(left, right) links that connect all similar nodes of the same point, whatever its size.
+
+    ``rows`` has point, node, root and size (members of the point). Members are dealt over blocks
+    of about ``block``, of fewer where sets are large; a task compares two blocks as matrices
+    and returns only the links that join classes, so rows do not grow with pairs.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table["found"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())
+        both, sizes = common_counts(flat, ends), np.diff(ends, prepend=0)
+        similar = both >= similarity * (sizes[:, None] + sizes - both)
+        found = _spanning(table["node"].to_numpy(), table["root"].to_numpy(), similar)
+        return pa.table({"left": pa.array(found[0], pa.int64()), "right": pa.array(found[1], pa.int64())})
+
+    sizes = sets.select("node", F.size("found").alias("words"))
+    words = F.sum("words").over(W.partitionBy("point"))
+    parts = F.ceil(F.greatest(F.col("size") / block, words / (block * _WORDS)))
+    sized = rows.join(sizes, "node").withColumn("parts", parts)
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn(
+        "other", F.explode(F.expr("sequence(0L, parts - 1)"))
+    )
+    blocks = dealt.select(
+        "point", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "root"
+    )
+    return (
+        blocks.join(sets, "node")
+        .groupBy("point", "i", "j")
+        .applyInArrow(run, "left long, right long")
+        .distinct()
+    )
+
+
 def _classes(links: DataFrame) -> DataFrame:
     """(of, root) of the linked nodes.
 
@@ -196,11 +269,15 @@ def similar_links(
     similarity: float = SIMILARITY,
     segments: int = SEGMENTS,
     width: int = WIDTH,
+    crowd: int = CROWD,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(left, right) links that connect the nodes of similar sets that meet at a point.
 
     ``nodes`` has node, first (key of one document) and points. Not every similar pair is a
-    link: pairs whose ends are connected by the links of the first round are left out.
+    link, but what similar pairs connect is connected: each node is compared with the smallest
+    one of each of its points, then members of a point that are still in different classes with
+    each other, as pairs where they are at most ``crowd``, as blocks otherwise.
     """
     point = F.expr(f"shiftleft(cast(pos % {segments} AS long), {width}) | value").alias("point")
     met = nodes.select("node", F.posexplode("points").alias("pos", "value")).select("node", point)
@@ -211,27 +288,46 @@ def similar_links(
     left = fps.select(F.col("node").alias("left"), F.col("fp").alias("a"))
     right = fps.select(F.col("node").alias("right"), F.col("fp").alias("b"))
     apart = F.expr(" + ".join(f"bit_count(a[{i}] ^ b[{i}])" for i in range(segments)))
+    most = farthest(segments * width, similarity)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(left, "left").join(right, "right")
-        return near.where(apart <= farthest(segments * width, similarity)).select("left", "right")
-
+    # One pair for each row of ``met`` at most: a node and the smallest that it meets.
     heads = met.where("node != head").select(F.col("head").alias("left"), F.col("node").alias("right"))
-    stars = kept(close(heads).groupBy("right").agg(F.min("left").alias("left")).select("left", "right"))
-    first = kept(_verified(stars, nodes, docs, size, similarity))
+    near = heads.distinct().join(left, "left").join(right, "right").where(apart <= most)
+    stars = kept(near.select("left", "right", apart.alias("apart")))
+    sets = _sets(stars.select(F.explode(F.array("left", "right")).alias("node")), nodes, docs, size)
+    best = stars.groupBy("right").agg(F.min(F.struct("apart", "left"))["left"].alias("left"))
+    first = kept(_verified(best.select("left", "right"), sets, similarity))
+    more = _across(stars, _classes(first)).select("left", "right")
+    first = kept(first.unionByName(_verified(more, sets, similarity)))
 
     roots = _classes(first)
-    named = met.join(roots, met["node"] == roots["of"], "left").select(
+    named = met.where("node != head").join(roots, F.col("node") == F.col("of"), "left").select(
         "point", "node", F.coalesce("root", "node").alias("root")
     )
-    named = named.withColumns({"one": F.min("root").over(here), "other": F.max("root").over(here)})
-    mixed = kept(named.where("one != other").drop("other"))
-    outside = mixed.where("root != one").select("point", F.col("node").alias("x"), F.col("root").alias("rx"))
-    inside = mixed.select("point", F.col("node").alias("y"), F.col("root").alias("ry"))
-    across = outside.join(inside, "point").where("rx != ry")
-    pairs = across.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
-    rest = kept(close(pairs).join(stars, ["left", "right"], "left_anti"))
-    return first.unionByName(_verified(rest, nodes, docs, size, similarity))
+    named = named.withColumns(
+        {"one": F.min("root").over(here), "other": F.max("root").over(here), "size": F.count("*").over(here)}
+    )
+    mixed = kept(named.where("one != other").drop("one", "other"))
+    few = mixed.where(F.col("size") <= crowd).join(fps, "node")
+    x = few.select("point", F.col("node").alias("left"), F.col("root").alias("rx"), F.col("fp").alias("a"))
+    y = few.select("point", F.col("node").alias("right"), F.col("root").alias("ry"), F.col("fp").alias("b"))
+    paired = x.join(y, "point").where((F.col("left") < F.col("right")) & F.expr("rx != ry") & (apart <= most))
+    paired = paired.select("left", "right").distinct()
+    rest = kept(paired.join(stars.select("left", "right"), ["left", "right"], "left_anti"))
+    many = mixed.where(F.col("size") > crowd)
+    ends = rest.select(F.explode(F.array("left", "right")).alias("node"))
+    sets = _sets(ends.unionByName(many.select("node")), nodes, docs, size)
+    return first.unionByName(_verified(rest, sets, similarity)).unionByName(
+        crowd_links(many, sets, similarity, block)
+    )
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (left, right) pairs whose ends are in different classes."""
+    for end in ("left", "right"):
+        named = roots.select(F.col("of").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(named, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.where("left_root != right_root")
 
 
 def one_of_each(

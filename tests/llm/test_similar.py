@@ -132,3 +132,55 @@ def test_share_of_pairs_that_meet(similarity, least):
         distance = sum(int(x ^ y).bit_count() for x, y in zip(a[0], b[0], strict=True))
         apart += distance > similar.farthest(442, similarity)
     assert met >= least * 600 and apart <= 6
+
+
+def _group(n, words=300, most=14):
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.choice(words, int(rng.integers(1, most)), replace=False):
+            copy[at] = f"e{i}x{at}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_large_group_is_not_paired(spark, monkeypatch):
+    rows = _group(240)
+    counts, verified = [], similar._verified
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    found = [r.doc_id for r in similar.one_of_each(_table(spark, rows)).collect()]
+    expected = kept_ids(rows)
+    assert set(expected) <= set(found) and len(found) <= len(expected) + 2
+    assert sum(counts) <= 30 * len(rows)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_crowd_links_connect_as_all_pairs_do(spark, block):
+    rows = _group(50) + [(100 + i, t.replace("b", "c")) for i, t in _group(20)] + [(200, "a b c d e f")]
+    sets = [(i, similar.shingles(t).view(np.int64).tolist()) for i, t in rows]
+    crowd = spark.createDataFrame([(p, i, i, len(rows)) for i, _ in rows for p in (1, 2)], "point long, node long, root long, size long")
+    links = similar.crowd_links(crowd, spark.createDataFrame(sets, "node long, found array<long>"), 0.8, block).collect()
+    parent = {i: i for i, _ in rows}
+
+    def find(v):
+        return v if parent[v] == v else find(parent[v])
+
+    exact = dict(sets)
+    for left, right in links:
+        both = len(set(exact[left]) & set(exact[right]))
+        assert left < right and both >= 0.8 * (len(exact[left]) + len(exact[right]) - both)
+        parent[max(find(left), find(right))] = min(find(left), find(right))
+    assert sorted({find(i) for i in parent}) == kept_ids(rows)
+
+
+def test_crowd_links_leave_classes_alone(spark):
+    same = spark.createDataFrame([(1, i, 7, 3) for i in (7, 8, 9)], "point long, node long, root long, size long")
+    sets = spark.createDataFrame([(i, [1, 2, 3]) for i in (7, 8, 9)], "node long, found array<long>")
+    assert similar.crowd_links(same, sets, 0.8, 2).count() == 0
