@@ -294,7 +294,7 @@ def similar_links(
     heads = met.where("node != head").select(F.col("head").alias("left"), F.col("node").alias("right"))
     near = heads.distinct().join(left, "left").join(right, "right").where(apart <= most)
     stars = kept(near.select("left", "right", apart.alias("apart")))
-    sets = _sets(stars.select(F.explode(F.array("left", "right")).alias("node")), nodes, docs, size)
+    sets = _sets(_ends(stars), nodes, docs, size)
     best = stars.groupBy("right").agg(F.min(F.struct("apart", "left"))["left"].alias("left"))
     first = kept(_verified(best.select("left", "right"), sets, similarity))
     more = _across(stars, _classes(first)).select("left", "right")
@@ -315,13 +315,17 @@ def similar_links(
     paired = paired.select("left", "right").distinct()
     rest = kept(paired.join(stars.select("left", "right"), ["left", "right"], "left_anti"))
     many = mixed.where(F.col("size") > crowd)
-    ends = rest.select(F.explode(F.array("left", "right")).alias("node"))
-    sets = _sets(ends.unionByName(many.select("node")), nodes, docs, size)
+    sets = _sets(_ends(rest).unionByName(many.select("node")), nodes, docs, size)
     return first.unionByName(_verified(rest, sets, similarity)).unionByName(
         crowd_links(many, sets, similarity, block)
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node) of all ends of the pairs."""
+    return pairs.select(F.col("left").alias("node")).unionByName(pairs.select(F.col("right").alias("node")))
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The (left, right) pairs whose ends are in different classes."""
     for end in ("left", "right"):
