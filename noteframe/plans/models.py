@@ -19,6 +19,8 @@ from .common import rounded, table
 QUERIES: dict = {}
 ORACLES: dict = {}
 TASK = mv.Task(key="doc_id", y="y", n_classes=4, seed=5, outer_folds=3, inner_folds=2)
+#: Replicates behind the intervals of a report.
+REPLICATES = 100
 
 
 def query(oracle: str | None = None):
@@ -99,7 +101,7 @@ def final_report(spark, folder):
     recalls, precisions = {"recall_toxic": 2, "recall_both": 3}, {"auprc_toxic": 2, "auprc_both": 3}
     told = ("y", "predicted_code", TASK.n_classes, recalls)
     report = classification_report(rows, *told, probs, precisions, calibration=True)
-    spans = bootstrap_intervals(rows, "doc_id", *told, 20, TASK.seed, probs, precisions)
+    spans = bootstrap_intervals(rows, "doc_id", *told, REPLICATES, TASK.seed, probs, precisions, calibration=True)
     return rounded(report.join(spans, "metric", "left"), ["value", "ci_2_5", "ci_97_5"], 4)
 
 

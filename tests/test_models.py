@@ -122,3 +122,21 @@ def test_agreement_reads_its_texts_once(spark):
     out = agreement_of_columns(df, "a", "b", ["present"])
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.first()["n"] == 10 and out.first()["agreement"] == 1.0
+
+
+def test_final_report_has_an_interval_for_every_metric(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from noteframe.plans import models as plans
+
+    shares = "transform(array(0, 1, 2, 3), k -> CASE WHEN k = (y + int(id % 5 = 0)) % 4 THEN 0.4 + id % 9 / 60 ELSE 0.2 - id % 9 / 180 END)"
+    rows = spark.range(240).selectExpr("id AS doc_id", "id", "int(id div 2 % 4) AS y").selectExpr("*", f"{shares} AS p")
+    rows = rows.select("doc_id", "y", F.expr("(y + int(id % 5 = 0)) % 4").alias("predicted_code"), *[F.get("p", F.lit(k)).alias(f"proba_{k}") for k in range(4)])
+    asked = []
+    measured = plans.bootstrap_intervals
+    monkeypatch.setattr(plans, "_final", lambda *_: (SimpleNamespace(predictions=rows), None))
+    monkeypatch.setattr(plans, "bootstrap_intervals", lambda *a, **b: asked.append(a[6]) or measured(*a, **b))
+    out = {r["metric"]: r for r in plans.final_report(spark, "").collect()}
+    assert {"calibration_intercept", "calibration_slope", "f1_macro", "auc_roc_ovr_macro"} <= set(out)
+    assert all(r["ci_2_5"] is not None and r["ci_2_5"] <= r["value"] + 0.2 for r in out.values())
+    assert asked == [100]  # as the reference's modelling does
