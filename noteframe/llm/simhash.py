@@ -123,13 +123,15 @@ def near_links(
     plan = segment_plan(radius, segments)
     table, probe = _keys(fps, plan, False), _keys(fps, plan, True)
     hot = table.groupBy("segment", "key").count().where(F.col("count") > hot_bucket).drop("count")
+    # a fingerprint makes 3, 46 or 2081 rows here, which Spark's size of an exploded table leaves
+    # out: such tables are merged, as they could be broadcast at many times their estimate
     slots = ["segment", "key"]
     cold = table.join(hot, slots, "left_anti")
     left = probe.withColumnRenamed("fp", "left")
     right = cold.withColumnRenamed("fp", "right")
     apart = F.bit_count(F.col("left").bitwiseXOR(F.col("right")))
     paired = (
-        left.join(right, slots)
+        left.join(right.hint("merge"), slots)
         .where((F.col("left") < F.col("right")) & (apart <= radius))
         .select("left", "right")
     )
@@ -144,7 +146,7 @@ def near_links(
         "fp", "fp ^ mask AS point"
     )
     first = points.groupBy("point").agg(F.min("fp").alias("left"))
-    through = points.join(first, "point").select("left", F.col("fp").alias("right"))
+    through = points.join(first.hint("merge"), "point").select("left", F.col("fp").alias("right"))
     return paired.unionByName(through.where("left != right")).distinct()
 
 

@@ -320,3 +320,15 @@ def test_matrices_are_lossless(docs, empty, encode, group):
     back = matrices.segments(rows).collect()
     assert all(s.ids == np.array(ids[s.doc_id][s.start : s.start + s.length], "<u4").tobytes() for s in back)
     assert matrices.token_matrices(empty, path).count() == 0
+
+
+def test_exploded_fingerprints_are_never_broadcast(spark):
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).union(spark.range(40).selectExpr("id * 1024 AS fp")).distinct()
+    for hot_bucket in (4096, 8):  # all paired, and a crowd linked through points
+        links = simhash.near_links(fps, hot_bucket=hot_bucket)
+        rows = links.collect()
+        assert rows and all((r["left"] ^ r["right"]).bit_count() <= 4 for r in rows)
+        final = links._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # the buckets of many fingerprints are short and may be sent; what is joined with them is not
+        joins = [v for v in final.split("\n") if "Join " in v and "Inner" in v]
+        assert joins and all("SortMergeJoin" in v for v in joins)
