@@ -6,6 +6,10 @@ costs no conversion per value. One pass per tree level sums the histogram of gra
 one group, which picks the splits. So a search costs rounds x depth jobs, however many folds
 and candidates it has: folds are role columns (1: a training row of the model).
 
+Where the rows of each model fold into few cells (``cells``: equal bins and class), each model is
+grown on its cells by one task instead, from how many rows of a cell each round draws: the same
+sums in the same order of steps, and two passes over the rows in all.
+
 Margins are cached from round to round and written to the checkpoint folder every few rounds,
 so a lost executor repeats few rounds. Nothing but splits and leaf values reaches the driver.
 """
@@ -22,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from . import cells
 
-BINS = 32
+BINS = cells.BINS
 BLOCK = 2048
 NEVER = 255
 #: Rounds between two checkpoints of the margins.
@@ -87,23 +92,28 @@ def softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _edges(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], list[np.ndarray]]:
-    """Bin edges of every feature of each (features, role), from one pass over the rows."""
+def quantiles(rows: DataFrame, pairs: Sequence[tuple[str, str]], shares: Sequence[float]) -> dict[tuple[str, str], list[np.ndarray]]:
+    """Quantiles of every feature of each (features, role), from one pass over the rows."""
     sizes = rows.select(*[F.max(F.size(f)).alias(f) for f in {f for f, _ in pairs}]).first().asDict()
-    shares = [i / BINS for i in range(1, BINS)]
     names, columns = [], []
     for f, role in pairs:
         for j in range(sizes[f] or 0):
             value = F.when(F.col(role) == 1, F.get(f, F.lit(j)))
-            columns.append(F.percentile_approx(value, shares, 2000).alias(f"q{len(names)}"))
+            columns.append(F.percentile_approx(value, list(shares), 2000).alias(f"q{len(names)}"))
             names.append((f, role))
     found = rows.agg(*columns).first() if columns else []
     out: dict[tuple[str, str], list[np.ndarray]] = {p: [] for p in pairs}
     for name, values in zip(names, found, strict=True):
-        out[name].append(np.unique(np.array(values or [], float)))
+        out[name].append(np.array(values or [], float))
     return out
 
 
+def _edges(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], list[np.ndarray]]:
+    """Bin edges of every feature of each (features, role)."""
+    found = quantiles(rows, pairs, [i / BINS for i in range(1, BINS)])
+    return {p: [np.unique(v) for v in values] for p, values in found.items()}
+
+
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     """A draw in [0, 1) from a mix of 64-bit ids and a salt."""
     mixed = ids.view(np.uint64) ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
@@ -261,7 +271,7 @@ def _columns(seed: int, round_: int, n_classes: int, width: int, share: float) -
 def fit_boosted(
     rows: DataFrame, y: str, key: str, n_classes: int, plans: Sequence[Plan], settings: Settings
 ) -> list[Ensemble]:
-    """One ensemble per plan, grown together: ``rounds`` x the largest depth jobs in all.
+    """One ensemble per plan, each by a task on its cells, or all together on rows.
 
     A plan's role column is 1 on its training rows; other rows leave it as it is. ``key``
     names a row for the draws of rows, so a fit does not depend on how the table is cut.
@@ -270,7 +280,125 @@ def fit_boosted(
     edges = _edges(rows, pairs)
     widths = [len(edges[p]) for p in pairs]
     which = [pairs.index((p.features, p.role)) for p in plans]
-    blocks = stored(_blocks(_spread(rows, key), y, key, plans, edges, n_classes))
+    spread = _spread(rows, key)
+    grown = _grown_on_cells(spread, y, key, n_classes, plans, settings, edges, which)
+    if grown is None:
+        grown = _grown_on_rows(spread, y, key, n_classes, plans, settings, edges, widths, which)
+    return [_ensemble(g, edges[p.features, p.role]) for g, p in zip(grown, plans, strict=True)]
+
+
+def _cell_trees(
+    x: np.ndarray, cell: np.ndarray, label: np.ndarray, drawn: np.ndarray, n_classes: int, plan: Plan, settings: Settings
+) -> list[dict]:
+    """The trees of one model, by bins ``x`` (cell, feature) and entries (cell, class, rows of each round)."""
+    size, width = x.shape
+    inner, columns = (1 << plan.max_depth) - 1, np.arange(n_classes)[None, :]
+    margin, place, trees = np.zeros((size, n_classes)), np.arange(width)[None, :] * BINS + x.astype(np.int64), []
+    for round_ in range(settings.rounds):
+        n = np.zeros((size, n_classes))
+        n[cell, label] = drawn[:, round_]
+        total, p = n.sum(1, keepdims=True), softmax(margin)
+        first, second = total * p - n, total * np.maximum(p * (1 - p), 1e-16)
+        allowed = _columns(plan.seed, round_, n_classes, width, settings.columns)
+        tree = {
+            "feature": np.zeros((n_classes, inner), np.int64),
+            "bin": np.full((n_classes, inner), NEVER, np.int64),
+            "value": np.zeros((n_classes, inner + 1)),
+            "cover": np.zeros((n_classes, 2 * inner + 1)),
+        }
+        at = np.zeros((size, n_classes), np.int64)
+        for level in range(plan.max_depth):
+            nodes = 1 << level
+            hist = np.zeros((n_classes, nodes, width, BINS, 2))
+            if size and width:
+                for k in range(n_classes):
+                    index = (at[:, k, None] * (width * BINS) + place).ravel()
+                    for i, value in enumerate((first[:, k], second[:, k])):
+                        hist[k, ..., i] = np.bincount(index, np.repeat(value, width), nodes * width * BINS).reshape(nodes, width, BINS)
+            found = best_splits(hist, allowed, settings)
+            _written(tree, found, level, plan.max_depth)
+            if width:
+                at = 2 * at + (np.take_along_axis(x, found["feature"][columns, at], 1) > found["bin"][columns, at])
+            else:
+                at = 2 * at
+        margin += tree["value"][columns, at]
+        trees.append(tree)
+    return trees
+
+
+def _written(tree: dict, found: dict, level: int, depth: int) -> None:
+    """Put the splits of a level into the heap arrays of a tree."""
+    low, n = (1 << level) - 1, 1 << level
+    tree["feature"][:, low : low + n] = found["feature"]
+    tree["bin"][:, low : low + n] = found["bin"]
+    tree["cover"][:, low : low + n] = found["cover"]
+    k = len(tree["value"])
+    both = np.stack([found["cover_left"], found["cover_right"]], -1).reshape(k, -1)
+    tree["cover"][:, 2 * low + 1 : 2 * low + 1 + 2 * n] = both
+    leaves = np.stack([found["left"], found["right"]], -1).reshape(k, -1)
+    tree["value"] = np.repeat(leaves, 1 << (depth - level - 1), 1)
+
+
+def _grown_on_cells(
+    rows: DataFrame, y: str, key: str, n_classes: int, plans: Sequence[Plan], settings: Settings, edges: dict, which: list[int]
+) -> list[list[dict]] | None:
+    """The trees of every plan, each grown by one task on the cells of its rows.
+
+    None where a model's rows do not fold into few cells.
+    """
+    if n_classes > BINS or not edges:
+        return None
+    seeds, rounds = sorted({p.seed for p in plans}), settings.rounds
+
+    def draws(ids: np.ndarray) -> np.ndarray:
+        out = np.ones((len(ids), len(seeds) * rounds), np.uint8)
+        if settings.rows < 1:
+            for i, seed in enumerate(seeds):
+                for r in range(rounds):
+                    out[:, i * rounds + r] = _uniform(ids, (seed << 20) + r + 1) < settings.rows
+        return out
+
+    folded = cells.fold(rows, y, key, edges, len(seeds) * rounds, draws, lambda drawn, role: drawn * (role == 1)[:, None])
+    if not folded.few:
+        return None
+    names = ["feature", "bin", "value", "cover"]
+    widths = [len(edges[p]) for p in edges]
+
+    def grow(table: pa.Table) -> pa.Table:
+        m = table["unit"][0].as_py()
+        _, x, cell, label, drawn = cells.sorted_cells(table, len(seeds) * rounds, widths[which[m]])
+        at = seeds.index(plans[m].seed) * rounds
+        trees = _cell_trees(x, cell, label, drawn[:, at : at + rounds], n_classes, plans[m], settings)
+        told = [pa.array([np.stack([t[n] for t in trees]).astype(float).tobytes()], pa.binary()) for n in names]
+        return pa.table([pa.array([m], pa.int32()), *told], names=["model", *names])
+
+    units = {p: [m for m, w in enumerate(which) if w == p] for p in range(len(widths))}
+    schema = "model int, " + ", ".join(f"{n} binary" for n in names)
+    grown: dict[int, list[dict]] = {}
+    for row in cells.dealt(folded.table, units).groupBy("unit").applyInArrow(grow, schema).collect():
+        told = {n: np.frombuffer(row[n], float).reshape(rounds, n_classes, -1) for n in names}
+        whole = {n: v.astype(np.int64) if n in ("feature", "bin") else v for n, v in told.items()}
+        grown[row["model"]] = [{n: whole[n][r] for n in names} for r in range(rounds)]
+    for m, p in enumerate(plans):
+        if m not in grown:  # no training row
+            none = np.zeros(0, np.int64)
+            grown[m] = _cell_trees(np.zeros((0, widths[which[m]]), np.uint8), none, none, np.zeros((0, rounds)), n_classes, p, settings)
+    return [grown[m] for m in range(len(plans))]
+
+
+def _grown_on_rows(
+    spread: DataFrame,
+    y: str,
+    key: str,
+    n_classes: int,
+    plans: Sequence[Plan],
+    settings: Settings,
+    edges: dict,
+    widths: list[int],
+    which: list[int],
+) -> list[list[dict]]:
+    """The trees of every plan, grown together: ``rounds`` x the largest depth jobs in all."""
+    blocks = stored(_blocks(spread, y, key, plans, edges, n_classes))
     deepest = max(p.max_depth for p in plans)
     inner = (1 << deepest) - 1
     grown: list[list[dict]] = [[] for _ in plans]
@@ -337,16 +465,9 @@ def fit_boosted(
             for _ in plans
         ]
         for level in range(deepest):
-            low, n = (1 << level) - 1, 1 << level
             for row in grow(blocks, trees, level, round_):
-                tree, cells = trees[row["model"]], {c: np.frombuffer(row[c], float).reshape(n_classes, n) for c in names}
-                tree["feature"][:, low : low + n] = cells["feature"]
-                tree["bin"][:, low : low + n] = cells["bin"]
-                tree["cover"][:, low : low + n] = cells["cover"]
-                both = np.stack([cells["cover_left"], cells["cover_right"]], -1).reshape(n_classes, -1)
-                tree["cover"][:, 2 * low + 1 : 2 * low + 1 + 2 * n] = both
-                leaves = np.stack([cells["left"], cells["right"]], -1).reshape(n_classes, -1)
-                tree["value"] = np.repeat(leaves, 1 << (deepest - level - 1), 1)
+                found = {c: np.frombuffer(row[c], float).reshape(n_classes, -1) for c in names}
+                _written(trees[row["model"]], found, level, deepest)
         for m, tree in enumerate(trees):
             grown[m].append(_cut(tree, plans[m].max_depth))
         if round_ + 1 < settings.rounds:
@@ -360,7 +481,7 @@ def fit_boosted(
                 blocks, before, cached = blocks.persist(StorageLevel.MEMORY_AND_DISK), cached, blocks
     if cached is not None:
         cached.unpersist()
-    return [_ensemble(g, edges[p.features, p.role]) for g, p in zip(grown, plans, strict=True)]
+    return grown
 
 
 def _cut(tree: dict, depth: int) -> dict:

@@ -48,15 +48,16 @@ def with_roles(rows: DataFrame, task: Task) -> tuple[DataFrame, dict[str, list[s
     """(rows with a role column per training set, names of the inner sets per outer set).
 
     Sets are ``outer1``.. and ``final``; inner ones add ``_inner1``... Test rows are judged by
-    ``final`` alone. Folds keep the class shares of the set they are cut from.
+    ``final`` alone. Folds keep the class shares of the set they are cut from. Every cut reads
+    its rows twice, so they are stored between cuts: a plan of all would read them 64 times.
     """
-    out = train_test_split(rows, task.key, task.y, task.test_size, task.seed, "_test")
+    out = stored(train_test_split(rows, task.key, task.y, task.test_size, task.seed, "_test"))
     y = F.col(task.y).cast("int")
 
     def folded(df: DataFrame, inside: Column, folds: int, seed: int, name: str, salt: str) -> DataFrame:
         """Fold numbers inside a set of rows; rows outside are dealt as classes of their own."""
         class_ = y + F.when(inside, 0).otherwise(task.n_classes)
-        return stratified_folds(df.withColumn("_class", class_), task.key, "_class", folds, seed, name, salt).drop("_class")
+        return stored(stratified_folds(df.withColumn("_class", class_), task.key, "_class", folds, seed, name, salt).drop("_class"))
 
     dev = F.col("_test") == 0
     out = folded(out, dev, task.outer_folds, task.seed, "_outer", "outer")

@@ -205,3 +205,43 @@ def test_nested_search(table, cut):
         assert sorted(r["id"] for r in outer) == sorted(dev) and {r["outer_fold"] for r in outer} == {1, 2, 3}
         assert {r["id"] for r in found.final[family].collect()} == set(range(len(Y))) - dev
         assert [c["set"] for c in found.chosen[family]] == ["outer1", "outer2", "outer3", "final"]
+
+
+def test_models_on_cells_equal_models_on_rows(rows, monkeypatch):
+    from noteframe.ml import cells
+
+    told = boosting.Settings(rounds=6, step=0.3)
+    coarse = rows.withColumn("x", F.expr("transform(x, v -> round(v * 2) / 2)")).withColumn("none", F.lit(0))
+    plans = [boosting.Plan("x", r, d, s) for r, d, s in (("part", 2, 1), ("whole", 3, 2), ("part", 3, 1), ("none", 1, 1))]
+    grown_on_rows = boosting._grown_on_rows
+
+    def refused(*_):
+        raise AssertionError("a small set was fitted pass by pass")
+
+    monkeypatch.setattr(boosting, "_grown_on_rows", refused)
+    on_cells = boosting.fit_boosted(coarse, "y", "id", 3, plans, told)
+    monkeypatch.setattr(boosting, "_grown_on_rows", grown_on_rows)
+    monkeypatch.setattr(cells, "CELLS", 2)  # too many cells for one task
+    on_rows = boosting.fit_boosted(coarse, "y", "id", 3, plans, told)
+    for a, b in zip(on_cells, on_rows, strict=True):
+        assert a.margins(X) == pytest.approx(b.margins(X), abs=1e-9)
+        assert a.cover == pytest.approx(b.cover, abs=1e-9)
+
+
+def test_cells_keep_every_row_of_a_set(rows):
+    from noteframe.ml import cells
+
+    edges = {("x", "part"): [np.array([-0.5, 0.5])] * 4, ("x", "whole"): [np.array([0.0])] * 4}
+    folded = cells.fold(rows, "y", "id", edges, 1, lambda ids: np.ones((len(ids), 1), np.uint8), lambda one, role: one * (role == 1)[:, None])
+    parts = folded.table.toArrow()
+    for i, (pair, use) in enumerate(zip(edges, (np.arange(len(Y)) % 4 != 0, np.ones(len(Y), bool)), strict=True)):
+        some = parts.filter([v == i for v in parts["pair"].to_pylist()])
+        _, bins, cell, label, counts = cells.sorted_cells(some, 1, 4)
+        found = {(*bins[c].tolist(), int(k)): int(n) for c, k, n in zip(cell, label, counts[:, 0])}
+        expected = {}
+        for x, y in zip(cells.binned(X[use], edges[pair]), Y[use]):
+            expected[*x.tolist(), int(y)] = expected.get((*x.tolist(), int(y)), 0) + 1
+        assert found == expected
+    assert folded.cells == max(sum(n for n, p in zip(parts["n"].to_pylist(), parts["pair"].to_pylist()) if p == i) for i in (0, 1))
+    wide = np.arange(60).reshape(2, 30) % 32
+    assert (cells.unpacked(cells.packed(wide), 30) == wide).all()
