@@ -95,11 +95,12 @@ def softmax(margins: np.ndarray) -> np.ndarray:
 def quantiles(rows: DataFrame, pairs: Sequence[tuple[str, str]], shares: Sequence[float]) -> dict[tuple[str, str], list[np.ndarray]]:
     """Quantiles of every feature of each (features, role), from one pass over the rows."""
     sizes = rows.select(*[F.max(F.size(f)).alias(f) for f in {f for f, _ in pairs}]).first().asDict()
+    told = F.lit(np.array(shares, float))  # one literal, not a call for every share of every column
     names, columns = [], []
     for f, role in pairs:
         for j in range(sizes[f] or 0):
             value = F.when(F.col(role) == 1, F.get(f, F.lit(j)))
-            columns.append(F.percentile_approx(value, list(shares), 2000).alias(f"q{len(names)}"))
+            columns.append(F.percentile_approx(value, told, 2000).alias(f"q{len(names)}"))
             names.append((f, role))
     found = rows.agg(*columns).first() if columns else []
     out: dict[tuple[str, str], list[np.ndarray]] = {p: [] for p in pairs}
