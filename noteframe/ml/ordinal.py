@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How far beyond the others the threshold of a class at the ends lies that does not occur.
+FAR = 40.0
+
+
 @dataclass(frozen=True)
 class Plan:
     """One model of a joint fit: feature array column, role column and penalty."""
@@ -71,8 +75,9 @@ def fit_ordinal(
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """(slopes, thresholds) per plan; balanced class weights, mean loss plus alpha |beta|^2 / 2F.
 
-    Thresholds grow by construction. A class without a training row keeps its threshold near
-    its neighbour's. Models that have converged take no further part; the loop ends with the
+    Thresholds grow by construction. A class without a training row has no likelihood of its own:
+    the model is fitted to the classes that occur, and the thresholds around it are the same (at
+    the ends, far out). Models that have converged take no further part; the loop ends with the
     last of them or after ``max_iter`` steps.
     """
     pairs = list(dict.fromkeys((p.features, p.role) for p in plans))
@@ -80,16 +85,16 @@ def fit_ordinal(
         *[F.max(F.size(f)).alias(f) for f in {f for f, _ in pairs}],
         *[F.count_if((F.col(r) == 1) & (F.col(y) == k)).alias(f"{r}_{k}") for _, r in pairs for k in range(n_classes)],
     ).first()
-    steps = n_classes - 1
-    weights, models = {}, []
+    weights, models, occurs = {}, [], {}
     for f, r in pairs:
         counts = np.array([sizes[f"{r}_{k}"] for k in range(n_classes)], float)
         weights[f, r] = counts.sum() / (max(1, (counts > 0).sum()) * np.maximum(counts, 1))
-    share = np.arange(1, n_classes) / n_classes
+        occurs[f, r] = counts > 0 if counts.any() else np.ones(n_classes, bool)
     for p in plans:
-        width = sizes[p.features] or 0
+        width, some = sizes[p.features] or 0, occurs[p.features, p.role]
+        share = np.arange(1, some.sum()) / some.sum()
         start = np.concatenate([np.zeros(width), np.log(share / (1 - share))])
-        models.append({"at": start, "try": start, "loss": np.inf, "step": None, "done": False, "width": width})
+        models.append({"at": start, "try": start, "loss": np.inf, "step": None, "done": False, "width": width, "steps": len(share)})
     names = list(dict.fromkeys([*[f for f, _ in pairs], *[r for _, r in pairs]]))
     slim = rows.select(F.col(y).cast("int").alias("_y"), *names)
 
@@ -105,6 +110,7 @@ def fit_ordinal(
                     x = columns[p.features].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[use]
                     seen, width = label[use], models[m]["width"]
                     w = weights[p.features, p.role][seen]
+                    seen = (np.cumsum(occurs[p.features, p.role]) - 1)[seen]
                     loss, grad, hess = likelihood(x, seen, w, params[:width], params[width:])
                     part = np.concatenate([[loss, w.sum()], grad, hess.ravel()])
                     total[m] = total[m] + part if m in total else part
@@ -118,7 +124,7 @@ def fit_ordinal(
         whole = cells.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"))
         out = {}
         for row in whole.select("model", "s.v").collect():
-            part, size = np.array(row["v"]), models[row["model"]]["width"] + steps
+            part, size = np.array(row["v"]), models[row["model"]]["width"] + models[row["model"]]["steps"]
             scale = max(part[1], 1e-12)
             out[row["model"]] = (part[0] / scale, part[2 : 2 + size] / scale, part[2 + size :].reshape(size, size) / scale)
         return out
@@ -147,10 +153,21 @@ def fit_ordinal(
                 step = np.linalg.solve(hess + 1e-9 * np.eye(len(grad)), -grad)
                 s["step"] = step
                 s["done"] = float(np.abs(step).max()) < tolerance
-            while steps > 1 and np.diff((s["at"] + s["step"])[width:]).min() <= 0:
+            while s["steps"] > 1 and np.diff((s["at"] + s["step"])[width:]).min() <= 0:
                 s["step"] = s["step"] / 2
             s["try"] = s["at"] + s["step"]
-    return [(s["at"][: s["width"]], s["at"][s["width"] :]) for s in models]
+    return [
+        (s["at"][: s["width"]], _all_thresholds(s["at"][s["width"] :], occurs[p.features, p.role])) for p, s in zip(plans, models, strict=True)
+    ]
+
+
+def _all_thresholds(theta: np.ndarray, occurs: np.ndarray) -> np.ndarray:
+    """Thresholds of all classes from those of the classes that occur."""
+    if occurs.all():
+        return theta
+    low, high = (theta[0], theta[-1]) if len(theta) else (0.0, 0.0)
+    ends = np.concatenate([[low - FAR], theta, [high + FAR]])
+    return ends[np.cumsum(occurs)[:-1]]
 
 
 def probabilities(x: np.ndarray, beta: np.ndarray, theta: np.ndarray) -> np.ndarray:

@@ -77,6 +77,24 @@ def test_ordinal_models_in_one_fit(rows):
         assert (p > 0).all() and p.sum(1) == pytest.approx(np.ones(len(Y)))
 
 
+def test_an_absent_class_leaves_the_ordinal_fit_at_its_optimum(rows, monkeypatch):
+    steps = []
+    solve = np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: steps.append(1) or solve(*a))
+    for absent in (2, 0):  # of four classes: inside, and at an end
+        codes = [k for k in range(4) if k != absent]
+        y = F.element_at(F.array(*[F.lit(k) for k in codes]), F.col("y") + 1)
+        beta, theta = ordinal.fit_ordinal(rows.withColumn("y", y), "y", 4, [ordinal.Plan("x", "whole", 0.01)])[0]
+        weight = (1 / np.bincount(Y))[Y]
+        own = theta[[0, 1]] if absent == 2 else theta[[1, 2]]
+        _, grad, _ = ordinal.likelihood(X, Y, weight / weight.sum(), beta, own)
+        grad[:4] += 0.01 / 4 * beta
+        assert np.abs(grad).max() < 1e-7
+        p = ordinal.probabilities(X, beta, theta)
+        assert p[:, absent].max() < 1e-9 and p.sum(1) == pytest.approx(np.ones(len(Y))) and (np.diff(theta) >= 0).all()
+    assert len(steps) < 40
+
+
 def _shapley(leaves, row, n_classes):
     """By the definition: averages over all subsets of features."""
     f = len(row)
